@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, quality
+from . import decontamination, exact_dedup, near_dedup, packing, quality
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,11 +28,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op9_quality": op9_quality,
+    "op10_minhash": op10_minhash,
 }
 
 _SQL2 = """
