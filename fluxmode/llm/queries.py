@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, langid, near_dedup, packing, quality, substring_dedup
+from . import decontamination, exact_dedup, langid, near_dedup, packing, pii, quality, secrets, substring_dedup, urls
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,10 +24,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.removals(table(spark, sf_dir, "documents")))
 
@@ -45,7 +57,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language": op3_language,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
+    "op7_secrets": op7_secrets,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
@@ -84,4 +99,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS B
 FROM d LEFT JOIN l USING (doc_id)
 """
 
-ORACLES = {"op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
+_SQL6 = r"""
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+q AS (SELECT *, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path FROM p),
+rules(v, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (SELECT DISTINCT host, path, first_value(h || s) OVER w AS rule, first_value(v) OVER w AS verdict
+         FROM (SELECT DISTINCT host, path FROM q) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)
+         WINDOW w AS (PARTITION BY host, path ORDER BY length(h || s) DESC)),
+l AS (SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS tag, 'href' AS k FROM p WHERE rest IS NOT NULL
+      UNION ALL SELECT url, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), 'url' FROM p WHERE rest IS NOT NULL)
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM l WHERE tag <> '') THEN error('links: see the brute-force test') ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN fits f USING (host, path)
+"""
+
+ORACLES = {"op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
