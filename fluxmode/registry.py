@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import grid_queries, signal_queries, vector_queries  # noqa: F401  each adds its queries
+
+QUERIES: dict = signal_queries.QUERIES
+ORACLES: dict[str, str] = signal_queries.ORACLES
