@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import events, grids, metrics, modes, params, spectral
+from ..operators import events, grids, metrics, modes, params, spectral, sysid
 from ..sources import standins as S
 from . import catalogue, staging
 from .signal_queries import query, r
@@ -362,3 +362,36 @@ SELECT DISTINCT conv_id, t, CAST(floor(py + CASE WHEN x = px THEN 1.0 ELSE least
 def annotation_raster(spark, d):
     nodes = S.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("i"), (F.col("turn") * 3).alias("x"), (F.length("text") % 40).alias("y"))
     return grids.polyline_cells(nodes, "conv_id").select("conv_id", "t", "f")
+
+
+def _sensors(spark, d):
+    hour = F.floor((F.unix_seconds("ts") - S.EPOCH) / 3600)
+    ev = S.table(spark, d, "events").groupBy((F.col("user_id") % 6).cast("int").alias("channel"), hour.alias("i")).agg(F.sum("value").alias("x"))
+    return sysid.channel_blocks(ev.withColumn("input", F.lit(0)), 240, 120, 6, "input")
+
+
+@query(None)
+def ar_assess(spark, d):
+    return sysid.ar_assessment(_sensors(spark, d), 4)
+
+
+@query(None)
+def arpca_models(spark, d):
+    return sysid.arpca_poles(_sensors(spark, d), 6, 3, 1.0)
+
+
+@query(None)
+def ssi_poles(spark, d):
+    return sysid.ssi_poles(_sensors(spark, d), 8, 8, 1.0)
+
+
+@query(None)
+def stable_poles(spark, d):
+    blocks = _sensors(spark, d)
+    return sysid.stable_poles(sysid.ssi_poles(blocks, 8, 6, 1.0), sysid.ssi_poles(blocks, 8, 10, 1.0), 0.05, "input", "block")
+
+
+@query("""SELECT channel, round(a / b, 6) AS coefficient, round(greatest(0, 1 - sqrt(greatest(y - a / b * a, 0) / y)), 6) AS daf FROM (SELECT channel, sum(c * p) AS a, sum(p * p) AS b, sum(c * c) AS y FROM
+(SELECT *, lag(c) OVER (PARTITION BY channel ORDER BY i) AS p FROM (SELECT channel, i, x - avg(x) OVER (PARTITION BY channel) AS c FROM sig)) WHERE p IS NOT NULL GROUP BY 1)""", "sig")
+def ar1_assess(spark, d):
+    return sysid.ar1(S.signal(spark, d), "channel").select("channel", r("coefficient").alias("coefficient"), r("daf").alias("daf"))
