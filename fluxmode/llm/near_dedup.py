@@ -2,17 +2,18 @@
 
 A document's set holds the distinct k-word shingles of its whole lower-cased (A-Z) text. Each of the
 PERMUTATIONS hash evaluations gives two signature values; a band takes the two of ROWS_PER_BAND / 2
-permutations. With 32 bands of 4 values a pair of similarity 0.8 is missed with probability 5e-8.
+permutations. With 48 bands of 6 values a pair of similarity 0.8 is missed with probability 5e-7.
 
 1. Documents with one and the same set fall into one class, whose least id stands for it.
-2. Classes that share a band meet in a bucket. Only links to one hub per bucket are tried at first,
-   then to hubs drawn anew between what is not yet connected; at last every pair of different
-   components left in a bucket is tried, so no link that could join two components is left out.
-   Pairs are confirmed on full sets (100 * intersection >= 80 * union).
+2. Classes that share a band meet in a bucket. Each is tried against one hub of the bucket, on full
+   sets (100 * intersection >= 80 * union); most copies are connected then. Buckets that share a
+   member form a cluster. In clusters with more than one component left, the members outside a
+   block's largest component are compared with all members of the other components, block against
+   block, inside tasks: no pair is laid out as a row, and no link between components is left out.
 3. Components of confirmed links give each document the least id it can reach.
 
-A hot class is folded by a partial aggregate, and a hot bucket costs as many tries as it has
-members in each round. Tables between steps lie in the shared folder.
+A hot class is folded by a partial aggregate, and a hot bucket costs as many tries as it has members;
+its cluster is spread over blocks of bounded size. Tables between steps lie in the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share an id are one document
 of the graph; null ids take part through their class alone (component null if no id is in it). Ties
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import connected_components, stored
 
-PERMUTATIONS, ROWS_PER_BAND = 64, 4
+PERMUTATIONS, ROWS_PER_BAND = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
-#: Similarity in hundredths, words of a shingle, rounds with drawn hubs, ids that may be broadcast.
-LEVEL, SHINGLE, ROUNDS, MAX_BROADCAST_IDS = 80, 2, 2, 1_000_000
+#: Similarity in hundredths, words of a shingle, ids that may be broadcast, shingles of a block (but one set at least).
+LEVEL, SHINGLE, MAX_BROADCAST_IDS, BLOCK = 80, 2, 1_000_000, 1 << 17
 _rng = np.random.default_rng(7102)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -144,31 +145,75 @@ def links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, level: int = LE
     """
     laid = classes.where("rep IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     full = laid.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.max("rep").alias("far")).where("size > 1 AND hub < far")
-    members = stored(laid.join(full.select("bucket", "size", "hub"), "bucket"), "near-members")
-    sets = stored(_sets_of(docs, members.select(F.col("rep").alias("id")).distinct(), k), "near-sets")
-    near = F.col("n_shingles") * 100  # sizes alone rule out a pair when they differ by too much
-    hubs = classes.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
-    sized = (near >= level * F.col("hub_n")) & (F.col("hub_n") * 100 >= level * F.col("n_shingles"))
-    tried = stored(members.where("rep <> hub").select("rep", "n_shingles", "hub").distinct().join(hubs, "hub").where(sized).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "near-tried")
+    met = stored(laid.join(full.select("bucket", "hub"), "bucket").where("rep <> hub").select("rep", "n_shingles", "hub").distinct(), "near-met")
+    active = met.select(F.col("rep").alias("id")).union(met.select("hub")).distinct()
+    sets = stored(_sets_of(docs, active, k), "near-sets")
+    sizes = classes.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
+    sized = (F.col("n_shingles") * 100 >= level * F.col("hub_n")) & (F.col("hub_n") * 100 >= level * F.col("n_shingles"))
+    tried = met.join(sizes, "hub").where(sized).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     found = stored(confirmed(tried, sets, level), "near-links")
-    for turn in range(1, ROUNDS + 2):
-        parts = stored(connected_components(found, "near-components"), "near-parts")
-        named = members.where("size > 2").join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("part"))
-        apart = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("rep", "part", "n_shingles"), F.xxhash64("rep", F.lit(turn))).alias("hub")).where("low < high")
-        left = stored(named.join(apart.select("bucket", "hub"), "bucket"), "near-apart")
-        if left.isEmpty():
-            break
-        if turn <= ROUNDS:
-            now = left.where("part <> hub.part").select(F.col("rep").alias("x"), F.col("hub.rep").alias("y"), F.col("n_shingles").alias("nx"), F.col("hub.n_shingles").alias("ny"))
-        else:
-            one, two = (left.select("bucket", F.col("rep").alias(r), F.col("part").alias(f"p{r}"), F.col("n_shingles").alias(f"n{r}")) for r in "xy")
-            now = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & (F.col("nx") * 100 >= level * F.col("ny")) & (F.col("ny") * 100 >= level * F.col("nx")))
-        sized = (F.col("nx") * 100 >= level * F.col("ny")) & (F.col("ny") * 100 >= level * F.col("nx"))
-        now = now.where(sized).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        now = stored(now.join(tried, ["a", "b"], "left_anti"), "near-tried")
-        tried = tried.union(now)
-        found = stored(found.union(confirmed(now, sets, level)), "near-links")
-    return found
+    parts = connected_components(found, "near-parts")
+    clusters = connected_components(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "near-clusters")
+    named = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
+    named = stored(named.withColumn("part", F.coalesce("part", "id")), "near-named")
+    apart = named.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cluster")
+    held = stored(named.join(apart, "cluster").join(sets, "id"), "near-apart")
+    return found.union(_between_parts(held, level))
+
+
+def _between_parts(held: DataFrame, level: int) -> DataFrame:
+    """Links (a, b) between different parts of a cluster. held: cluster, id, part, shingles.
+
+    A cluster is dealt into blocks of about BLOCK shingles, and each pair of blocks is one group.
+    """
+    sums = held.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK)).cast("int").alias("blocks"))
+    own = held.join(sums, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = each.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), "id", "part", "shingles")
+
+    def run(batches):
+        rows, key = [], None
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            second, ids, parts = (b.column(i).to_pylist() for i in (3, 4, 5))
+            for i, now in enumerate(keys):
+                if now != key:
+                    if len(rows) > 1:
+                        yield _block_links(rows, key[1] == key[2], level)
+                    rows, key = [], now
+                rows.append((second[i], ids[i], parts[i], b.column(6)[i].as_py()))
+        if len(rows) > 1:
+            yield _block_links(rows, key[1] == key[2], level)
+
+    # the columns of a pair of blocks are the key of the deal and of the order
+    return laid.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _block_links(rows: list[tuple], within: bool, level: int) -> pa.RecordBatch:
+    """For each member outside the largest part, one link to each other part on the other side that it has a link to."""
+    side = np.array([within or r[0] for r in rows])
+    ids, parts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    n = np.array([len(s) for s in sets])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    labels, sizes = np.unique(parts, return_counts=True)
+    largest = labels[np.argmax(sizes)]
+    mark = np.zeros(len(names), np.int64)
+    a, b = [], []
+    for i in np.flatnonzero(parts != largest):
+        facing = (side if within else side != side[i]) & (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= level * np.maximum(n, n[i]))
+        if not facing.any():
+            continue
+        mine = codes[starts[i] : starts[i] + n[i]]
+        mark[mine] = 1
+        shared = np.add.reduceat(mark[codes], starts)
+        mark[mine] = 0
+        hit = np.flatnonzero(facing & (100 * shared >= level * (n + n[i] - shared)))
+        hit = hit[np.unique(parts[hit], return_index=True)[1]]
+        a += [ids[i]] * len(hit)
+        b += ids[hit].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
