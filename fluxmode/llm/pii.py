@@ -48,13 +48,17 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _octets(value: Column, joint: str) -> Column:
+    """Whether all parts of a value between joints are at most 255."""
+    return F.forall(F.split(value, joint), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.lpad(F.ltrim(p, F.lit("0")), 3, "0") <= "255"))
+
+
 def _valid(kind: Column, value: Column) -> Column:
     """Whether a value of a kind (with or without question mark) is a validated span."""
     kind, n = F.regexp_replace(kind, r"\?$", ""), F.length(_digits(value))
-    octets = F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.lpad(F.ltrim(p, F.lit("0")), 3, "0") <= "255"))
     return (
         F.when(kind == "email", value.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]++)++$"))
-        .when(kind == "ip", value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & octets)
+        .when(kind == "ip", value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & _octets(value, r"\."))
         .when(kind == "card", value.rlike(r"^[0-9](?:[\x20-]?[0-9])++$") & n.between(14, 19) & F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))"))
         .when(kind == "phone", value.rlike(r"^\+[0-9][\x20().0-9-]+[0-9]$") & n.between(10, 15))
         .otherwise(False)
@@ -70,7 +74,13 @@ def _cells() -> dict[str, Column]:
     cue = F.lit(False)
     for g, words in CUES.items():
         cue = F.when(kind == g, F.lower("before").rlike(words)).otherwise(cue)
-    check = F.when(kind == "card?", F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))")).otherwise(_valid(kind, value))
+    # one property of the format, never the whole validation that gives the label
+    check = (
+        F.when(kind == "card?", F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))"))
+        .when(kind == "ip?", _octets(value, "[.,:]"))
+        .when(kind == "phone?", F.startswith(value, F.lit("+")))
+        .otherwise(F.contains(value, F.lit("@")) & ~F.contains(value, F.lit(" ")))
+    )
     return {
         "gen": spans.order_of(list(GENERATORS), kind),
         "digits": bins(F.length(_digits(value)), 7, 10, 12, 16, 20),

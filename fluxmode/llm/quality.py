@@ -57,7 +57,7 @@ def statistics(text: str | None) -> list[float]:
     return [
         root(upper / max(letters, 1)), root(symbol / max(n, 1)), root(digit / max(n, 1)), root(stop / max(n, 1)), root(comma / max(n, 1)),
         root(bar / max(n, 1)), root(newline / max(n, 1)), root(space / max(n, 1)), math.log1p(float(lens.mean())), root(float((lens > 14).mean())),
-        len(set(words)) / max(m, 1) ** 0.8, root(1 - len(set(lines)) / len(lines)), root(sum(map(bytes.istitle, words[:: max(1, m // 2000)])) / max(1, len(words[:: max(1, m // 2000)]))),
+        len(set(words)) / max(m, 1) ** 0.8, root(1 - len(set(lines)) / len(lines)), root(sum(map(bytes.istitle, words)) / max(m, 1)),
         float(-(p * np.log2(p)).sum()), root(float((lens <= 3).mean())),
     ]
 
