@@ -38,4 +38,4 @@ def gaussian(a: Column, b: Column, sigma: float) -> Column:
 def peak_normalised(re: Column, im: Column) -> tuple[Column, Column]:
     """A complex vector over its greatest magnitude."""
     top = F.array_max(F.zip_with(re, im, lambda x, y: F.sqrt(x.cast("double") * x + y.cast("double") * y)))
-    return F.transform(re, lambda x: x / top), F.transform(im, lambda x: x / top)
+    return F.transform(re, lambda x: F.try_divide(x, top)), F.transform(im, lambda x: F.try_divide(x, top))

@@ -76,8 +76,9 @@ def resampled(df: DataFrame, rate: float, *keys: str) -> DataFrame:
     seg = df.withColumn("_t1", F.lead("t").over(w)).withColumn("_x1", F.lead("x").over(w)).join(ends, list(keys))
     n = F.floor((F.col("_z") - F.col("_a")) * rate)
     step = (F.col("_z") - F.col("_a")) / F.greatest(n, F.lit(1))
-    first = F.ceil((F.col("t") - F.col("_a")) / step)
-    final = F.when(F.col("_t1").isNull(), n).otherwise(F.least(n, F.ceil((F.col("_t1") - F.col("_a")) / step) - 1))
+    at = lambda c: F.ceil(F.coalesce(F.try_divide(F.col(c) - F.col("_a"), step), F.lit(0.0)))  # noqa: E731  a series of one time has one point
+    first = at("t")
+    final = F.when(F.col("_t1").isNull(), n).otherwise(F.least(n, at("_t1") - 1))
     grid = seg.withColumn("_f", first).withColumn("_l", final).where("_f <= _l").withColumn("step", step)
     out = grid.select("*", F.explode(F.sequence("_f", "_l")).alias("k")).withColumn("tk", F.col("_a") + F.col("k") * F.col("step"))
     x = F.when(F.col("_t1").isNull() | (F.col("_t1") == F.col("t")), F.col("x")).otherwise(F.col("x") + (F.col("_x1") - F.col("x")) * (F.col("tk") - F.col("t")) / (F.col("_t1") - F.col("t")))

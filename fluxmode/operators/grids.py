@@ -112,9 +112,9 @@ def connected_regions(mask: DataFrame, *keys: str, tile: int = 512) -> DataFrame
         out = pdf.iloc[order].drop(columns="_tile")
         return out.assign(label=lab)
 
-    tiles = on.groupBy(*keys, "_tile").applyInPandas(label, schema).withColumn("_tile", F.floor(F.col("t") / tile))
+    tiles = settled(on.groupBy(*keys, "_tile").applyInPandas(label, schema), "tiles").withColumn("_tile", F.floor(F.col("t") / tile))
     right = tiles.where(F.col("t") % tile == tile - 1).select(*keys, "f", (F.col("_tile") + 1).alias("_tile"), F.col("label").alias("a"))
-    meet = right.join(tiles.where(F.col("t") % tile == 0).select(*keys, "f", "_tile", F.col("label").alias("b")), [*keys, "f", "_tile"]).select(*keys, "a", "b").distinct()
+    meet = settled(right.join(tiles.where(F.col("t") % tile == 0).select(*keys, "f", "_tile", F.col("label").alias("b")), [*keys, "f", "_tile"]).select(*keys, "a", "b").distinct(), "edges")
     names = meet.select(*keys, F.col("b").alias("label"), "a").union(meet.select(*keys, "a", "b")).groupBy(*keys, "label").agg(F.min("a").alias("low"))
     names = names.withColumn("low", F.least("label", "low"))
     for _ in range(64):  # a region crosses one edge a round, halved by jumping

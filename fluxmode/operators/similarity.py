@@ -75,21 +75,45 @@ def assign(rows: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: s
     return rows.select(id_col, vec, best["cluster"].alias("cluster"), best["d"].alias("d2"))
 
 
-def centroids_of(assigned: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
-    means = F.array(*(F.avg(F.get(F.col(vec), F.lit(i)).cast("double")) for i in range(dim)))
-    return assigned.groupBy("cluster").agg(means.alias("centre"))
+def _nearest_centre(sent, sums: bool):
+    """Arrow batches to rows' clusters, or to each batch's sums by cluster: one matrix product a batch."""
+
+    def run(batches):
+        names, c = sent.value
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            if not b.num_rows:
+                continue
+            d = np.maximum(0, np.square(x).sum(1)[:, None] - 2 * x @ c.T + np.square(c).sum(1)[None])
+            at = d.argmin(1)
+            low = d[np.arange(len(at)), at]
+            if not sums:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[at]), pa.array(low)], ["id", "cluster", "d2"])
+                continue
+            for k in np.unique(at):
+                own = at == k
+                yield pa.RecordBatch.from_arrays([pa.array([names[k]]), pa.array([int(own.sum())], pa.int64()), pa.array([float(low[own].sum())]), pa.array([x[own].sum(0)], pa.list_(pa.float64()))], ["cluster", "n", "cost", "total"])
+
+    return run
 
 
 def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Lloyd rounds from given centroids until the cost no longer falls."""
-    centres, cost = start, None
+    """Lloyd rounds from given centroids until the cost no longer falls. A cluster that empties keeps no centroid.
+
+    A round is one pass: tasks add up the vectors of each cluster, and k sums reach the driver.
+    """
+    sc, few = rows.sparkSession.sparkContext, start.orderBy("cluster").collect()  # k rows
+    slim = rows.select(F.col(id_col).cast("long").alias("id"), vec)
+    centres, cost = (np.array([r["cluster"] for r in few], np.int32), np.array([r["centre"] for r in few], float)), None
     for _ in range(rounds):
-        now = assign(rows, centres, id_col, vec)
-        total = now.agg(F.sum("d2")).first()[0]
-        if cost is not None and total >= cost:
+        parts = slim.mapInArrow(_nearest_centre(sc.broadcast(centres), True), "cluster int, n long, cost double, total array<double>")
+        sums = [F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(dim)]
+        got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).orderBy("cluster").collect()  # k rows
+        now = sum(r["cost"] for r in got)
+        if not got or cost is not None and now >= cost:
             break
-        cost, centres = total, rows.sparkSession.createDataFrame(centroids_of(now, dim, vec).collect(), "cluster int, centre array<double>")  # k rows
-    return assign(rows, centres, id_col, vec)
+        cost, centres = now, (np.array([r["cluster"] for r in got], np.int32), np.array([[r[f"s{i}"] / r["n"] for i in range(dim)] for r in got]))
+    return slim.mapInArrow(_nearest_centre(sc.broadcast(centres), False), "id long, cluster int, d2 double").withColumnRenamed("id", id_col)
 
 
 def medoids(rows: DataFrame, cluster: str = "label", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:

@@ -110,6 +110,6 @@ def cross(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 def entropy(power: DataFrame, *keys: str, value: str = "power") -> DataFrame:
     """Natural-log entropy of normalised power."""
     total = power.groupBy(*keys).agg(F.sum(value).alias("_t"))
-    p = F.col(value) / F.col("_t")
+    p = F.try_divide(F.col(value), F.col("_t"))
     joined = power.join(total, list(keys)) if keys else power.join(F.broadcast(total))  # one row
     return joined.groupBy(*keys).agg((-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("entropy"))

@@ -81,7 +81,7 @@ def order_quantiles(df: DataFrame, *keys: str, quantiles=(0.0, 0.05, 0.25, 0.5,
 
 
 def weighted_rms(df: DataFrame, *keys: str, weight: str = "w") -> DataFrame:
-    return df.groupBy(*keys).agg(F.sqrt(F.sum(F.col(weight) * F.col("x") * F.col("x")) / F.sum(weight)).alias("rms"))
+    return df.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(F.col(weight) * F.col("x") * F.col("x")), F.sum(weight))).alias("rms"))
 
 
 def correlations(df: DataFrame, channel: str = "channel", by: str = "i", value: str = "x") -> DataFrame:
@@ -110,7 +110,7 @@ def validation(df: DataFrame, *keys: str, rate: float | None = None) -> DataFram
     seen = F.lit(rate) if rate is not None else F.lit(None).cast("double")
     return step.groupBy(*keys).agg(
         F.count_if(F.col("_d") == 0).alias("repeated"), F.count_if(F.col("_d") < 0).alias("falling"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("missing"),
-        F.coalesce(F.abs(1 / F.avg("_d") - seen) / seen > 0.05, F.lit(False)).alias("rate_off"),
+        F.coalesce(F.abs(F.try_divide(F.lit(1.0), F.avg("_d")) - seen) / seen > 0.05, F.lit(False)).alias("rate_off"),
     )
 
 
