@@ -84,7 +84,10 @@ def overlapping(a: DataFrame, b: DataFrame, bucket: int, *keys: str, how: str =
     spread = lambda df: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
     other = spread(b.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_t"), "start", "stop")).drop("start", "stop")
     hit = spread(a).join(other, [*keys, "_b"]).where((F.col("start") <= F.col("_t")) & (F.col("_s") <= F.col("stop"))).select(*a.columns).distinct()
-    return a.join(hit, a.columns, how)
+    same = F.lit(True)
+    for c in a.columns:  # null equals null here: unknown columns must not keep a row from being found again
+        same = same & F.col(c).eqNullSafe(F.col(f"_hit_{c}"))
+    return a.join(hit.select(*(F.col(c).alias(f"_hit_{c}") for c in a.columns)), same, how)
 
 
 def sessions(events: DataFrame, gap_seconds: float, key: str, time: Column, value: str) -> DataFrame:
