@@ -88,6 +88,17 @@ def symmetric_cross_entropy(p: Column, y: Column, alpha: float = 1.0, beta: floa
     return alpha * forward + beta * -(q * F.log(hard) + (1 - q) * F.log(other))
 
 
+def smoothed_cross_entropy(p: Column, y: Column, smoothing: float) -> Column:
+    """Targets become y (1 - s) + s: 1 stays 1 and 0 becomes s."""
+    t = y * (1 - smoothing) + smoothing
+    q = clipped(p, 1e-7, 1 - 1e-7)
+    return -(t * F.log(q) + (1 - t) * F.log(1 - q))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 def binary_entropy(p: Column) -> Column:
     q = clipped(p, 1e-12, 1 - 1e-12)
     return -(q * F.log(q) + (1 - q) * F.log(1 - q))

@@ -115,3 +115,45 @@ def asof_nearest(points: DataFrame, series: DataFrame, bucket: float, *keys: str
     near = p.join(s, [*keys, "_b"]).where(F.abs(F.col("t") - F.col("t0")) <= bucket)
     best = F.min(F.struct(F.abs(F.col("t") - F.col("t0")).alias("d"), F.col("t"), F.col("x"))).alias("b")
     return near.groupBy(*points.columns).agg(best).select(*points.columns, "b.t", "b.x", "b.d")
+
+
+def nonempty(df: DataFrame, state: str, *keys: str) -> DataFrame:
+    """The windows (keys) in which the boolean column state holds at least once."""
+    return df.join(df.where(state).select(*keys).distinct(), list(keys), "left_semi")
+
+
+def averaged(df: DataFrame, dataset: str, *keys: str) -> DataFrame:
+    """Mean of x over datasets at the keys that all datasets have."""
+    n = df.select(dataset).distinct().agg(F.count("*").alias("_all"))
+    each = df.groupBy(*keys).agg(F.count_distinct(dataset).alias("n"), F.avg("x").alias("x"))
+    return each.join(F.broadcast(n), F.col("n") == F.col("_all")).drop("_all")  # one row
+
+
+def crossings(df: DataFrame, target: float, *keys: str, by: str = "i", last: bool = False, least: float | None = None) -> DataFrame:
+    """Where x first (or last) passes target, interpolated linearly: keys, at. Places below least do not count."""
+    w = ordered(*keys, by=by)
+    seg = df.withColumn("_t", F.lead(by).over(w)).withColumn("_y", F.lead("x").over(w)).where("_y IS NOT NULL")
+    rise = (F.col("x") - target) * (F.col("_y") - target)
+    hit = seg.where((rise < 0) | (F.col("x") == target) & (F.col("_y") != target))
+    place = F.col(by) + (target - F.col("x")) / (F.col("_y") - F.col("x")) * (F.col("_t") - F.col(by))
+    found = hit.select(*keys, place.alias("at"))
+    if least is not None:
+        found = found.where(F.col("at") >= least)
+    return found.groupBy(*keys).agg((F.max if last else F.min)("at").alias("at"))
+
+
+def patches(nodes: DataFrame, column: str, size: float, step: float, count: int, out: str) -> DataFrame:
+    """Each node once for every hopping window [k step, k step + size) of the first count that holds it: an explode, no range join."""
+    x = F.col(column)
+    low = F.greatest(F.lit(0), F.floor((x - size) / step) + 1)
+    high = F.least(F.lit(count - 1), F.floor(x / step))
+    held = nodes.withColumn("_a", low).withColumn("_z", high).where("_a <= _z")
+    return held.withColumn(out, F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
+
+
+def preferred(df: DataFrame, order: list[str], source: str, *keys: str) -> DataFrame:
+    """The rows of each key's first available source; sources that are not listed do not count."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+    ranked = df.withColumn("_r", rank).where("_r > 0")
+    best = ranked.groupBy(*keys).agg(F.min("_r").alias("_b"))
+    return ranked.join(best, list(keys)).where("_r = _b").drop("_r", "_b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -84,6 +86,29 @@ def local_extreme(df: DataFrame, reach: int, how: str, *keys: str) -> DataFrame:
     return df.withColumn("e", (F.max if how == "max" else F.min)("v").over(w))
 
 
+def blurred(df: DataFrame, sigma: float, *keys: str, reach: int | None = None) -> DataFrame:
+    """Gaussian blur along t: keys, f, t, v. The ends are mirrored (edge column repeated); t is dense.
+
+    Each value is added to the columns within reach of it, so a row is never gathered in one task.
+    """
+    n = reach if reach is not None else int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-n, n + 1)]
+    taps = F.array(*(F.struct(F.lit(k - n).alias("k"), F.lit(x / sum(weights)).alias("w")) for k, x in enumerate(weights)))
+    ends = df.groupBy(*keys, "f").agg(F.min("t").alias("_a"), F.max("t").alias("_z"))
+    # a mirrored column gives what its original gives, to the columns inside
+    each = df.join(ends, [*keys, "f"]).select("*", F.explode(taps).alias("p"))
+    images = F.array(F.col("t"), 2 * F.col("_a") - 1 - F.col("t"), 2 * F.col("_z") + 1 - F.col("t"))
+    laid = each.select(*keys, "f", "_a", "_z", "p", "v", F.explode(images).alias("_i")).select(*keys, "f", "_a", "_z", (F.col("_i") + F.col("p.k")).alias("t"), (F.col("v") * F.col("p.w")).alias("v"))
+    return laid.where("t BETWEEN _a AND _z").groupBy(*keys, "f", "t").agg(F.sum("v").alias("v"))
+
+
+def opened_closed(df: DataFrame, reach: int, *keys: str) -> DataFrame:
+    """Grey closing, then opening, along t: keys, f, t, v."""
+    for how in ("max", "min", "min", "max"):
+        df = local_extreme(df, reach, how, *keys).select(*keys, "f", "t", F.col("e").alias("v"))
+    return df
+
+
 def connected_regions(mask: DataFrame, *keys: str, tile: int = 512) -> DataFrame:
     """4-connected regions of set pixels: keys, f, t, label (least t * 2^32 + f of the region).
 

@@ -44,3 +44,16 @@ def ensemble(predictions: DataFrame, *keys: str) -> DataFrame:
     p = predictions.groupBy(*keys).agg(F.avg("p").alias("p"), F.count("*").alias("n"))
     q = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
     return p.withColumn("entropy", -(q * F.log(q) + (1 - q) * F.log(1 - q)))
+
+
+def coverage(predictions: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """How many samples there are, and how many are predicted not at all or more than once."""
+    n = predictions.groupBy(key).agg(F.count("*").alias("_n"))
+    all_ = samples.select(key).distinct().join(n, key, "left")
+    return all_.agg(F.count("*").alias("n"), F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated"))
+
+
+def overlap_losses(df: DataFrame, p: Column, y: Column, *keys: str, smooth: float = 1.0) -> DataFrame:
+    """Dice and IoU losses of soft predictions: keys, dice_loss, iou_loss."""
+    both, total = F.sum(p * y), F.sum(p) + F.sum(y)
+    return df.groupBy(*keys).agg((1 - (2 * both + smooth) / (total + smooth)).alias("dice_loss"), (1 - (both + smooth) / (total - both + smooth)).alias("iou_loss"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -34,7 +34,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "rank", "similarity")
 
 
-def _scan(sent, k: int, metric: str):
+def _scan(sent, k: int | None, metric: str, floor: float = -np.inf):
     def normed(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
@@ -55,12 +55,37 @@ def _scan(sent, k: int, metric: str):
             s[ids[:, None] == own[None]] = -np.inf
             for i, name in enumerate(ids):
                 top = np.lexsort((own, -s[i]))[:k]
-                top = top[s[i][top] > -np.inf]
+                top = top[(s[i][top] > -np.inf) & (s[i][top] >= floor)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), name)), pa.array(own[top]), pa.array(s[i][top])], ["query", "id", "similarity"])
 
     return run
 
 
+def within(rows: DataFrame, queries: DataFrame, floor: float, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """query, id, similarity of all other rows that are at least floor similar, none left out."""
+    dim = queries.select(F.max(F.size(vec))).first()[0] or 0
+    parts = max(1, -(-queries.count() * dim * 8 // MAX_QUERY_BYTES))
+    found = None
+    for part in range(parts):
+        some = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part).select(id_col, vec).toArrow()
+        ids = some[id_col].to_numpy()
+        sent = rows.sparkSession.sparkContext.broadcast((ids, np.array(some[vec].to_pylist(), float).reshape(len(ids), -1)))
+        near = rows.select(F.col(id_col).cast("long"), vec).mapInArrow(_scan(sent, None, metric, floor), "query long, id long, similarity double")
+        found = near if found is None else found.union(near)
+    return found
+
+
+def boosted(neighbours: DataFrame, factor: float = 2.0) -> DataFrame:
+    """Similarities of neighbours that have each other raised by factor from either end, so by its square."""
+    back = neighbours.select(F.col("query").alias("id"), F.col("id").alias("query"), F.lit(True).alias("_both"))
+    return neighbours.join(back, ["query", "id"], "left").withColumn("similarity", F.col("similarity") * F.when(F.col("_both"), factor**2).otherwise(1.0)).drop("_both")
+
+
+def gaussian(similarity_of_distance: Column, sigma: float) -> Column:
+    """exp(-d^2 / 2 sigma^2) of a negated distance, as a euclidean search gives it."""
+    return F.exp(-similarity_of_distance * similarity_of_distance / (2 * sigma * sigma))
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """Pairs of queries that have each other among their neighbours."""
     back = neighbours.select(F.col("query").alias("id"), F.col("id").alias("query"))

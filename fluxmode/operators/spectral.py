@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
@@ -113,3 +113,21 @@ def entropy(power: DataFrame, *keys: str, value: str = "power") -> DataFrame:
     p = F.try_divide(F.col(value), F.col("_t"))
     joined = power.join(total, list(keys)) if keys else power.join(F.broadcast(total))  # one row
     return joined.groupBy(*keys).agg((-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("entropy"))
+
+
+def forgetting_coherence(a: DataFrame, b: DataFrame, factor: float, memory: int, *keys: str) -> DataFrame:
+    """Coherence of spectra that fade by factor from block to block: keys, block, k, coherence.
+
+    The recurrence P = factor P + (1 - factor) p is a weighted sum of the last memory blocks, beyond
+    which weights are negligible; the common factor 1 - factor cancels out.
+    """
+    bins = lambda s, x, y: s.select(*keys, "block", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).select(*keys, "block", "k", F.col("z.re").alias(x), F.col("z.im").alias(y))
+    both = bins(a, "ar", "ai").join(bins(b, "br", "bi"), [*keys, "block", "k"])
+    p = both.select(
+        *keys, "block", "k", (F.col("ar") ** 2 + F.col("ai") ** 2).alias("xx"), (F.col("br") ** 2 + F.col("bi") ** 2).alias("yy"),
+        (F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("re"), (F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("im"),
+    )
+    w = Window.partitionBy(*keys, "k").orderBy("block").rowsBetween(-memory, 0)
+    fade = lambda c: F.aggregate(F.collect_list(c).over(w), F.lit(0.0), lambda acc, v: acc * factor + v)
+    g = p.select(*keys, "block", "k", *(fade(c).alias(c) for c in ("xx", "yy", "re", "im")))
+    return g.select(*keys, "block", "k", F.least((F.col("re") ** 2 + F.col("im") ** 2) / F.greatest(F.col("xx") * F.col("yy"), F.lit(1e-15)), F.lit(1.0)).alias("coherence"))

@@ -118,3 +118,12 @@ def lower_median(df: DataFrame, *keys: str) -> DataFrame:
     """The lower of two middle elements."""
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("x"))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     return ranked.where(F.col("_r") == F.floor((F.col("_n") + 1) / 2)).select(*keys, F.col("x").alias("median"))
+
+
+def block_correlations(parts: DataFrame, channel: str = "channel", by: str = "i") -> DataFrame:
+    """Mean |correlation| of each channel with the others in each block: channel, block, r. parts: channel, block, i, x."""
+    a = parts.select("block", F.col(by).alias("_i"), F.col(channel).alias("a"), "x")
+    b = parts.select("block", F.col(by).alias("_i"), F.col(channel).alias("b"), F.col("x").alias("y"))
+    c = F.corr("x", "y")
+    pairs = a.join(b, ["block", "_i"]).where("a <> b").groupBy("a", "b", "block").agg(F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c).alias("r"))
+    return pairs.groupBy(F.col("a").alias(channel), "block").agg(F.avg(F.abs("r")).alias("r"))
