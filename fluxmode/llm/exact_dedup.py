@@ -107,12 +107,16 @@ def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_
     """One row for each distinct text: payload (the whole row of docs that stays), key, text_sha256, group_size."""
     spark = docs.sparkSession
     owners = spark.sparkContext.broadcast(directory)
-    packed = docs.select(F.struct("*").alias("payload"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
+    packed = docs.select(F.struct("*").alias("payload"), F.col(id_col).cast("long").alias("id"))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())  # the text travels once, within the row
     routed = T.StructType([*packed.schema.fields, *(T.StructField(c, T.LongType()) for c in ("key", "n")), T.StructField("owner", T.IntegerType())])
 
+    def texts(b):
+        return b.column(0).field(place).cast(pa.string())
+
     def fold(batches):
         for b in batches:
-            norm = [normalised(x) for x in b.column(2).to_pylist()]
+            norm = [normalised(x) for x in texts(b).to_pylist()]
             ids, best, n = b.column(1).to_pylist(), {}, {}
             for i, t in enumerate(norm):
                 n[t] = n.get(t, 0) + 1
@@ -134,8 +138,8 @@ def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_
             return rows.append_column("group_size", pa.array([c[3] for c in chain], pa.int64()))
 
         for b in batches:
-            keys, n = b.column(3).to_numpy(), b.column(4).to_pylist()
-            ids, text, out = b.column(1).to_pylist(), b.column(2), []
+            keys, n = b.column(2).to_numpy(), b.column(3).to_pylist()
+            ids, text, out = b.column(1).to_pylist(), texts(b), []
             for i in range(len(keys)):
                 if keys[i] != last:
                     if chain:
@@ -151,9 +155,9 @@ def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_
                 else:
                     chain.append([t, b.slice(i, 1), ids[i], n[i]])
             if out:
-                yield from pa.concat_tables(out).select([0, 3, 6, 7]).combine_chunks().to_batches()
+                yield from pa.concat_tables(out).select([0, 2, 5, 6]).combine_chunks().to_batches()
         if chain:
-            yield from closed().select([0, 3, 6, 7]).combine_chunks().to_batches()
+            yield from closed().select([0, 2, 5, 6]).combine_chunks().to_batches()
 
     kept = T.StructType([routed["payload"], routed["key"], T.StructField("text_sha256", T.StringType()), T.StructField("group_size", T.LongType())])
     dealt = packed.mapInArrow(fold, routed).repartitionById(len(directory.depths), F.col("owner"))
