@@ -152,6 +152,8 @@ def connected_regions(mask: DataFrame, *keys: str, tile: int = 512) -> DataFrame
         names = new.drop("_was")
         if same:
             break
+    else:
+        raise RuntimeError("regions did not settle")
     return tiles.join(names, [*keys, "label"], "left").select(*keys, "f", "t", F.coalesce("low", "label").alias("label"))
 
 

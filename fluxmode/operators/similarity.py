@@ -7,6 +7,8 @@ leave it.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -122,15 +124,16 @@ def _nearest_centre(sent, sums: bool):
     return run
 
 
-def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int = 10, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int | None = None, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Lloyd rounds from given centroids until the cost no longer falls. A cluster that empties keeps no centroid.
 
-    A round is one pass: tasks add up the vectors of each cluster, and k sums reach the driver.
+    A round is one pass: tasks add up the vectors of each cluster, and k sums reach the driver. The cost falls
+    in each round, so the rounds end by themselves; where rounds bounds them and is reached, an error is raised.
     """
     sc, few = rows.sparkSession.sparkContext, start.orderBy("cluster").collect()  # k rows
     slim = rows.select(F.col(id_col).cast("long").alias("id"), vec)
     centres, cost = (np.array([r["cluster"] for r in few], np.int32), np.array([r["centre"] for r in few], float)), None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         parts = slim.mapInArrow(_nearest_centre(sc.broadcast(centres), True), "cluster int, n long, cost double, total array<double>")
         sums = [F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(dim)]
         got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).orderBy("cluster").collect()  # k rows
@@ -138,6 +141,8 @@ def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int = 10, id_col
         if not got or cost is not None and now >= cost:
             break
         cost, centres = now, (np.array([r["cluster"] for r in got], np.int32), np.array([[r[f"s{i}"] / r["n"] for i in range(dim)] for r in got]))
+    else:
+        raise RuntimeError("k-means did not settle")
     return slim.mapInArrow(_nearest_centre(sc.broadcast(centres), False), "id long, cluster int, d2 double").withColumnRenamed("id", id_col)
 
 

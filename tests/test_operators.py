@@ -210,6 +210,24 @@ def test_kmeans_against_numpy(spark):
     assert similarity.kmeans(df.limit(0), start, 4).count() == 0
 
 
+def test_kmeans_settles(spark):
+    x = np.random.default_rng(6).uniform(0, 1, (600, 2))
+    c, n = x[:8].copy(), 0
+    start = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, centre array<double>")
+    at = None
+    while True:
+        new = np.square(x[:, None] - c[None]).sum(2).argmin(1)
+        if at is not None and (new == at).all():
+            break
+        at, n = new, n + 1
+        c = np.array([x[at == k].mean(0) for k in range(8)])
+    assert n > 20
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert [r["cluster"] for r in similarity.kmeans(df, start, 2).orderBy("vec_id").collect()] == at.tolist()
+    with pytest.raises(RuntimeError):
+        similarity.kmeans(df, start, 2, rounds=10)
+
+
 def test_folds_are_even_and_stable(spark):
     rows = metrics.folds(spark.range(5000), "id", 5)
     assert rows.collect() == metrics.folds(spark.range(5000).repartition(7), "id", 5).orderBy("id").collect()
