@@ -17,7 +17,7 @@ document, and is broadcast only if MAX_BROADCAST bytes hold all of it. Texts of
 hashed in segments.
 
 Null texts have no words. Rows that share an id are one document: none of them is earlier at equal
-starts. Null ids come before all others. Empty tables give empty results. Extra columns are ignored.
+starts; a start is a first place only in the rows that have this very window there. Null ids come before all others. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,8 +83,15 @@ class _Words:
         return mark
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """id, row, text, and whether an id has unlike texts. Lists of positions are kept by row: the id, or then a hash of id and text.
+
+    Rows of one id and text have the same words at the same places, so they may share their lists.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    each = rows.select("id", F.xxhash64("text").alias("t")).groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    shared = not each.where("low <> high").isEmpty()
+    return rows.select("id", (F.xxhash64("id", "text") if shared else F.col("id")).alias("row"), "text"), shared
 
 
 def _encoded(column) -> list[bytes]:
@@ -92,22 +99,22 @@ def _encoded(column) -> list[bytes]:
 
 
 def _with(rows: DataFrame, lists: DataFrame | None, name: str, how: str) -> DataFrame:
-    """rows with the packed positions of each document."""
+    """rows with their packed positions."""
     if lists is None:
         return rows.withColumn(name, F.lit(None).cast("binary"))
     size = lists.agg(F.sum(F.octet_length("packed") + 64)).first()[0] or 0
-    lists = lists.select("id", F.col("packed").alias(name))
-    return rows.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, "id", how)
+    lists = lists.select("row", F.col("packed").alias(name))
+    return rows.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, "row", how)
 
 
 def _packed(positions: DataFrame, label: str) -> DataFrame:
-    """One row a document: id, packed positions. positions: id, p."""
+    """row, packed positions. positions: row, p."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_pack(np.array(p.values, np.int64)) for p in b.column(1)], pa.binary())], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_pack(np.array(p.values, np.int64)) for p in b.column(1)], pa.binary())], ["row", "packed"])
 
-    return stored(positions.groupBy("id").agg(F.collect_list("p").alias("p")).mapInArrow(run, "id long, packed binary"), label)
+    return stored(positions.groupBy("row").agg(F.collect_set("p").alias("p")).mapInArrow(run, "row long, packed binary"), label)
 
 
 def _surviving(words: _Words, packed: list | None, length: int | None) -> np.ndarray:
@@ -119,49 +126,55 @@ def _surviving(words: _Words, packed: list | None, length: int | None) -> np.nda
 
 
 def _emit(rows: DataFrame, window: int, before: int | None, length: int) -> DataFrame:
-    """h, id, p of the parts (or, at the full length, windows) of all surviving windows. rows: id, text, packed."""
+    """h, id, row, p of the parts (or, at the full length, windows) of all surviving windows. rows: id, row, text, packed."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, GROUP):
                 part = b.slice(at, GROUP)
-                words = _Words(_encoded(part.column(1)), window)
-                starts = _surviving(words, part.column(2).to_pylist(), before)
+                words = _Words(_encoded(part.column(2)), window)
+                starts = _surviving(words, part.column(3).to_pylist(), before)
                 if length < window:
                     where, hashes = words.parts(length)
                     p = np.unique(where[starts])
                 else:
                     p, hashes = starts, kernel.mix(kernel.windows(words.h, window))
-                ids = part.column(0).to_numpy()
+                ids, own = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for k in range(0, len(p), 1 << 16):
                     q = p[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[q].view(np.int64)), pa.array(ids[words.doc[q]]), pa.array((q - words.at[words.doc[q]]).astype(np.int32))], ["h", "id", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[q].view(np.int64)), pa.array(ids[words.doc[q]]), pa.array(own[words.doc[q]]), pa.array((q - words.at[words.doc[q]]).astype(np.int32))], ["h", "id", "row", "p"])
 
-    return rows.select("id", "text", "packed").mapInArrow(run, "h long, id long, p int")
+    return rows.select("id", "row", "text", "packed").mapInArrow(run, "h long, id long, row long, p int")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> tuple[DataFrame | None, DataFrame | None]:
-    """Packed lists: the parts of the last length that survive, and the window starts that are least of their kind."""
-    rows, lists, before = _rows(docs), None, None
+def repeats(rows: DataFrame, shared: bool, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> tuple[DataFrame | None, DataFrame | None]:
+    """Packed lists: the parts of the last length that survive, and the window starts that are least of their kind. rows, shared: of _rows."""
+    lists, before = None, None
     for length in lengths:
-        parts = stored(_emit(_with(rows, lists, "packed", "inner"), window, before, length), f"parts-{length}")
+        parts = stored(_emit(_with(rows, lists, "packed", "inner"), window, before, length).select("h", "row", "p"), f"parts-{length}")
         twice = parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        lists, before = _packed(parts.join(twice, "h", "left_semi").select("id", "p"), f"repeated-{length}"), length
+        lists, before = _packed(parts.join(twice, "h", "left_semi").select("row", "p"), f"repeated-{length}"), length
         if lists.isEmpty():
             return None, None
     found = _emit(_with(rows, lists, "packed", "inner"), window, before, window)
+    if shared:
+        found = stored(found, "repeated-windows")
     # the place as one number, in the order of (id, start)
     place = (F.col("id").cast("decimal(20,0)") * F.lit(2**31) + F.col("p")).cast("decimal(38,0)")
     least = found.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("place"))
     start = F.pmod("place", F.lit(2**31).cast("decimal(38,0)")).cast("int")
     owner = F.floor((F.col("place") - start) / F.lit(2**31)).cast("long")
-    return lists, _packed(least.select(owner.alias("id"), start.alias("p")), "least-places")
+    least = least.select("h", owner.alias("id"), start.alias("p"))
+    # only the rows of that id that have this very window there
+    least = found.join(least, ["h", "id", "p"], "left_semi").select("row", "p") if shared else least.select(F.col("id").alias("row"), "p")
+    return lists, _packed(least, "least-places")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """id, n_words, n_removed, kept (the remaining words joined by one space) for every row of docs."""
-    lists, least = repeats(docs, window, lengths)
-    rows = _with(_with(_rows(docs), lists, "packed", "left"), least, "least", "left").select("id", "text", "packed", "least")
+    rows, shared = _rows(docs)
+    lists, least = repeats(rows, shared, window, lengths)
+    rows = _with(_with(rows, lists, "packed", "left"), least, "least", "left").select("id", "text", "packed", "least")
     last = lengths[-1]
 
     def run(batches):

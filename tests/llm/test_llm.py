@@ -416,6 +416,14 @@ def test_substring(spark, docs, tmp_path_factory, monkeypatch):
     assert read(alone) == substring_expected([(1, "a b"), (2, None)])
 
 
+def test_substring_rows_of_one_id(spark, tmp_path_factory):
+    """A first place in one row of an id is none in its other rows with other words there."""
+    a, b, c, d = (prose(30, 500 + i) for i in range(4))
+    data = [(1, a), (2, b), (2, a), (2, b + " " + c), (3, c), (None, d), (None, "x " + d), (None, a + " " + d), (None, d), (4, d), (5, None), (5, "")]
+    read = Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in rows(substring_dedup.digest(substring_dedup.removals(scan(spark, tmp_path_factory, data, "doc_id long, text string")))))
+    assert read == substring_expected(data)
+
+
 # personal data and secrets
 
 
