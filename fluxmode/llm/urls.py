@@ -6,8 +6,8 @@ canonical links and meta refresh redirects found in their HTML; the addresses, p
 components. A page without a rule of its own takes its component's decision: allow if a rule allows
 any address in it, else block if a rule blocks one, else allow.
 
-Addresses are compared without scheme and fragment. A link counts when it is absolute or starts with
-a slash; the first one of each sort on a page counts. Null URLs and URLs without :// have an empty host
+Addresses are compared without scheme and fragment. All links of a page count, relative ones against
+its path; targets of other schemes (mailto:) and mere fragments are none. Null URLs and URLs without :// have an empty host
 and path, no rule and no links, and are allowed; null HTML has no links. Every row of pages is judged
 for itself, repeated ids and URLs included. An empty table gives an empty result. Extra columns are
 ignored.
@@ -27,10 +27,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-_LINK = r"""(?is)<link\b[^>]{0,500}\brel\s{0,9}=\s{0,9}["']?canonical\b[^>]{0,2000}>"""
-_REFRESH = r"""(?is)<meta\b[^>]{0,500}\bhttp-equiv\s{0,9}=\s{0,9}["']?refresh\b[^>]{0,2000}>"""
-_HREF = r"""(?is)\bhref\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
-_TARGET = r"""(?is)\burl\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
+#: A tag without its closing >, what makes it a link of its sort, and where that points to.
+_LINK = (r"(?is)<link\b.*", r"""(?is)\brel\s*+=\s*+["']?canonical\b""", r"""(?is)\bhref\s*+=\s*+["']?([^"'\s>]+)""")
+_REFRESH = (r"(?is)<meta\b.*", r"""(?is)\bhttp-equiv\s*+=\s*+["']?refresh\b""", r"""(?is)\burl\s*+=\s*+["']?([^"'\s>]+)""")
 
 
 def _rest(url: Column) -> Column:
@@ -62,23 +61,42 @@ def _address(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), F.concat(host(url), F.regexp_replace(tail, r"^(?=$|\?)", "/")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its segments . and .. taken away."""
+    path = F.regexp_replace(path, r"(?<=/)(\.\.?)$", "$1/")
+    step = lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+
+
 def _resolved(target: Column, url: Column) -> Column:
     """An absolute URL for a link target, or null."""
     target = F.replace(target, F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
+    site = F.concat(scheme, F.lit("://"), host(url))
+    own = F.when(path(url) == "", "/").otherwise(path(url))
+    name, tail = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
     return (
         F.when(target.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(scheme, F.lit("://"), host(url), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, own, target))
+        .when(~target.rlike(r"^(?i)(#|[a-z][a-z0-9+.-]*:)"), F.concat(site, _without_dots(F.concat(F.regexp_replace(own, r"[^/]*$", ""), name)), tail))
     )
 
 
+def _targets(html: Column, sort: tuple[str, str, str], word: str) -> Column:
+    """Where all links of a sort on a page point to: each > ends at most one tag, so long and unclosed tags cost one pass."""
+    tag, mark, target = sort
+    pieces = F.split(html, ">", -1)
+    tags = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_extract(p, tag, 0))
+    found = F.transform(F.filter(tags, lambda t: t.rlike(mark)), lambda t: F.regexp_extract(t, target, 1))
+    return F.when(F.lower(html).contains(word), found).otherwise(F.array().cast("array<string>"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """url, target: canonical links and refresh redirects of pages to other addresses."""
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    canonical = F.when(F.contains(html, F.lit("canonical")), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
-    refresh = F.when(F.lower(html).contains("http-equiv"), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1))
-    each = pages.where(_rest(url).isNotNull()).select("url", F.explode(F.array(canonical, refresh)).alias("t"))
+    each = pages.where(_rest(url).isNotNull()).select("url", F.explode(F.concat(_targets(html, _LINK, "canonical"), _targets(html, _REFRESH, "http-equiv"))).alias("t"))
     return each.where("t <> ''").select("url", _resolved(F.col("t"), url).alias("target")).where("target IS NOT NULL").where(_address(F.col("target")) != _address(url))
 
 

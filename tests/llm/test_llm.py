@@ -534,6 +534,18 @@ def test_urls(spark, tmp_path_factory):
     assert rows(urls.judge(table.limit(0))) == []
 
 
+def test_all_links_count(spark, tmp_path_factory):
+    to, bad = "http://s.com/de/7", LINK.format("http://s.com/de/7")
+    data = [
+        (1, "http://a.net/1", f'<link href="{to}?{"q" * 2500}" rel="canonical">'), (2, f"http://a.net/2{'z' * 600}", bad), (3, "http://a.net/3", f'<LINK REL="CANONICAL" HREF="{to}">'),
+        (4, "http://a.net/4", LINK.format("http://b.net/") + "<p>" + bad), (5, "http://c.net/d/e?x", LINK.format("f.html")), (6, "http://c.net/d/f.html", bad),
+        (7, "http://c.net/d/e/g", LINK.format("../f.html")), (8, "http://e.net/l", LINK.format("?p=2")), (9, "http://e.net/l?p=2", bad), (10, "http://g.net/a/b/", LINK.format("./../../../x/./y/..")),
+        (11, "http://g.net/x/", bad), (12, "http://h.net/", LINK.format("mailto:a@b") + LINK.format("#top")), (13, "http://i.net/", "<link " * 5000 + 'rel="canonical" href="' + to), (14, "http://s.com/de/7?" + "q" * 2500, ""),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in rows(urls.judge(scan(spark, tmp_path_factory, data, "page_id long, url string, html string")))}
+    assert got == {i: "allow" if i in (12, 13) else "block" for i in range(1, 15)}
+
+
 # empty tables, kernel, pipeline
 
 
