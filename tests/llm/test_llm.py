@@ -472,16 +472,62 @@ def test_spans(spark, tmp_path_factory, scan_, kinds, expected):
         assert set(joined.split(",")) - {""} <= set(row["spans"].split(","))
 
 
+def entropy_expected(t, base):
+    """Pieces of key runs between allowed stretches that hold a window at its class's threshold and touch no base span."""
+    out, least = [], secrets.THRESHOLDS
+    for run in re.finditer(secrets.PATTERNS["entropy"], t):
+        at = run.start()
+        ends = [(m.start(), m.end()) for m in re.finditer(secrets._BETWEEN, run[0])] + [(len(run[0]), 0)]
+        begin = 0
+        for stop, after in ends:
+            v, start = run[0][begin:stop], at + begin
+            begin = after
+            for i in range(len(v) - 19):
+                w = v[i : i + 20]
+                low, up, num = (any(map(f, w)) for f in (str.islower, str.isupper, str.isdigit))
+                if not low and not up:
+                    limit = least["digits"]
+                elif num and (all(c in "0123456789abcdef" for c in w) or all(c in "0123456789ABCDEF" for c in w)):
+                    limit = least["hexadecimal"]
+                else:
+                    limit = least["letters"] if not num else least["mixed"] if low and up else least["one_case"]
+                if np.log2(20) - sum(c * np.log2(c) for c in Counter(w).values()) / 20 >= limit - 1e-12:
+                    if not any(a < start + len(v) and z > start for a, _, z, _ in base):
+                        out.append((start, 3, start + len(v), "entropy"))
+                    break
+    return out
+
+
+KEYS = [
+    "sessionkey=9f8a7b6c5d4e3f2a1b0c", "http://h/sig/ab12cd34ef56ab78cd90ff/example/pathsegment", "id 3f2504e0-4f89-11d3-9a0c-0305e82c3301", "thisisaverylongordinarywordindeedsoitis",
+    "QmZrTpLxWvNsBgHkYdFjCaEuIo", "a1" * 15, "0123456789" * 4, "password=Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1", "/usr/local/lib/python3/site-packages/getElementByIdOrName", "key Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1 end",
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzTqkKEY", "31415926535897932384626433832795", "EXAMPLE_ab12cd34ef56ab78cd90ff_example", "x" * 5000 + "9f8a7b6c5d4e3f2a1b0cZZ",
+]
+
+
 def test_entropy_spans(spark, tmp_path_factory):
-    secret = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"
-    texts = [f"key {secret} end", "id 3f2504e0-4f89-11d3-9a0c-0305e82c3301", "thisisaverylongordinarywordindeedsoitis", "a1" * 15, "0123456789" * 4, "password=Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"]
-    got = {r["doc_id"]: r["spans"] for r in rows(secrets.scan(scan(spark, tmp_path_factory, list(enumerate(texts)), "doc_id long, text string")))}
-    assert got[0] == f"entropy:4:{4 + len(secret)}" and not got[1] and not got[2] and not got[3] and "entropy" not in got[4] and got[5] == f"assign:0:{len(texts[5])}"
+    r = random.Random(3)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET, secrets.ALPHABET + "=", "0123456789", "aAbBcCdDeEfFgGhHiIjJkKlLmM"]
+    data = KEYS + ["".join(r.choice(r.choice(alphabets)) if r.random() < 0.02 else r.choice(alphabets[i % 6]) for _ in range(r.choice((25, 60, 3000)))) for i in range(60)]
+    got = {x["doc_id"]: x["spans"] for x in rows(secrets.scan(scan(spark, tmp_path_factory, list(enumerate(data)), "doc_id long, text string")))}
+    for i, t in enumerate(data):
+        base = secrets_expected(t)
+        assert got[i] == ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(base + entropy_expected(t, base))), t[:80]
+    assert got[0] == "entropy:11:31" and got[1] == "entropy:13:36" and got[9].startswith("entropy:4:") and not any(got[i] for i in (2, 3, 5, 8))
+
+
+def test_secrets_in_very_long_runs(spark, tmp_path_factory):
+    """No pattern recurses, and no step walks the run again."""
+    r = random.Random(6)
+    blob = "".join(r.choice(secrets.ALPHABET) for _ in range(300_000))
+    data = [(1, "ab-" * 20_000 + "a"), (2, "ab-" * 350_000 + "a"), (3, "x " + blob), (4, "a1_" * 350_000), (5, "token" + " " * 10**6), (6, "é" * 10**6 + " AKIA" + "A" * 10**6)]
+    got = {x["doc_id"]: x for x in rows(secrets.scan(scan(spark, tmp_path_factory, data, "doc_id long, text string")))}
+    assert not any(got[i]["spans"] for i in (1, 2, 4, 5)) and got[3]["spans"].startswith("entropy:2:") and got[6]["n_access"] == 1
 
 
 def test_window_entropy(spark):
     values = ["".join(rng.choice("abcdef0123") for _ in range(n)) for n in (20, 21, 25, 40, 77)] + ["a" * 30]
-    got = rows(spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v")).alias("e")))
+    got = rows(spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.best_window(F.col("v"))["entropy"].alias("e")))
     for r in got:
         w = [Counter(r["v"][i : i + 20]) for i in range(len(r["v"]) - 19)]
         assert abs(r["e"] - max(-sum(c / 20 * np.log2(c / 20) for c in x.values()) for x in w)) < 1e-9
