@@ -1,23 +1,31 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated thresholds.
 
 DataFrame functions only on the rows; the trees are grown on a table of counts. Validated formats
-(email, ip, card, phone) are found as they are and stay. Looser generators propose further spans of
-each kind. Format and context of a candidate are reduced to a few small integers, so all candidates of
-the corpus fall into a bounded number of cells (at most the product of LEVELS), and cells with their
-counts are all the driver gets. Trees are boosted on the cells with logistic loss; the label of a
-candidate is whether it passes its kind's validation. One fold of the documents calibrates, for each
-generator, the least score whose candidates pass with PRECISION; candidates at or above it that touch
-no validated span are redacted too.
+(email, ip, card, phone) are found as they are and stay. High-recall generators propose further,
+overlapping spans of each kind: addresses with (at) and (dot), numbers with other separators or none,
+cards within longer runs of digits, phone numbers without their plus.
+
+A candidate is labelled by its normalised value (at and dot restored, separators stripped): an address
+with an alphabetic ending, four octets, a card number that passes Luhn, or 10 to 15 digits that a plus,
+an area code or a cue word marks as a phone number. No label asks for the validated format, and check sums, octets and endings are no features: what the trees learn is how often candidates of a format, in a context, are the
+real thing (phone numbers have no check sum: there the marks themselves are features). Format and context are reduced to a few small integers, so all candidates of the corpus
+fall into a bounded number of cells (at most the product of LEVELS), and cells with their counts are all
+the driver gets. Trees are boosted on the cells with logistic loss. One fold of the documents calibrates
+for each generator the least score from which on PRECISION of the candidates that pass are no chance
+passes: what is not of a kind passes its check with about the share CHANCE, so the failures tell how many
+passes are accidents. Candidates at or above it that pass and touch no validated span are redacted, too;
+of accepted candidates that overlap, all are.
 
 Null text is an empty text. Every row gives one result row, repeated ids included; rows are told apart
-by their place in the scan. Extra columns are ignored by scan(). An empty table, or one without
-candidates, gives no further spans.
+by their place in the scan. Patterns are possessive, so very long texts and runs cost one pass each. Ties
+do not arise: equal scores are accepted alike. Extra columns are ignored by scan(). An empty table, or
+one without candidates in both folds, gives no further spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
@@ -32,16 +40,20 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email?": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?)[A-Za-z0-9-]++)++",
+    "email?": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|(?i:\(at\)|\[at\]|\{at\}))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?i:\(dot\)|\[dot\]|\{dot\})\x20?)[A-Za-z0-9-]++)++",
     "ip?": r"(?<![0-9])[0-9]{1,4}(?:[.,:][0-9]{1,4}){3}(?![0-9])",
     "card?": r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){11,}+",
-    "phone?": r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+",
+    "group?": r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}(?:[\x20./_-][0-9]{4}){3})(?![0-9])",
+    "phone?": r"(?<![0-9])(?:\+\x20?)?[(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+",
 }
+#: What each generator proposes, and how often something else passes that kind's check.
+KIND_OF = {"email?": "email", "ip?": "ip", "card?": "card", "group?": "card", "phone?": "phone"}
+CHANCE = {"email?": 0.5, "ip?": 0.3, "card?": 0.1, "group?": 0.1, "phone?": 0.5}
 #: Words that announce a kind, looked for in what stands before a candidate.
-CUES = {"email?": "mail|contact|write", "ip?": r"\bip\b|host|server|addr", "card?": "card|visa|credit|account|pay", "phone?": "tel|phone|call|mobile|fax"}
-#: Cells: generator, digits, digit groups, separator, before, after, check, cue.
-LEVELS = {"gen": 4, "digits": 6, "groups": 5, "sep": 5, "before": 4, "after": 4, "check": 2, "cue": 2}
-ROUNDS, RATE, PRECISION = 20, 0.4, 0.99
+CUES = {"email": "mail|contact|write|reach", "ip": r"\bip\b|host|server|addr", "card": "card|visa|credit|account|pay", "phone": "tel|phone|call|mobile|fax|cell"}
+#: Cells: generator, digits, digit groups, separator, before, after, opening, cue.
+LEVELS = {"gen": 5, "digits": 6, "groups": 5, "sep": 6, "before": 4, "after": 4, "open": 3, "cue": 2}
+ROUNDS, RATE, PRECISION = 30, 0.4, 0.95
 
 
 def _digits(value: Column) -> Column:
@@ -65,31 +77,43 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _cue() -> Column:
+    cue = F.lit(False)
+    for g, kind in KIND_OF.items():
+        cue = F.when(F.col("kind") == g, F.lower("before").rlike(CUES[kind])).otherwise(cue)
+    return F.coalesce(cue, F.lit(False))
+
+
+def _passes() -> Column:
+    """Whether the normalised value of a candidate is one of its kind: the label of the trees."""
+    kind, value = F.col("kind"), F.col("value")
+    address = F.regexp_replace(F.regexp_replace(value, r"(?i)\x20?[(\[{]at[)\]}]\x20?|\x20?@\x20?", "@"), r"(?i)\x20?[(\[{]dot[)\]}]\x20?", ".")
+    n = F.length(_digits(value))
+    marked = value.rlike(r"^\+|^[(][0-9]{2,5}+[)]") | _cue()
+    return F.coalesce(
+        F.when(kind == "email?", address.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)*+$") & address.rlike(r"\.[A-Za-z]{2,24}$"))
+        .when(kind == "ip?", _octets(value, "[.,:]") & ~value.rlike(r"(^|[.,:])0[0-9]") & (value.rlike(r"^[0-9.]++$") | _cue()))
+        .when(kind.isin("card?", "group?"), n.between(14, 19) & F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))"))
+        .otherwise(n.between(10, 15) & marked),
+        F.lit(False),
+    )
+
+
 def _cells() -> dict[str, Column]:
     kind, value = F.col("kind"), F.col("value")
     bins = lambda c, *edges: sum((F.when(c >= e, 1).otherwise(0) for e in edges), F.lit(0))
     side = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}_]$"), 1).when(c.rlike(r"^[0-9]$"), 2).otherwise(3)
-    seps = F.array_distinct(F.split(F.regexp_replace(value, "[^ ./_:,()-]", ""), ""))
+    seps = F.array_distinct(F.split(F.regexp_replace(value, "[^ ./_:,@()-]", ""), ""))
     marks = F.array_join(F.array_sort(F.array_remove(seps, "")), "")
-    cue = F.lit(False)
-    for g, words in CUES.items():
-        cue = F.when(kind == g, F.lower("before").rlike(words)).otherwise(cue)
-    # one property of the format, never the whole validation that gives the label
-    check = (
-        F.when(kind == "card?", F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))"))
-        .when(kind == "ip?", _octets(value, "[.,:]"))
-        .when(kind == "phone?", F.startswith(value, F.lit("+")))
-        .otherwise(F.contains(value, F.lit("@")) & ~F.contains(value, F.lit(" ")))
-    )
     return {
         "gen": spans.order_of(list(GENERATORS), kind),
-        "digits": bins(F.length(_digits(value)), 7, 10, 12, 16, 20),
+        "digits": bins(F.length(_digits(value)), 7, 10, 14, 16, 20),
         "groups": F.least(F.size(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))), F.lit(4)),
-        "sep": F.when(marks == "", 0).when(marks == " ", 1).when(marks == "-", 2).when(marks == ".", 3).otherwise(4),
+        "sep": F.when(marks == "", 0).when(marks == " ", 1).when(marks == "-", 2).when(F.contains(marks, F.lit("@")), 3).when(marks == ".", 4).otherwise(5),
         "before": side(F.right("before", F.lit(1))),
         "after": side(F.left("after", F.lit(1))),
-        "check": F.coalesce(check, F.lit(False)).cast("int"),
-        "cue": F.coalesce(cue, F.lit(False)).cast("int"),
+        "open": F.when(F.startswith(value, F.lit("+")), 2).when(value.rlike(r"^[(][0-9]{2,5}+[)]"), 1).otherwise(0),
+        "cue": _cue().cast("int"),
     }
 
 
@@ -140,14 +164,18 @@ class Boosted:
         return out
 
 
-def thresholds(model: Boosted, x: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float = PRECISION) -> dict[int, float]:
-    """For each generator the least score at or above which candidates pass with the given precision."""
+def thresholds(model: Boosted, x: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float = PRECISION, chance: dict[int, float] | None = None) -> dict[int, float]:
+    """For each generator (column 0) the least score at or above which at most 1 - precision of the passes are accidents.
+
+    Of what is not of a kind, the share chance passes all the same: f failures stand for f * chance / (1 - chance) such passes.
+    """
     out, score = {}, model.score(x)
     for g in np.unique(x[:, 0]):
-        own = x[:, 0] == g
+        own, c = x[:, 0] == g, (chance or {}).get(int(g), 0.5)
         for t in np.unique(score[own]):
             at = own & (score >= t)
-            if (n[at] @ y[at]) >= precision * n[at].sum():
+            passed = n[at] @ y[at]
+            if passed and (n[at].sum() - passed) * c / (1 - c) <= (1 - precision) * passed:
                 out[int(g)] = float(t) - 1e-9
                 break
     return out
@@ -156,13 +184,15 @@ def thresholds(model: Boosted, x: np.ndarray, y: np.ndarray, n: np.ndarray, prec
 def matches(docs: DataFrame) -> DataFrame:
     """rid, doc_id, kind, start, stop, value, base: validated spans and accepted candidates; a null kind for each document."""
     text = F.col("text")
-    gates = {"email": F.contains(text, F.lit("@")), "email?": text.rlike(r"@|\(at\)|\[at\]"), "phone": F.contains(text, F.lit("+"))}
+    digits = text.rlike(r"[0-9](?:[^0-9]{0,3}[0-9]){6}")
+    gates = {
+        "email": F.contains(text, F.lit("@")), "email?": F.contains(text, F.lit("@")) | text.rlike(r"(?i)[(\[{]at[)\]}]"), "phone": F.contains(text, F.lit("+")),
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "ip?": text.rlike(r"[0-9][.,:][0-9]{1,4}+[.,:][0-9]"), "card": digits, "card?": digits, "group?": digits, "phone?": digits,
+    }
     located = spans.located(docs, BASE | GENERATORS, gates)
     proposed = F.endswith(F.col("kind"), F.lit("?"))
-    found = stored(
-        located.withColumn("ok", F.coalesce(_valid(F.col("kind"), F.col("value")), F.lit(False))).where(F.col("kind").isNull() | proposed | F.col("ok")).withColumns(_cells()),
-        "pii-candidates",
-    )
+    passes = F.when(proposed, _passes()).otherwise(F.coalesce(_valid(F.col("kind"), F.col("value")), F.lit(False)))
+    found = stored(located.withColumn("ok", passes).where(F.col("kind").isNull() | proposed | F.col("ok")).withColumns(_cells()), "pii-candidates")
     base = found.where(F.col("kind").isNull() | ~proposed).select("rid", "doc_id", "kind", "start", "stop", "value", F.lit(True).alias("base"))
     names = list(LEVELS)
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0).alias("held")
@@ -173,17 +203,16 @@ def matches(docs: DataFrame) -> DataFrame:
     x, y, n = ({h: np.array([[r[c] for c in names] for r in rows]) for h, rows in fold.items()}, *({h: np.array([r[c] for r in rows], float) for h, rows in fold.items()} for c in ("y", "n")))
     model = Boosted(x[False], y[False], n[False])
     limit = F.lit(None).cast("double")
-    for g, t in thresholds(model, x[True], y[True], n[True]).items():
+    chance = {i: CHANCE[g] for i, g in enumerate(GENERATORS)}
+    for g, t in thresholds(model, x[True], y[True], n[True], chance=chance).items():
         limit = F.when(F.col("gen") == g, t).otherwise(limit)
-    before = Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(1, Window.unboundedFollowing)
-    sure = found.where("kind IS NOT NULL").where(~proposed | (model.column(names) >= limit))
-    # a candidate at the place of a validated span sorts beside it: equal starts are looked at both ways
-    touch = (F.coalesce(F.max(F.when(~proposed, F.col("stop"))).over(before), F.lit(-1)) > F.col("start")) | (
-        F.coalesce(F.min(F.when(~proposed, F.col("start"))).over(after), F.col("stop")) < F.col("stop")
-    )
-    more = sure.withColumn("touch", touch).where(proposed & ~F.col("touch"))
-    return base.unionByName(more.select("rid", "doc_id", F.regexp_replace("kind", r"\?$", "").alias("kind"), "start", "stop", "value", F.lit(False).alias("base")))
+    sure = found.where("kind IS NOT NULL").where(~proposed | (F.col("ok") & (model.column(names) >= limit)))
+    named = F.lit(None).cast("string")
+    for g, kind in KIND_OF.items():
+        named = F.when(F.col("kind") == g, kind).otherwise(named)
+    more = sure.withColumn("apart", spans.apart(~proposed)).where(proposed & F.col("apart"))
+    more = more.select("rid", "doc_id", named.alias("kind"), "start", "stop", "value", F.lit(False).alias("base")).distinct()  # two generators may agree
+    return base.unionByName(more)
 
 
 def scan(docs: DataFrame) -> DataFrame:

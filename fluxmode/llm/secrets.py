@@ -139,13 +139,7 @@ def matches(docs: DataFrame) -> DataFrame:
     found = stored(spans.located(docs, PATTERNS, gates).withColumn("base", known), "secret-candidates")
     base = found.where("kind IS NULL OR base").select("rid", "doc_id", "kind", "start", "stop", "value", "base")
     more = random_pieces(pieces(found.where("kind = 'entropy'"))).select("rid", "doc_id", F.lit("entropy").alias("kind"), "start", "stop", "value", F.lit(False).alias("base"))
-    # a piece that a known span of its document reaches into is no further one
-    reach = Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(1, Window.unboundedFollowing)
-    free = (F.coalesce(F.max(F.when(F.col("base"), F.col("stop"))).over(reach), F.lit(-1)) <= F.col("start")) & (
-        F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(ahead), F.col("stop")) >= F.col("stop")
-    )
-    both = base.where("kind IS NOT NULL").unionByName(more).withColumn("free", free).where("base OR free").drop("free")
+    both = base.where("kind IS NOT NULL").unionByName(more).withColumn("apart", spans.apart(F.col("base"))).where("base OR apart").drop("apart")
     return base.where("kind IS NULL").unionByName(both)
 
 

@@ -46,6 +46,16 @@ def _structs(kind: str, i: int) -> Column:
     return F.coalesce(each, F.array())
 
 
+def apart(sure: Column) -> Column:
+    """Whether a row (rid, start, stop) overlaps no other row of its document for which sure holds. Both windows only grow: linear."""
+    order = (F.col("start"), F.col("stop"), sure)
+    ahead = Window.partitionBy("rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("rid").orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(F.when(sure, F.col("stop"))).over(ahead), F.lit(-1)) > F.col("start")
+    entered = F.coalesce(F.min(F.when(sure, F.col("start"))).over(behind), F.col("stop")) < F.col("stop")
+    return ~(reached | entered)
+
+
 def order_of(kinds: list[str], kind: Column) -> Column:
     at = F.lit(len(kinds))
     for i, k in enumerate(kinds):
