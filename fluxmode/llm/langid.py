@@ -6,7 +6,7 @@ tasks and summed by Spark; the log-probability matrix (languages x BUCKETS) is b
 batches are scored by gathering matrix columns at the features that occur.
 
 The model may learn from a bounded sample: about MAX_PER_LANG rows of each language, those whose
-hashed ids are least. A text that is null or has no letter gets `und` with score 0; so does every
+hashed ids are least. A text that is null or has no letter (Unicode category L) gets `und` with score 0; so does every
 text when nothing could be learned. Of equally likely languages the first in order wins. Repeated
 rows are scored each for itself; extra columns are ignored; an empty table gives an empty result.
 """
@@ -14,6 +14,7 @@ rows are scored each for itself; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ MAX_PER_LANG = 20_000
 #: Code points worked on at once.
 SEGMENT = 1 << 16
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numeric characters that \w holds besides digits (fractions, numerals in rings) and that are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def plain(text: str | None) -> str:
@@ -71,7 +74,8 @@ class Model:
             log = self.prior.copy()
             for f in features(t):
                 seen = np.bincount(f, minlength=BUCKETS) if len(f) > BUCKETS else None
-                log += seen @ self.matrix.astype(float) if seen is not None else self.matrix[f].sum(0, dtype=float)
+                used = np.flatnonzero(seen) if seen is not None else None
+                log += seen[used] @ self.matrix[used] if seen is not None else self.matrix[f].sum(0, dtype=float)
             best = int(np.argmax(log))
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(log - log[best]).sum()))

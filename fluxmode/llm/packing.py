@@ -125,7 +125,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 
 def encoder(path: str):
-    """text -> ids of the byte-level tokenizer file at path, special tokens read as plain text.
+    """text -> ids of the byte-level tokenizer file at path; special tokens in a text have their own ids, as with its library.
 
     The file's vocabulary is in merge order, so its ids serve as merge ranks: that gives the ids the
     file's own library gives, in a third of the time.
@@ -133,12 +133,14 @@ def encoder(path: str):
     import tiktoken
 
     with open(path) as f:  # a file of the installed tokenizer package, on every executor
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, special = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
     # byte-level files write each byte as one printable character
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special and all(c in byte_of for c in token)}
+    made = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: made.encode(text, allowed_special="all")
 
 
 _loaded: dict = {}
