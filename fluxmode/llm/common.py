@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_fluxmode_shared", None)
         if found is None:
             found = tempfile.mkdtemp(prefix="fluxmode-shared-")
@@ -26,6 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called that."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+#: Rows of one key from which on it is dealt over SALTS tasks, and the keys that may be dealt (a broadcast of 8 bytes each).
+HOT, MAX_HOT, SALTS = 10_000, 1_000_000, 64
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """many joined with one (a stored table, one row a key) on keys; n: column of one, the rows of many that have the key.
+
+    A key with more than HOT rows, or 1 / MAX_HOT of all rows where that is more, is hot: there are at most MAX_HOT
+    of them, which bounds what is broadcast. The rows of a hot key are dealt over SALTS tasks and its row of one is copied to each.
+    """
+    limit = max(HOT, (one.agg(F.sum(n)).first()[0] or 0) // MAX_HOT)
+    hot = one.where(F.col(n) > limit).select(F.xxhash64(*keys).alias("_hot")).distinct()
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    is_hot = F.xxhash64(*keys) == F.col("_hot")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = many.join(F.broadcast(hot), is_hot, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = one.join(F.broadcast(hot), is_hot, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -40,7 +72,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b), both bigint; component is the least node reachable.
+    """(node, component) for every node of edges (a, b), of one orderable type; component is the least node reachable.
 
     Alternating large-star and small-star rounds. Each round groups a node's neighbours with a
     partial aggregate (min) only, so a node of very high degree never gathers its neighbours in one

@@ -95,13 +95,24 @@ def _cut(t: bytes, at: int) -> int:
     return at
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word windows at each position where one fits; order matters."""
+def windows(h: np.ndarray, k: int, factor: int = _QS) -> np.ndarray:
+    """Hashes of the k-word windows at each position where one fits; order matters. Another odd factor gives another hash."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = h[:n].copy()
     for j in range(1, k):
-        out *= np.uint64(_QS)
+        out *= np.uint64(factor)
         out += h[j : j + n]
     return out
+
+
+def slices(texts: list[bytes], rows: int, size: int = SEGMENT) -> list[tuple[int, int]]:
+    """Ranges of a batch's texts that hold at most so many rows and, one text apart, so many bytes."""
+    out, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and (i - begin == rows or held + len(t) > size):
+            out.append((begin, i))
+            begin, held = i, 0
+        held += len(t)
+    return [*out, (begin, len(texts))] if texts else out

@@ -7,22 +7,25 @@ the same document and an earlier start) is removed; windows are judged on the in
 Lengths double from 5 to 10 to 20. At each length below the last a window of 20 is represented by
 the part of that length whose hash is least (equal windows choose the same part), so that a small
 share of the parts needs counting. Only windows whose part occurs twice or more go on to twice the
-length; when none does, the search ends. At the full length the least place of each window's hash
-stays and the others' words go. Nothing is sampled: a repeated window has repeated parts at every
-length.
+length; when none does, the search ends. At the full length the least place of each window stays and
+the others' words go; a window is then known by two hashes of 64 bits with different factors (shorter
+parts by one, as an accident there only sends a window on). Nothing is sampled: a repeated window has
+repeated parts at every length.
 
-Counts and least places are partial aggregates, so a passage in a third of all documents is folded
-in the tasks. What a document needs to know of its own windows comes back packed, one row a
-document, and is broadcast only if MAX_BROADCAST bytes hold all of it. Texts of any length are
-hashed in segments.
+Counts and least places are partial aggregates, and the places of a passage in a third of all documents
+are dealt over many tasks. What a document needs to know of its own windows comes back packed, one row a
+document. It is broadcast if MAX_BROADCAST bytes hold all of it; beyond that the texts are written once
+as a table bucketed by row, to which each level's lists are dealt, so texts are shuffled once. Texts of
+any length are hashed in segments, and a task works on a few documents of about kernel.SEGMENT bytes.
 
 Null texts have no words. Rows that share an id are one document: none of them is earlier at equal
-starts; a start is a first place only in the rows that have this very window there. Null ids come before all others. Empty tables give empty results. Extra columns are ignored.
+starts; a start is a first place only in the rows that have this very window there. Null ids come before
+all others. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -31,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import stored
+from .common import shared_dir, spread_join, stored
 
 WINDOW, LENGTHS = 20, (5, 10)
-#: Bytes of packed positions that may be broadcast, and documents hashed at once.
-MAX_BROADCAST, GROUP = 32 << 20, 256
+#: Bytes of packed positions that may be broadcast, bytes of text of a bucket, and documents hashed at once.
+MAX_BROADCAST, BUCKET_BYTES, GROUP = 32 << 20, 128 << 20, 256
 _NULL_ID = -(2**63)
+#: Bits for a position among the words hashed at once: a text has less than 2^31 bytes.
+_PLACE = np.uint64(31)
+_SECOND = 0xA0761D6478BD642F
 
 
 def _pack(positions: np.ndarray) -> bytes:
@@ -65,13 +71,13 @@ class _Words:
         if not n:
             return np.zeros(0, np.int64), hashes
         # the high bits of a hash above its position: the leftmost of equals is least
-        low = (hashes & np.uint64(0xFFFFFFFFF0000000)) | np.arange(len(hashes), dtype=np.uint64)
+        low = (hashes >> _PLACE << _PLACE) | np.arange(len(hashes), dtype=np.uint64)
         width, reach = 1, self.window - length + 1
         while width < reach:
             step = min(width, reach - width)
             low = np.minimum(low[:-step], low[step:])
             width += step
-        return (low[:n] & np.uint64(0x0FFFFFFF)).astype(np.int64), hashes
+        return (low[:n] & np.uint64((1 << 31) - 1)).astype(np.int64), hashes
 
     def listed(self, packed: list[bytes | None]) -> np.ndarray:
         """Marks at the listed positions (within each document) of all documents."""
@@ -83,30 +89,44 @@ class _Words:
         return mark
 
 
-def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+class Rows:
     """id, row, text, and whether an id has unlike texts. Lists of positions are kept by row: the id, or then a hash of id and text.
 
     Rows of one id and text have the same words at the same places, so they may share their lists.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    each = rows.select("id", F.xxhash64("text").alias("t")).groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    shared = not each.where("low <> high").isEmpty()
-    return rows.select("id", (F.xxhash64("id", "text") if shared else F.col("id")).alias("row"), "text"), shared
+
+    def __init__(self, docs: DataFrame):
+        rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        each = rows.select("id", F.xxhash64("text").alias("t")).groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+        self.shared = not each.where("low <> high").isEmpty()
+        self.scan = rows.select("id", (F.xxhash64("id", "text") if self.shared else F.col("id")).alias("row"), "text")
+        self._bucketed = None
+
+    def bucketed(self) -> DataFrame:
+        """The same rows as a table in the shared folder, dealt by row: a join on row does not shuffle them again."""
+        if self._bucketed is None:
+            spark = self.scan.sparkSession
+            size = self.scan.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+            name = f"texts_{uuid.uuid4().hex}"
+            self.scan.repartition(n, "row").write.bucketBy(n, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+            self._bucketed = spark.table(name)
+        return self._bucketed
+
+    def joined(self, lists: dict[str, DataFrame | None], how: str) -> DataFrame:
+        """The rows with their packed positions, a column for each name."""
+        given = {name: df.select("row", F.col("packed").alias(name)) for name, df in lists.items() if df is not None}
+        few = {name: (df.agg(F.sum(F.octet_length(name) + 64)).first()[0] or 0) <= MAX_BROADCAST for name, df in given.items()}
+        out = self.scan if all(few.values()) else self.bucketed()
+        for name in lists:
+            out = out.join(F.broadcast(given[name]) if few[name] else given[name].hint("shuffle_hash"), "row", how) if name in given else out.withColumn(name, F.lit(None).cast("binary"))
+        return out
 
 
 def _encoded(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _with(rows: DataFrame, lists: DataFrame | None, name: str, how: str) -> DataFrame:
-    """rows with their packed positions."""
-    if lists is None:
-        return rows.withColumn(name, F.lit(None).cast("binary"))
-    size = lists.agg(F.sum(F.octet_length("packed") + 64)).first()[0] or 0
-    lists = lists.select("row", F.col("packed").alias(name))
-    return rows.join(F.broadcast(lists) if size <= MAX_BROADCAST else lists, "row", how)
-
-
 def _packed(positions: DataFrame, label: str) -> DataFrame:
     """row, packed positions. positions: row, p."""
 
@@ -126,87 +146,95 @@ def _surviving(words: _Words, packed: list | None, length: int | None) -> np.nda
 
 
 def _emit(rows: DataFrame, window: int, before: int | None, length: int) -> DataFrame:
-    """h, id, row, p of the parts (or, at the full length, windows) of all surviving windows. rows: id, row, text, packed."""
+    """h, g, id, row, p of the parts (or, at the full length, windows) of all surviving windows. rows: id, row, text, packed.
+
+    g is the second hash of a full window, and null for shorter parts.
+    """
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, GROUP):
-                part = b.slice(at, GROUP)
-                words = _Words(_encoded(part.column(2)), window)
+            texts = _encoded(b.column(2))
+            for at, end in kernel.slices(texts, GROUP):
+                part = b.slice(at, end - at)
+                words = _Words(texts[at:end], window)
                 starts = _surviving(words, part.column(3).to_pylist(), before)
                 if length < window:
                     where, hashes = words.parts(length)
-                    p = np.unique(where[starts])
+                    p, second = np.unique(where[starts]), None
                 else:
-                    p, hashes = starts, kernel.mix(kernel.windows(words.h, window))
+                    p, hashes, second = starts, kernel.mix(kernel.windows(words.h, window)), kernel.mix(kernel.windows(words.h, window, _SECOND))
                 ids, own = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for k in range(0, len(p), 1 << 16):
                     q = p[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[q].view(np.int64)), pa.array(ids[words.doc[q]]), pa.array(own[words.doc[q]]), pa.array((q - words.at[words.doc[q]]).astype(np.int32))], ["h", "id", "row", "p"])
+                    doc = words.doc[q]
+                    g = pa.nulls(len(q), pa.int64()) if second is None else pa.array(second[q].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[q].view(np.int64)), g, pa.array(ids[doc]), pa.array(own[doc]), pa.array((q - words.at[doc]).astype(np.int32))], ["h", "g", "id", "row", "p"])
 
-    return rows.select("id", "row", "text", "packed").mapInArrow(run, "h long, id long, row long, p int")
+    return rows.select("id", "row", "text", "packed").mapInArrow(run, "h long, g long, id long, row long, p int")
 
 
-def repeats(rows: DataFrame, shared: bool, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> tuple[DataFrame | None, DataFrame | None]:
-    """Packed lists: the parts of the last length that survive, and the window starts that are least of their kind. rows, shared: of _rows."""
+def repeats(rows: Rows, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> tuple[DataFrame | None, DataFrame | None]:
+    """Packed lists: the parts of the last length that survive, and the window starts that are least of their kind."""
     lists, before = None, None
     for length in lengths:
-        parts = stored(_emit(_with(rows, lists, "packed", "inner"), window, before, length).select("h", "row", "p"), f"parts-{length}")
-        twice = parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        lists, before = _packed(parts.join(twice, "h", "left_semi").select("row", "p"), f"repeated-{length}"), length
+        parts = stored(_emit(rows.joined({"packed": lists}, "inner"), window, before, length).select("h", "row", "p"), f"parts-{length}")
+        twice = stored(parts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"twice-{length}")
+        lists, before = _packed(spread_join(parts, twice, ["h"], "n", "left_semi").select("row", "p"), f"repeated-{length}"), length
         if lists.isEmpty():
             return None, None
-    found = _emit(_with(rows, lists, "packed", "inner"), window, before, window)
-    if shared:
+    found = _emit(rows.joined({"packed": lists}, "inner"), window, before, window)
+    if rows.shared:
         found = stored(found, "repeated-windows")
     # the place as one number, in the order of (id, start)
     place = (F.col("id").cast("decimal(20,0)") * F.lit(2**31) + F.col("p")).cast("decimal(38,0)")
-    least = found.select("h", place.alias("place")).groupBy("h").agg(F.min("place").alias("place"))
+    least = found.select("h", "g", place.alias("place")).groupBy("h", "g").agg(F.min("place").alias("place"))
     start = F.pmod("place", F.lit(2**31).cast("decimal(38,0)")).cast("int")
     owner = F.floor((F.col("place") - start) / F.lit(2**31)).cast("long")
-    least = least.select("h", owner.alias("id"), start.alias("p"))
+    least = least.select("h", "g", owner.alias("id"), start.alias("p"))
     # only the rows of that id that have this very window there
-    least = found.join(least, ["h", "id", "p"], "left_semi").select("row", "p") if shared else least.select(F.col("id").alias("row"), "p")
+    least = found.join(least, ["h", "g", "id", "p"], "left_semi").select("row", "p") if rows.shared else least.select(F.col("id").alias("row"), "p")
     return lists, _packed(least, "least-places")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """id, n_words, n_removed, kept (the remaining words joined by one space) for every row of docs."""
-    rows, shared = _rows(docs)
-    lists, least = repeats(rows, shared, window, lengths)
-    rows = _with(_with(rows, lists, "packed", "left"), least, "least", "left").select("id", "text", "packed", "least")
+    rows = Rows(docs)
+    packed, least = repeats(rows, window, lengths)
+    given = rows.joined({"packed": packed, "least": least}, "left").select("id", "text", "packed", "least")
     last = lengths[-1]
 
+    def cut(texts: list[bytes], packed: list, least: list):
+        """Words of each text, and the marks of those that go (None for none)."""
+        open_ = [i for i, p in enumerate(packed) if p]
+        gone: dict[int, np.ndarray] = {}
+        if open_:
+            words = _Words([texts[i] for i in open_], window)
+            mine = np.zeros(len(words.h) + 1, bool)
+            mine[_surviving(words, [packed[i] for i in open_], last)] = True
+            mine &= ~words.listed([least[i] for i in open_])
+            edge = np.zeros(len(words.h) + window + 1, np.int64)
+            starts = np.flatnonzero(mine)
+            edge[starts] += 1
+            np.subtract.at(edge, starts + window, 1)
+            covered = np.cumsum(edge)[: len(words.h)] > 0
+            gone = {i: covered[words.at[k] : words.at[k + 1]] for k, i in enumerate(open_)}
+        return ((t.split(), gone.get(i)) for i, t in enumerate(texts))
+
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, GROUP):
-                part = b.slice(at, GROUP)
-                texts, packed = _encoded(part.column(1)), part.column(2).to_pylist()
+            texts = _encoded(b.column(1))
+            for at, end in kernel.slices(texts, GROUP):
+                part = b.slice(at, end - at)
                 n_words, n_removed, kept = [], [], []
-                open_ = [i for i, p in enumerate(packed) if p]
-                gone: dict[int, np.ndarray] = {}
-                if open_:
-                    words = _Words([texts[i] for i in open_], window)
-                    mine = np.zeros(len(words.h) + 1, bool)
-                    mine[_surviving(words, [packed[i] for i in open_], last)] = True
-                    mine &= ~words.listed([part.column(3)[i].as_py() for i in open_])
-                    edge = np.zeros(len(words.h) + window + 1, np.int64)
-                    starts = np.flatnonzero(mine)
-                    edge[starts] += 1
-                    np.subtract.at(edge, starts + window, 1)
-                    covered = np.cumsum(edge)[: len(words.h)] > 0
-                    gone = {i: covered[words.at[k] : words.at[k + 1]] for k, i in enumerate(open_)}
-                for i, t in enumerate(texts):
-                    w = t.split()
+                for w, out in cut(texts[at:end], part.column(2).to_pylist(), part.column(3).to_pylist()):
                     n_words.append(len(w))
-                    out = gone.get(i)
                     if out is not None and out.any():
-                        w = [x for x, cut in zip(w, out.tolist(), strict=True) if not cut]
+                        w = [x for x, off in zip(w, out.tolist(), strict=True) if not off]
                     n_removed.append(n_words[-1] - len(w))
                     kept.append(b" ".join(w))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    out = rows.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+    out = given.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
     return out.withColumn("id", F.when(F.col("id") != _NULL_ID, F.col("id")))
 
 
