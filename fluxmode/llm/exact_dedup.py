@@ -3,8 +3,10 @@
 Texts are equal when they are identical after lower-casing A-Z. The index has a directory of 2^g
 slots, addressed by the leading g bits of a 64-bit key; a bucket that would hold more distinct keys
 than its capacity is split on its next bit, and the directory doubles when a bucket's local depth
-passes the global one. Each bucket has one owner task, which gets its key range sorted, chains
-entries of one key and compares the bytes of their texts. The entries lie in the shared folder.
+passes the global one. Each bucket has one owner task; an owner holds a range of neighbouring buckets of
+about OWNER_BYTES of text, gets its key range sorted, chains entries of one key and compares the bytes of
+their texts. The entries lie in the shared folder. The capacity grows with the number of keys, so the
+directory has at most about MAX_BUCKETS buckets and the driver at most 16 counts for each.
 
 Copies are folded within each Arrow batch before anything is shuffled, so a text held by a third of
 all rows reaches its owner as one row a batch; the owner streams its rows and holds one chain only.
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import spread_join, stored
 
-#: Distinct keys a bucket holds before it is split, and the bits a directory may address.
-CAPACITY, MAX_DEPTH = 8192, 22
+#: Distinct keys a bucket holds before it is split (more where else there were over MAX_BUCKETS buckets), and bytes of text of an owner.
+CAPACITY, MAX_BUCKETS, OWNER_BYTES = 8192, 1 << 16, 256 << 20
 _LOW = -(2**63)
 
 
@@ -41,23 +43,29 @@ def _key(norm: bytes) -> int:
 
 
 def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One entry a row of docs: doc_id, key, text_sha256."""
+    """One entry a row of docs: doc_id, key, text_sha256, size (bytes)."""
 
     def scan(batches):
         for b in batches:
             norm = [normalised(x) for x in b.column(1).to_pylist()]
             keys = np.array([_key(x) for x in norm], np.uint64).view(np.int64)
             sha = [hashlib.sha256(x).hexdigest() for x in norm]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys), pa.array(sha)], ["doc_id", "key", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys), pa.array(sha), pa.array([len(x) for x in norm], pa.int32())], ["doc_id", "key", "text_sha256", "size"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scan, "doc_id long, key long, text_sha256 string")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(scan, "doc_id long, key long, text_sha256 string, size int")
 
 
 class Directory:
-    """slots[leading global_depth bits of a key] = bucket; depths[bucket] = its local depth."""
+    """slots[leading global_depth bits of a key] = bucket; depths and sizes[bucket] = its local depth and keys; owners[bucket] = its owner."""
 
-    def __init__(self, slots: np.ndarray, depths: list[int], global_depth: int):
-        self.slots, self.depths, self.global_depth = slots, depths, global_depth
+    def __init__(self, slots: np.ndarray, depths: list[int], sizes: np.ndarray, global_depth: int):
+        self.slots, self.depths, self.sizes, self.global_depth = slots, depths, sizes, global_depth
+        self.own(len(depths))
+
+    def own(self, count: int) -> None:
+        """Deal the buckets, in order, to at most count owners of about equal keys."""
+        before = np.cumsum(self.sizes) - self.sizes
+        self.owners = (before * max(1, min(count, len(self.depths))) // max(1, int(self.sizes.sum()))).astype(np.int32)
 
     @classmethod
     def grown(cls, histogram: dict[int, int], fine_depth: int, capacity: int) -> Directory:
@@ -82,10 +90,11 @@ class Directory:
             slots[((prefix << 1) + 1) << span : ((prefix << 1) + 2) << span] = new
             todo += [at, new]
         order = {b: i for i, (b, _) in enumerate(sorted(buckets.items(), key=lambda x: x[1][0] << (fine_depth - x[1][1])))}
-        depths = [0] * len(order)
-        for b, (_, local) in buckets.items():
-            depths[order[b]] = local
-        return cls(np.array([order[b] for b in slots], np.int32), depths, depth)
+        depths, sizes = [0] * len(order), np.zeros(len(order), np.int64)
+        for b, (prefix, local) in buckets.items():
+            width = fine_depth - local
+            depths[order[b]], sizes[order[b]] = local, filled[(prefix + 1) << width] - filled[prefix << width]
+        return cls(np.array([order[b] for b in slots], np.int32), depths, sizes, depth)
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         u = keys.view(np.uint64)
@@ -93,14 +102,17 @@ class Directory:
 
 
 def build_directory(index: DataFrame, capacity: int = CAPACITY) -> Directory:
-    """Counts distinct keys by leading bits (at most 2^MAX_DEPTH counts reach the driver) and grows the directory."""
-    keys = index.select("key").distinct()
-    n = index.agg(F.approx_count_distinct("key")).first()[0]
+    """Counts distinct keys by leading bits (at most about 16 * MAX_BUCKETS counts reach the driver) and grows the directory. index: key, size."""
+    n, total = index.agg(F.approx_count_distinct("key"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    capacity = max(capacity, -(-n // MAX_BUCKETS))
     depth = 1
-    while depth < MAX_DEPTH and (n >> depth) * 8 > capacity:
+    while (n >> depth) * 8 > capacity:
         depth += 1
-    slot = F.expr(f"shiftrightunsigned(key, {64 - depth})")
-    return Directory.grown({r[0]: r[1] for r in keys.groupBy(slot.alias("slot")).agg(F.count("*")).collect()}, depth, capacity)
+    slot = F.expr(f"cast(shiftrightunsigned(key, {64 - depth}) as int)")
+    counts = index.select("key").distinct().groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    found = Directory.grown(dict(zip(counts["slot"].to_pylist(), counts["n"].to_pylist(), strict=True)), depth, capacity)
+    found.own(max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNER_BYTES)))
+    return found
 
 
 def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +137,7 @@ def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_
             keys = np.array([_key(t) for t in best], np.uint64).view(np.int64)
             rows = b.take(pa.array(list(best.values()), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(keys), pa.array(list(n.values()), pa.int64()), pa.array(owners.value.bucket(keys).astype(np.int32), pa.int32())],
+                [*rows.columns, pa.array(keys), pa.array(list(n.values()), pa.int64()), pa.array(owners.value.owners[owners.value.bucket(keys)], pa.int32())],
                 schema=pa.schema([*b.schema, ("key", pa.int64()), ("n", pa.int64()), ("owner", pa.int32())]),
             )
 
@@ -160,13 +172,13 @@ def classes(docs: DataFrame, directory: Directory, id_col: str = "doc_id", text_
             yield from closed().select([0, 2, 5, 6]).combine_chunks().to_batches()
 
     kept = T.StructType([routed["payload"], routed["key"], T.StructField("text_sha256", T.StringType()), T.StructField("group_size", T.LongType())])
-    dealt = packed.mapInArrow(fold, routed).repartitionById(len(directory.depths), F.col("owner"))
+    dealt = packed.mapInArrow(fold, routed).repartitionById(int(directory.owners.max()) + 1, F.col("owner"))
     return dealt.sortWithinPartitions("key").mapInArrow(own, kept)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    index = stored(entries(docs, id_col, text_col).select("key"), "exact-index")
+    index = stored(entries(docs, id_col, text_col).select("key", "size"), "exact-index")
     return classes(docs, build_directory(index, capacity), id_col, text_col).select("payload.*")
 
 
@@ -175,6 +187,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     index = stored(entries(docs, id_col, text_col), "exact-index")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = classes(slim, build_directory(index, capacity), "doc_id").select("key", "text_sha256", F.col("payload.doc_id").alias("keep_id"), "group_size")
-    return index.join(found, ["key", "text_sha256"]).select(
+    found = stored(found, "exact-classes")
+    return spread_join(index.drop("size"), found, ["key", "text_sha256"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
