@@ -6,19 +6,20 @@ permutations. With 48 bands of 6 values a pair of similarity 0.8 is missed with
 
 1. Documents with one and the same set fall into one class, whose least id stands for it.
 2. Classes that share a band meet in a bucket. Each is tried against one hub of the bucket, on full
-   sets (100 * intersection >= 80 * union); most copies are connected then. Buckets that share a
-   member form a cluster. In clusters with more than one component left, the members outside a
-   block's largest component are compared with all members of the other components, block against
-   block, inside tasks: no pair is laid out as a row, and no link between components is left out.
-3. Components of confirmed links give each document the least id it can reach.
+   sets (100 * intersection >= 80 * union); most copies are connected then, into parts.
+3. A bucket whose members lie in more than one part stays open; of open buckets with the same members
+   one is looked at. There the members outside the bucket's largest part are compared with all members,
+   block against block, inside tasks: no pair is laid out as a row, members of the largest part meet
+   the others only, and no link between parts is left out.
+4. Parts that such links join are components, which give each document the least id it can reach.
 
 A hot class is folded by a partial aggregate, and a hot bucket costs as many tries as it has members;
-its cluster is spread over blocks of bounded size. Tables between steps lie in the shared folder.
+what stays open of it is spread over blocks of bounded size. Tables between steps lie in the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share an id are one document
 of the graph; null ids take part through their class alone (component null if no id is in it). Ties
 do not arise: the least id decides. An empty table gives an empty result. Extra columns are ignored
-by groups() and kept by dedup().
+by groups() and kept by dedup(). Texts are hashed in segments, so a very long one costs its length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import connected_components, stored
+from .common import connected_components, fresh, stored
 
 PERMUTATIONS, ROWS_PER_BAND = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
@@ -40,7 +41,7 @@ _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     h, at = kernel.word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
     pair = kernel.mix(kernel.windows(h, k)) if len(h) >= k else np.zeros(0, np.uint64)
@@ -96,9 +97,10 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                n, fp, bands = _sketches(shingle_sets(part.column(1).to_pylist(), k))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for at, end in kernel.slices(texts, 512):
+                part = b.slice(at, end - at)
+                n, fp, bands = _sketches(shingle_sets(texts[at:end], k))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(fp[:, 1])), flat], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
@@ -107,14 +109,14 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def _sets_of(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
     """id, shingles (sorted 64-bit hashes) of the active ids."""
-    few = active.count() <= MAX_BROADCAST_IDS
+    few = active.count() <= MAX_BROADCAST_IDS  # 8 bytes each
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(active) if few else active, "id", "left_semi")
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)], pa.binary())], ["id", "shingles"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for at, end in kernel.slices(texts, 512):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array([s.tobytes() for s in shingle_sets(texts[at:end], k)], pa.binary())], ["id", "shingles"])
 
     return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates()
 
@@ -138,81 +140,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, level: int = LEVEL) -> DataFram
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
-    """Confirmed links (a, b), enough of them to connect whatever links between classes connect.
-
-    classes: rep, n_shingles, bands.
-    """
+def components(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
+    """rep, component of the classes that share a bucket with another. classes: rep, n_shingles, bands."""
     laid = classes.where("rep IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    full = laid.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.max("rep").alias("far")).where("size > 1 AND hub < far")
-    met = stored(laid.join(full.select("bucket", "hub"), "bucket").where("rep <> hub").select("rep", "n_shingles", "hub").distinct(), "near-met")
-    active = met.select(F.col("rep").alias("id")).union(met.select("hub")).distinct()
-    sets = stored(_sets_of(docs, active, k), "near-sets")
+    full = laid.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").drop("far")
+    seen = stored(laid.join(full, "bucket").select("bucket", "rep", "n_shingles", "hub"), "near-seen")
+    met = stored(seen.where("rep <> hub").select("rep", "n_shingles", "hub").distinct(), "near-met")
+    active = stored(met.select("rep").union(met.select("hub")).distinct(), "near-active")
+    sets = stored(_sets_of(docs, active.withColumnRenamed("rep", "id"), k), "near-sets")
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
     sized = (F.col("n_shingles") * 100 >= level * F.col("hub_n")) & (F.col("hub_n") * 100 >= level * F.col("n_shingles"))
     tried = met.join(sizes, "hub").where(sized).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    found = stored(confirmed(tried, sets, level), "near-links")
-    parts = connected_components(found, "near-parts")
-    clusters = connected_components(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "near-clusters")
-    named = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left")
-    named = stored(named.withColumn("part", F.coalesce("part", "id")), "near-named")
-    apart = named.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cluster")
-    held = stored(named.join(apart, "cluster").join(sets, "id"), "near-apart")
-    return found.union(_between_parts(held, level))
+    parts = connected_components(stored(confirmed(tried, sets, level), "near-links"), "near-parts").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    parts = stored(active.join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part")), "near-named")
+    between = stored(_between_parts(seen.join(parts, "rep"), sets, level), "near-between")
+    joined = connected_components(between, "near-joined")
+    return parts.join(joined, F.col("part") == F.col("node"), "left").select("rep", F.coalesce("component", "part").alias("component"))
 
 
-def _between_parts(held: DataFrame, level: int) -> DataFrame:
-    """Links (a, b) between different parts of a cluster. held: cluster, id, part, shingles.
+def _between_parts(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Links (a, b) between different parts that meet in a bucket, by the names of the parts. members: bucket, rep, n_shingles, part.
 
-    A cluster is dealt into blocks of about BLOCK shingles, and each pair of blocks is one group.
+    Members outside the largest part of a bucket are dealt into `few` blocks of about BLOCK shingles, all
+    members into `all` blocks, and each pair (x of few, y of all) is one group.
     """
-    sums = held.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * BLOCK)).cast("int").alias("blocks"))
-    own = held.join(sums, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    laid = each.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), "id", "part", "shingles")
+    each = members.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), *(F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38,0)")).alias(f"f{i}") for i in range(2)))
+    whole = each.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part", "m")).alias("big"), F.sum("m").alias("m"), F.sum("f0").alias("f0"), F.sum("f1").alias("f1")).where("parts > 1")
+    one = whole.groupBy("f0", "f1", "m").agg(F.min("bucket").alias("bucket"), F.first("big").alias("big"))  # buckets of the same members
+    blocks = lambda m: F.ceil(m / F.lit(BLOCK)).cast("int")
+    open_ = one.select("bucket", F.col("big.part").alias("largest"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("big.m")).alias("few"))
+    held = members.join(open_, "bucket").withColumn("asks", F.col("part") != F.col("largest"))
+    x, y = F.pmod(F.xxhash64("rep"), F.col("few")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("all")).cast("int")
+    cell = lambda x, y, asks, answers: F.struct(x.alias("x"), y.alias("y"), asks.alias("asks"), answers.alias("answers"))
+    yes, no = F.lit(True), F.lit(False)
+    asked = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: cell(i, y, F.col("asks") & (i == x), yes))
+    asking = F.filter(F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: cell(x, j, yes, no)), lambda c: F.col("asks") & (c["y"] != y))
+    dealt = held.select("bucket", "rep", "part", F.explode(F.concat(asked, asking)).alias("c")).select("bucket", "c.x", "c.y", "c.asks", "c.answers", "rep", "part")
+    laid = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("bucket", "x", "y", "asks", "answers", "part", "shingles")
 
     def run(batches):
         rows, key = [], None
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-            second, ids, parts = (b.column(i).to_pylist() for i in (3, 4, 5))
+            asks, answers, parts = (b.column(i).to_pylist() for i in (3, 4, 5))
             for i, now in enumerate(keys):
                 if now != key:
                     if len(rows) > 1:
-                        yield _block_links(rows, key[1] == key[2], level)
+                        yield _block_links(rows, level)
                     rows, key = [], now
-                rows.append((second[i], ids[i], parts[i], b.column(6)[i].as_py()))
+                rows.append((asks[i], answers[i], parts[i], b.column(6)[i].as_py()))
         if len(rows) > 1:
-            yield _block_links(rows, key[1] == key[2], level)
+            yield _block_links(rows, level)
 
     # the columns of a pair of blocks are the key of the deal and of the order
-    return laid.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return laid.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_links(rows: list[tuple], within: bool, level: int) -> pa.RecordBatch:
-    """For each member outside the largest part, one link to each other part on the other side that it has a link to."""
-    side = np.array([within or r[0] for r in rows])
-    ids, parts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+def _block_links(rows: list[tuple], level: int) -> pa.RecordBatch:
+    """For each member that asks, one link to each other part with a member that answers and is similar enough."""
+    asks, answers = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    parts = np.array([r[2] for r in rows], np.int64)
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     n = np.array([len(s) for s in sets])
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-    labels, sizes = np.unique(parts, return_counts=True)
-    largest = labels[np.argmax(sizes)]
     mark = np.zeros(len(names), np.int64)
     a, b = [], []
-    for i in np.flatnonzero(parts != largest):
-        facing = (side if within else side != side[i]) & (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= level * np.maximum(n, n[i]))
+    for i in np.flatnonzero(asks):
+        facing = answers & (parts != parts[i]) & (100 * np.minimum(n, n[i]) >= level * np.maximum(n, n[i]))
         if not facing.any():
             continue
         mine = codes[starts[i] : starts[i] + n[i]]
         mark[mine] = 1
         shared = np.add.reduceat(mark[codes], starts)
         mark[mine] = 0
-        hit = np.flatnonzero(facing & (100 * shared >= level * (n + n[i] - shared)))
-        hit = hit[np.unique(parts[hit], return_index=True)[1]]
-        a += [ids[i]] * len(hit)
-        b += ids[hit].tolist()
+        hit = np.unique(parts[facing & (100 * shared >= level * (n + n[i] - shared))])
+        a += [parts[i]] * len(hit)
+        b += hit.tolist()
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -223,8 +227,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
         rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
         "near-classes",
     )
-    parts = connected_components(links(docs, classes, k, level), "near-components")
-    reps = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("of"))
+    reps = classes.join(components(docs, classes, k, level), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("of"))
     out = rows.join(reps, ["fp1", "fp2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -232,5 +235,6 @@ def groups(docs: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
 
 def dedup(docs: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """The rows of docs of which their group keeps one (the least id), with all their columns."""
-    gone = groups(docs, k, level).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = groups(docs, k, level).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
