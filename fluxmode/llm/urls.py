@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, stored
+from .common import ascii_lower, connected_components, spread_join, stored
 
 RULES = (
     ("allow", "org", "/"),
@@ -104,14 +104,24 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages."""
     h, p = host(F.col("url")), path(F.col("url"))
     name, own = rule(h, p, rules)
-    rows = pages.select("page_id", h.alias("host"), p.alias("path"), name.alias("rule"), own.alias("own"), F.xxhash64(_address(F.col("url"))).alias("node"), _address(F.col("url")).isNotNull().alias("known"))
+    # pages without an address meet nothing; names of their own spread them over the tasks
+    alone = F.concat(F.lit("none-"), F.xxhash64("page_id", "html").cast("string"))
+    rows = pages.select("page_id", h.alias("host"), p.alias("path"), name.alias("rule"), own.alias("own"), F.coalesce(_node(F.col("url")), alone).alias("node"))
     edges = stored(links(pages), "url-links")
     if edges.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
-    ids = edges.select(F.xxhash64(_address(F.col("url"))).alias("a"), F.xxhash64(_address(F.col("target"))).alias("b"))
+    ids = edges.select(_node(F.col("url")).alias("a"), _node(F.col("target")).alias("b"))
     parts = stored(connected_components(ids, "url-components"), "url-parts")
-    said = edges.select(F.explode(F.array("url", "target")).alias("u"))
-    said = said.select(F.xxhash64(_address(F.col("u"))).alias("node"), rule(host(F.col("u")), path(F.col("u")), rules)[1].alias("v")).where("v IS NOT NULL")
+    said = edges.select(F.explode(F.array("url", "target")).alias("u")).distinct()
+    said = said.select(_node(F.col("u")).alias("node"), rule(host(F.col("u")), path(F.col("u")), rules)[1].alias("v")).where("v IS NOT NULL").distinct()
     decided = said.join(parts, "node").groupBy("component").agg(F.min("v").alias("spread"))  # allow comes before block
-    spread = parts.join(decided, "component").select("node", "spread")
-    return rows.join(spread.withColumn("known", F.lit(True)), ["node", "known"], "left").select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"))
+    decided = stored(decided.join(parts.groupBy("component").agg(F.count("*").alias("nodes")), "component"), "url-verdicts")
+    spread = stored(spread_join(parts, decided, ["component"], "nodes").select("node", "spread"), "url-spread")
+    sizes = rows.join(spread.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    spread = stored(spread.join(sizes, "node").select("node", "spread", "n"), "url-decisions")
+    return spread_join(rows, spread, ["node"], "n", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"))
+
+
+def _node(url: Column) -> Column:
+    """The identity of an address: 128 bits of it."""
+    return F.md5(_address(url))
