@@ -4,12 +4,13 @@ Words are runs of digits, letters a-z after lower-casing A-Z, and characters bey
 is 13 consecutive words of a benchmark item; an item of fewer words, but not none, is one window.
 Each document is split once, its word windows are laid out in chunks, hashed and looked up in the
 broadcast set; on a hash match the words themselves are compared. A document's own words covered by
-any matching window are hit.
+any matching window are hit. Where the windows are too large to broadcast, a broadcast of their hashes
+lets only hits reach a shuffled join with them; only beyond MAX_KEYS hashes is every position shuffled.
 
 Null texts have no words; items without words never match; items with a null id match but are not
 counted. Every row of docs gives one result row, repeated ids included. Rows are told apart by their
 place in the scan, so docs should be a scan or a stored table. An empty table, of documents or items,
-gives no rows or no hits. Extra columns are ignored by hits() and kept by clean().
+gives no rows or no hits. Documents are laid out in chunks, so a very long one is many small rows. Extra columns are ignored by hits() and kept by clean().
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 
 N = 13
-#: Positions of one chunk of a document, and bytes of windows that may be broadcast; beyond them the windows are joined by a shuffle.
-CHUNK, MAX_BROADCAST = 1024, 64 << 20
+#: Positions of one chunk of a document; bytes of windows that may be broadcast, and beyond them window hashes that may be.
+CHUNK, MAX_BROADCAST, MAX_KEYS = 1024, 64 << 20, 4_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -48,7 +49,7 @@ def test_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def occurrences(docs: DataFrame, tests: DataFrame, n: int = N) -> DataFrame:
     """rid, doc_id, n_words, and start, k, items where a window occurs; a document has a row without them besides."""
-    stats = tests.groupBy("k").agg(F.sum(F.length("gram") + F.lit(40) + 12 * F.size("items")).alias("bytes")).collect()  # n rows at most
+    stats = tests.groupBy("k").agg(F.sum(F.length("gram") + F.lit(40) + 12 * F.size("items")).alias("bytes"), F.count("*").alias("n")).collect()  # n rows at most
     lengths, total = sorted(r["k"] for r in stats), sum(r["bytes"] for r in stats)
     split = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), words(F.col("text")).alias("w"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / CHUNK).cast("int")), lambda i: F.slice("w", i * CHUNK + 1, F.lit(CHUNK + n - 1)))
@@ -70,13 +71,18 @@ def occurrences(docs: DataFrame, tests: DataFrame, n: int = N) -> DataFrame:
     text = F.lit(None).cast("string")
     for k in lengths:
         text = F.when(F.col("own_k") == k, F.concat_ws(" ", *fields[:k], F.lit(""))).otherwise(text)
-    known = F.broadcast(tests) if total <= MAX_BROADCAST else tests
     # two one-sided comparisons: an equality would become part of the hashed key of every window
     same = (F.col("key") == F.col("h")) & F.startswith(text, F.col("gram")) & F.startswith(F.col("gram"), text)
+    if total > MAX_BROADCAST:
+        held = laid.where("key IS NOT NULL")
+        if sum(r["n"] for r in stats) <= MAX_KEYS:
+            held = held.join(F.broadcast(tests.select(F.col("h").alias("key")).distinct()), "key", "left_semi")
+        marks = split.select("rid", "doc_id", F.size("w").alias("n_words"), *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("k", "int"), ("items", "array<string>"))))
+        return held.join(tests, same).select("rid", "doc_id", "n_words", "start", "k", "items").union(marks)
     first = F.coalesce(F.col("start"), F.lit(0)) == 0
     if len(lengths) > 1:
         first = first & (F.coalesce(F.col("own_k"), F.lit(lengths[0])) == lengths[0])
-    return laid.join(known, same, "left").where(F.col("h").isNotNull() | first).select("rid", "doc_id", "n_words", "start", "k", "items")
+    return laid.join(F.broadcast(tests), same, "left").where(F.col("h").isNotNull() | first).select("rid", "doc_id", "n_words", "start", "k", "items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -90,17 +96,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("k").isNotNull(), F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("k")).cast("long").alias("stop"))))).alias("o"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    join = F.aggregate(
-        "o",
-        F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.get(acc, F.size(acc) - 1)["stop"]), F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["stop"], x["stop"]).alias("stop"))),
-        )).otherwise(F.concat(acc, F.array(x))),
-    )
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return grouped.withColumn("spans", join).select(
-        "rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans",
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("o", lambda x: F.sequence(x["start"], x["stop"] - 1)))))
+    begins = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1))
+    ends = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1))
+    n_hit = F.size("p").cast("long")
+    return grouped.withColumn("p", covered).select(
+        "rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
+        F.zip_with(begins, ends, lambda a, z: F.struct(a.alias("start"), (z + 1).alias("stop"))).alias("spans"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 

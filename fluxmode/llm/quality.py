@@ -8,7 +8,7 @@ log densities (half the Mahalanobis distances and log determinants) plus the log
 
 Null and empty texts have the statistics of an empty text and get a score like any other; labels
 that are null or not 0 or 1 are ignored, and of repeated labels of a document any one of the lowest
-value counts. Without labels of both classes every score is 0.5. Extra columns are ignored by
+value counts. A very long text costs its length. Ties do not arise: a score at the threshold is accepted. Without labels of both classes every score is 0.5. Extra columns are ignored by
 scores() and kept by keep().
 """
 
@@ -133,7 +133,7 @@ def scores(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep(docs: DataFrame, model: Discriminant) -> DataFrame:
     """The rows of docs whose score reaches THRESHOLD, with all their columns."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for b in batches:

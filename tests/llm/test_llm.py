@@ -40,7 +40,7 @@ ROWS = [
     (7, "one", None, "c", 3),
     (8, prose(60, 9) + "\n" + prose(40, 3) + "\n" + prose(40, 3), "de", "d", 2),
     (None, prose(40, 3) + " tail words here", "de", "d", 2),
-    (9, "A\tB  C\r\nd", "es", "e", 4),
+    (9, "A\tB  C\r\nd<|endoftext|>e <|endoftext|>", "es", "e", 4),
     (10, "ONE", "es", "e", 4),
     (11, prose(60, 9), "de", "d", 2),
 ]
@@ -82,7 +82,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     got = rows(packing.pack(docs, TOKENIZER, window=64))
     want = Counter()
     for d, t, *_ in ROWS:
@@ -147,7 +146,6 @@ def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     tok, enc = Tokenizer.from_file(TOKENIZER), packing.encoder(TOKENIZER)
-    tok.encode_special_tokens = True
     parts = ["a", "the", " ", "  ", "\n", "\t", "é", " ", "\x1c", "'s", "12", "<|endoftext|>", "!", "😀", "\r", "\x85", "word "]
     for _ in range(2000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
@@ -171,7 +169,10 @@ def expected_groups(data):
 
 
 @pytest.mark.parametrize("capacity", [1, 8192])
-def test_exact_groups(docs, capacity):
+def test_exact_groups(docs, capacity, monkeypatch):
+    if capacity == 1:  # every text is a hot one, and buckets are fewer than texts
+        monkeypatch.setattr(common, "HOT", 1)
+        monkeypatch.setattr(exact_dedup, "MAX_BUCKETS", 4)
     got = rows(exact_dedup.groups(docs, capacity=capacity))
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == expected_groups(ROWS)
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
@@ -192,6 +193,9 @@ def test_directory_doubles():
         held[b] += n[k]
     assert max(held.values()) <= 40 or d.global_depth == 8
     assert list(d.bucket(keys)) == sorted(d.bucket(keys)) and len(d.depths) == len(held)
+    assert list(d.sizes) == [held[b] for b in range(len(d.depths))]
+    d.own(5)
+    assert list(d.owners) == sorted(d.owners) and set(d.owners) == set(range(5))
 
 
 def test_colliding_keys_are_told_apart(docs, monkeypatch):
@@ -265,6 +269,15 @@ def test_min_max_signature_estimates():
     assert abs((sig[0] == sig[1]).mean() - 300 / 500) < 0.12
 
 
+def test_spread_join(spark, monkeypatch):
+    """Hot keys are dealt over tasks; rows stay whole, whatever the kind of join."""
+    monkeypatch.setattr(common, "HOT", 3)
+    many = spark.createDataFrame([(i % 4 if i < 40 else None, i) for i in range(60)] + [(9, 1)] * 7, "k long, v long")
+    one = spark.createDataFrame([(0, 10, "a"), (1, 2, "b"), (9, 7, "c"), (77, 1, "d")], "k long, n long, w string")
+    for how in ("inner", "left", "left_semi"):
+        assert Counter(map(tuple, common.spread_join(many, one, ["k"], "n", how).collect())) == Counter(map(tuple, many.join(one, ["k"], how).collect()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9), (50, 50)] + [(1000, 1000 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in rows(common.connected_components(spark.createDataFrame(edges, "a long, b long")))}
@@ -304,6 +317,8 @@ def test_decontamination(spark, docs, items, monkeypatch):
     assert Counter(tuple(r[c] for c in names) for r in rows(decontamination.digest(decontamination.hits(docs, bench)))) == want
     monkeypatch.setattr(decontamination, "MAX_BROADCAST", 0)
     assert Counter(tuple(r[c] for c in names) for r in rows(decontamination.digest(decontamination.hits(docs, bench)))) == want
+    monkeypatch.setattr(decontamination, "MAX_KEYS", 0)
+    assert Counter(tuple(r[c] for c in names) for r in rows(decontamination.digest(decontamination.hits(docs, bench)))) == want
 
 
 def test_decontamination_clean(spark, docs):
@@ -327,10 +342,10 @@ def crc(d, m):
 
 def test_language(spark, docs, tmp_path_factory):
     data = [(i, prose(30, i) if i % 2 else " ".join(w[::-1] + "qu" for w in prose(30, i).split()), "xx" if i % 2 else "yy") for i in range(200)]
-    train = scan(spark, tmp_path_factory, [*data, (500, None, "xx"), (501, "123 !!", "yy"), (None, "river stone", "xx")], "doc_id long, text string, lang string")
+    train = scan(spark, tmp_path_factory, [*data, (500, None, "xx"), (501, "123 !!", "yy"), (502, "\u00bd \u00b2 \u2167 \u2460 _", "yy"), (None, "river stone", "xx")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in rows(langid.predict(train, langid.fit(train)))}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in data)
-    assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[500]["score"] == 0
+    assert got[500]["lang_pred"] == got[501]["lang_pred"] == got[502]["lang_pred"] == "und" and got[500]["score"] == 0
     assert all(0 <= r["score"] <= 1 and (d is None or r["held_out"] == (crc(d, 3) == 1)) for d, r in got.items())
     none = rows(langid.predict(docs, langid.Model([], np.zeros(0), np.zeros((0, 1)))))
     assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(ROWS)
@@ -410,8 +425,13 @@ def test_substring(spark, docs, tmp_path_factory, monkeypatch):
     data = [(i, "\n".join(prose(25, r.randrange(12)) if r.random() < 0.5 else prose(30, 1000 + i * 9 + j) for j in range(r.randint(0, 6)))) for i, r in ((i, random.Random(i)) for i in range(80))]
     many = scan(spark, tmp_path_factory, data, "doc_id long, text string")
     assert read(many) == substring_expected(data)
+    monkeypatch.setattr(common, "HOT", 5)
+    assert read(many) == substring_expected(data)
     monkeypatch.setattr(substring_dedup, "MAX_BROADCAST", 0)
     assert read(many) == substring_expected(data)
+    monkeypatch.setattr(kernel, "SEGMENT", 500)
+    monkeypatch.setattr(substring_dedup, "GROUP", 3)
+    assert read(many) == substring_expected(data)
     alone = scan(spark, tmp_path_factory, [(1, "a b"), (2, None)], "doc_id long, text string")
     assert read(alone) == substring_expected([(1, "a b"), (2, None)])
 
