@@ -109,12 +109,28 @@ def top_windows(scores: DataFrame, k: int, floor: float, *keys: str) -> DataFram
 
 
 def asof_nearest(points: DataFrame, series: DataFrame, bucket: float, *keys: str) -> DataFrame:
-    """For each point the sample at the nearest time (earliest of equals) within one bucket: an equi-join on buckets."""
-    p = points.withColumn("_b", F.explode(F.array(*(F.floor(F.col("t0") / bucket) + d for d in (-1, 0, 1)))))
-    s = series.withColumn("_b", F.floor(F.col("t") / bucket))
-    near = p.join(s, [*keys, "_b"]).where(F.abs(F.col("t") - F.col("t0")) <= bucket)
-    best = F.min(F.struct(F.abs(F.col("t") - F.col("t0")).alias("d"), F.col("t"), F.col("x"))).alias("b")
-    return near.groupBy(*points.columns).agg(best).select(*points.columns, "b.t", "b.x", "b.d")
+    """For each point the sample at the nearest time, however far (the earliest, then least of equals): columns t, x, d; null without samples.
+
+    Points and samples of a key are dealt by time buckets, so a hot key is sorted in many tasks. Within a bucket
+    the last sample up to a point and the first from it on are running values; what a bucket lacks comes from the
+    ends of the nearest buckets that have samples, found in a table of one row a bucket.
+    """
+    at = lambda c: F.floor(F.col(c) / bucket)
+    rows = series.select(*keys, at("t").alias("_b"), F.col("t").alias("_t"), F.col("x").alias("_x"), F.struct(F.col("t"), F.col("x")).alias("_s"))
+    asked = points.select(*points.columns, at("t0").alias("_b"), F.col("t0").alias("_t"), F.lit(True).alias("_ask"))
+    rows = rows.unionByName(asked, allowMissingColumns=True)
+    held = Window.partitionBy(*keys, "_b").rowsBetween(Window.unboundedPreceding, 0)
+    # of samples at one time the one of least x comes last, and before points
+    upto = F.last("_s", True).over(held.orderBy("_t", F.col("_ask").asc_nulls_first(), F.col("_x").desc()))
+    onward = F.last("_s", True).over(held.orderBy(F.col("_t").desc(), F.col("_ask").asc_nulls_first(), F.col("_x").desc()))
+    near = rows.withColumn("_l", upto).withColumn("_r", onward).where("_ask").drop("_ask", "_t", "_x", "_s")
+    last = F.max(F.when(F.col("_s").isNotNull(), F.struct(F.col("_t"), (-F.col("_x")).alias("n"), F.col("_s"))))["_s"]
+    ends = rows.groupBy(*keys, "_b").agg(F.min("_s").alias("_first"), last.alias("_last"))
+    w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_b", F.last("_last", True).over(w.orderBy("_b")).alias("_before"), F.last("_first", True).over(w.orderBy(F.col("_b").desc())).alias("_after"))
+    far = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["t"] - F.col("t0")).alias("d"), s["t"].alias("t"), s["x"].alias("x")))
+    best = near.join(ends, [*keys, "_b"]).withColumn("_n", F.least(far(F.coalesce("_l", "_before")), far(F.coalesce("_r", "_after"))))
+    return best.select(*points.columns, "_n.t", "_n.x", "_n.d")
 
 
 def nonempty(df: DataFrame, state: str, *keys: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Neighbours and clusters of vectors, real or complex.
 
 Searches compare a stated query set with all rows: the queries (bounded: their bytes are checked) go to
-the tasks as one matrix, each Arrow batch is one matrix product, and only each batch's best k per query
+the tasks as one matrix, each Arrow batch is one matrix product, and only a task's best k per query
 leave it.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -15,72 +16,112 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..plans.staging import settled
 
-#: Bytes of query vectors that go to every task; more are searched in rounds of this size.
-MAX_QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that go to every task (more are searched in rounds of this size), and similarities held at once.
+MAX_QUERY_BYTES, TILE = 64 << 20, 1 << 22
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """query, id, rank, similarity of the k most similar other rows; of equals the least id first."""
+def _parts(rows: DataFrame, queries: DataFrame, scan, schema: str, id_col: str, vec: str) -> DataFrame:
+    """scan(sent queries) over all rows, for parts of the queries that fit MAX_QUERY_BYTES; more parts than one are stored in turn."""
     dim = queries.select(F.max(F.size(vec))).first()[0] or 0
     parts = max(1, -(-queries.count() * dim * 8 // MAX_QUERY_BYTES))
     found = None
     for part in range(parts):
         some = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part).select(id_col, vec).toArrow()
         ids = some[id_col].to_numpy()
-        q = np.array(some[vec].to_pylist(), float).reshape(len(ids), -1)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, q))
-        best = rows.select(F.col(id_col).cast("long"), vec).mapInArrow(_scan(sent, k, metric), "query long, id long, similarity double")
-        found = best if found is None else found.union(best)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, np.array(some[vec].to_pylist(), float).reshape(len(ids), -1)))
+        got = rows.select(F.col(id_col).cast("long"), vec).mapInArrow(scan(sent), schema)
+        if parts > 1:
+            got = settled(got, "searched")
+            sent.unpersist()
+        found = got if found is None else found.union(got)
+    return found
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """query, id, rank, similarity of the k most similar other rows; of equals the least id first. A task hands on k rows a query."""
+    found = _parts(rows, queries, lambda sent: _best(sent, k, metric), "query long, id long, similarity double", id_col, vec)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "rank", "similarity")
 
 
-def _scan(sent, k: int | None, metric: str, floor: float = -np.inf):
-    def normed(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+def _similarities(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        normed = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+        return normed(q) @ normed(x).T
+    if metric == "mac":  # halves of a vector are its real and imaginary parts
+        h = x.shape[1] // 2
+        c, d = q[:, :h] + 1j * q[:, h:], x[:, :h] + 1j * x[:, h:]
+        return np.abs(c.conj() @ d.T) ** 2 / np.maximum(np.outer(np.square(np.abs(c)).sum(1), np.square(np.abs(d)).sum(1)), 1e-300)
+    return -np.sqrt(np.maximum(0, np.square(q).sum(1)[:, None] + np.square(x).sum(1)[None] - 2 * q @ x.T))
+
+
+def _tiles(sent, batches, metric: str):
+    """Places of some queries, ids of a batch's rows, and their similarities (a row and itself at -inf), at most TILE at once."""
+    ids, q = sent.value
+    for b in batches:
+        x, own = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1), b.column(0).to_numpy()
+        step = max(1, TILE // max(1, len(own)))
+        for at in range(0, len(ids) if len(own) else 0, step):
+            s = _similarities(q[at : at + step], x, metric)
+            s[ids[at : at + step, None] == own[None]] = -np.inf
+            yield np.arange(at, at + len(s)), own, s
+
+
+def _best(sent, k: int, metric: str):
+    """The k best of a task's rows for each query."""
 
     def run(batches):
-        ids, q = sent.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x, own = np.array(b.column(1).to_pylist(), float), b.column(0).to_numpy()
-            if metric == "cosine":
-                s = normed(q) @ normed(x).T
-            elif metric == "mac":  # halves of a vector are its real and imaginary parts
-                h = x.shape[1] // 2
-                c, d = q[:, :h] + 1j * q[:, h:], x[:, :h] + 1j * x[:, h:]
-                s = np.abs(c.conj() @ d.T) ** 2 / np.maximum(np.outer(np.square(np.abs(c)).sum(1), np.square(np.abs(d)).sum(1)), 1e-300)
-            else:
-                s = -np.sqrt(np.maximum(0, np.square(q).sum(1)[:, None] + np.square(x).sum(1)[None] - 2 * q @ x.T))
-            s[ids[:, None] == own[None]] = -np.inf
-            for i, name in enumerate(ids):
-                top = np.lexsort((own, -s[i]))[:k]
-                top = top[(s[i][top] > -np.inf) & (s[i][top] >= floor)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), name)), pa.array(own[top]), pa.array(s[i][top])], ["query", "id", "similarity"])
+        ids, _ = sent.value
+        held, names = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for at, own, s in _tiles(sent, batches, metric):
+            s = np.hstack((held[at], s))
+            who = np.hstack((names[at], np.broadcast_to(own, (len(at), len(own)))))
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            order = np.lexsort((who[i, j], -s[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)  # among the row's best, equals by id
+            i, j, place = i[place < k], j[place < k], place[place < k]
+            held[at], names[at] = -np.inf, 0
+            held[at[i], place], names[at[i], place] = s[i, j], who[i, j]
+        i, j = np.nonzero(held > -np.inf)
+        for at in range(0, len(i), 1 << 16):
+            p, c = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(names[p, c]), pa.array(held[p, c])], ["query", "id", "similarity"])
 
     return run
 
 
 def within(rows: DataFrame, queries: DataFrame, floor: float, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query, id, similarity of all other rows that are at least floor similar, none left out."""
-    dim = queries.select(F.max(F.size(vec))).first()[0] or 0
-    parts = max(1, -(-queries.count() * dim * 8 // MAX_QUERY_BYTES))
-    found = None
-    for part in range(parts):
-        some = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part).select(id_col, vec).toArrow()
-        ids = some[id_col].to_numpy()
-        sent = rows.sparkSession.sparkContext.broadcast((ids, np.array(some[vec].to_pylist(), float).reshape(len(ids), -1)))
-        near = rows.select(F.col(id_col).cast("long"), vec).mapInArrow(_scan(sent, None, metric, floor), "query long, id long, similarity double")
-        found = near if found is None else found.union(near)
-    return found
+
+    def scan(sent):
+        def run(batches):
+            for at, own, s in _tiles(sent, batches, metric):
+                i, j = np.nonzero((s >= floor) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value[0][at[i]]), pa.array(own[j]), pa.array(s[i, j])], ["query", "id", "similarity"])
+
+        return run
+
+    return _parts(rows, queries, scan, "query long, id long, similarity double", id_col, vec)
+
+
+def reciprocal(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """query, id, rank, similarity of the k nearest rows of each query, and back: whether the query is among that row's k nearest.
+
+    The rows found, at most k a query, are searched for in turn; no other row's neighbours matter.
+    """
+    found = settled(nearest(rows, queries, k, metric, id_col, vec), "neighbours")
+    asked = rows.join(found.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    back = nearest(rows, asked, k, metric, id_col, vec).select(F.col("query").alias("id"), F.col("id").alias("query"), F.lit(True).alias("_back"))
+    return found.join(back, ["query", "id"], "left").select("query", "id", "rank", "similarity", F.coalesce("_back", F.lit(False)).alias("back"))
 
 
 def boosted(neighbours: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Similarities of neighbours that have each other raised by factor from either end, so by its square."""
-    back = neighbours.select(F.col("query").alias("id"), F.col("id").alias("query"), F.lit(True).alias("_both"))
-    return neighbours.join(back, ["query", "id"], "left").withColumn("similarity", F.col("similarity") * F.when(F.col("_both"), factor**2).otherwise(1.0)).drop("_both")
+    """Similarities of neighbours that have each other (of reciprocal) raised by factor from either end, so by its square."""
+    return neighbours.withColumn("similarity", F.col("similarity") * F.when(F.col("back"), factor**2).otherwise(1.0))
 
 
 def gaussian(similarity_of_distance: Column, sigma: float) -> Column:
@@ -89,9 +130,8 @@ def gaussian(similarity_of_distance: Column, sigma: float) -> Column:
 
 
 def mutual(neighbours: DataFrame) -> DataFrame:
-    """Pairs of queries that have each other among their neighbours."""
-    back = neighbours.select(F.col("query").alias("id"), F.col("id").alias("query"))
-    return neighbours.join(back, ["query", "id"]).where("query < id")
+    """Neighbours that have each other (of reciprocal): query, id."""
+    return neighbours.where("back").select("query", "id")
 
 
 def assign(rows: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -146,17 +186,142 @@ def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int | None = Non
     return slim.mapInArrow(_nearest_centre(sc.broadcast(centres), False), "id long, cluster int, d2 double").withColumnRenamed("id", id_col)
 
 
-def medoids(rows: DataFrame, cluster: str = "label", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """The member of least summed squared distance to its cluster, from the cluster's sums alone.
+def medoids(rows: DataFrame, cluster: str = "label", id_col: str = "vec_id", vec: str = "embedding", metric: str = "euclidean", batch: int = 256) -> DataFrame:
+    """The member of least summed distance to its cluster (the least id of equals), and that sum: cluster, medoid, cost.
 
-    sum |x - y|^2 = n |x|^2 - 2 x . S + Q with S the sum of vectors and Q of squared norms: one pass
-    for the sums and one to score each member; no pairs.
+    Distances are euclidean, cosine (1 - cosine) or mac (1 - MAC; halves of a vector are its real and imaginary
+    parts). Sums of the last two follow from one sum a cluster: of unit vectors, or of their outer products. For
+    euclidean ones, each round sums the distances of `batch` candidates of each cluster in one pass of the tasks; a
+    member whose bound (n |x - mean|, or |cost of a candidate - n times the distance to it|) exceeds the best is out.
     """
+    slim = rows.select(F.col(cluster).alias("c"), F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    if metric == "euclidean":
+        return _euclidean_medoids(slim, batch).select(F.col("c").alias(cluster), F.col("id").alias("medoid"), "cost")
     dim = rows.select(F.max(F.size(vec))).first()[0] or 0
-    sums = rows.groupBy(cluster).agg(F.count("*").alias("_n"), F.array(*(F.sum(F.get(F.col(vec), F.lit(i)).cast("double")) for i in range(dim))).alias("_s"), F.sum(vectors.norm2(F.col(vec))).alias("_q"))
-    cost = F.col("_n") * vectors.norm2(F.col(vec)) - 2 * vectors.dot(F.col(vec), F.col("_s")) + F.col("_q")
-    best = F.min(F.struct(cost.alias("cost"), F.col(id_col))).alias("b")
-    return rows.join(sums, cluster).groupBy(cluster).agg(best).select(cluster, F.col(f"b.{id_col}").alias("medoid"), "b.cost")
+    unit = slim.withColumn("u", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.sqrt(vectors.norm2(F.col("v")))), F.lit(0.0))))
+    sent = None
+    if metric == "cosine":
+        sums = unit.groupBy("c").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("u", F.lit(i))) for i in range(dim))).alias("s"))
+        cost = F.col("n") - vectors.dot(F.col("u"), F.col("s"))
+        scored = unit.join(sums, "c").select("c", "id", cost.alias("cost"))
+    else:
+        parts = unit.select("c", "u").mapInArrow(_outer_sums, f"c {dict(unit.dtypes)['c']}, n long, s array<double>")
+        each = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(2 * (dim // 2) ** 2))).alias("s")).collect()  # a row a cluster
+        sent = rows.sparkSession.sparkContext.broadcast({r["c"]: (r["n"], np.array(r["s"])) for r in each})
+
+        def score(batches):
+            for b in batches:
+                out = []
+                for c, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    (n, s), z, h = sent.value[c], np.array(u), len(u) // 2
+                    z, g = z[:h] + 1j * z[h:], (s[: h * h] + 1j * s[h * h :]).reshape(h, h)
+                    out.append(float(n - (z.conj() @ g @ z).real))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["c", "id", "cost"])
+
+        scored = unit.select("c", "id", "u").mapInArrow(score, f"c {dict(unit.dtypes)['c']}, id long, cost double")
+    best = F.min(F.struct(F.round("cost", 9).alias("r"), "id", "cost")).alias("b")
+    return scored.groupBy("c").agg(best).select(F.col("c").alias(cluster), F.col("b.id").alias("medoid"), "b.cost")
+
+
+def _outer_sums(batches):
+    """Each batch's members and sum of outer products by cluster: real parts, then imaginary ones."""
+    for b in batches:
+        keys = b.column(0).to_pylist()
+        u = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+        z = u[:, : u.shape[1] // 2] + 1j * u[:, u.shape[1] // 2 :]
+        names = sorted(set(keys), key=repr)
+        own = [np.array([k == c for k in keys]) for c in names]
+        g = [z[m].T @ z[m].conj() for m in own]
+        yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array([int(m.sum()) for m in own]), pa.array([np.concatenate((x.real.ravel(), x.imag.ravel())) for x in g], pa.list_(pa.float64()))], ["c", "n", "s"])
+
+
+def _euclidean_medoids(slim: DataFrame, batch: int) -> DataFrame:
+    """c, id, cost. slim: c, id, v."""
+    sc, kind = slim.sparkSession.sparkContext, dict(slim.dtypes)["c"]
+    dim = slim.select(F.max(F.size("v"))).first()[0] or 0
+    means = slim.groupBy("c").agg(F.count("*").alias("n"), F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(dim))).alias("m")).collect()  # a row a cluster
+    count = {r["c"]: r["n"] for r in means}
+    best: dict = {}
+    state = slim.withColumn("low", F.lit(0.0))
+    known = {r["c"]: (np.array([r["m"]], float), np.zeros(1)) for r in means}  # cost of the mean is not used: its distance bounds by itself
+    first = True
+    while True:
+        given = sc.broadcast((known, count, {c: b[0] for c, b in best.items()}, first))
+
+        def bounds(batches, given=given):  # raise the bounds; members that are out go
+            points, n, least, start = given.value
+            for b in batches:
+                keys, low = b.column(0).to_pylist(), b.column(3).to_numpy(zero_copy_only=False).copy()
+                v = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
+                keep = np.ones(b.num_rows, bool)
+                for c in set(keys):
+                    own = np.flatnonzero([k == c for k in keys])
+                    if c in points:
+                        p, cost = points[c]
+                        d = np.sqrt(np.maximum(0, np.square(v[own][:, None] - p[None]).sum(2))) if len(p) * dim < 1024 else -_similarities(v[own], p, "euclidean")
+                        low[own] = np.maximum(low[own], (n[c] * d[:, 0] if start else np.abs(cost[None] - n[c] * d).max(1)) * (1 - 1e-9) - 1e-7)
+                    if c in least:
+                        keep[own] = low[own] <= least[c]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(low)], ["c", "id", "v", "low"]).filter(pa.array(keep))
+
+        def least_bounds(batches):  # a task's members of least bounds
+            held: dict = {}
+            for b in batches:
+                for c, i, v, low in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    held.setdefault(c, []).append((low, i, v))
+                held = {c: sorted(h)[:batch] for c, h in held.items()}
+            rows = [(c, *h) for c, hs in held.items() for h in hs]
+            if rows:
+                c, low, i, v = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"c": list(c), "id": list(i), "v": list(v), "low": list(low)}, schema=pa.schema([("c", b.schema.field(0).type), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("low", pa.float64())]))
+
+        state = settled(state.mapInArrow(bounds, f"c {kind}, id long, v array<double>, low double"), "medoid-bounds")
+        done = {c: b[2] for c, b in best.items()}
+        rank = F.row_number().over(Window.partitionBy("c").orderBy("low", "id"))
+        tried = sc.broadcast({c: frozenset(ids) for c, ids in done.items()})
+        some = state.mapInArrow(_without(tried), state.schema).mapInArrow(least_bounds, state.schema).withColumn("r", rank).where(F.col("r") <= batch).collect()  # batch rows a cluster
+        if not some:
+            break
+        known, names = {}, {}
+        for r in some:
+            names.setdefault(r["c"], []).append(r["id"])
+            known.setdefault(r["c"], []).append(r["v"])
+        asked = sc.broadcast({c: np.array(v, float) for c, v in known.items()})
+
+        def costs(batches, asked=asked):
+            total, kept = {c: np.zeros(len(p)) for c, p in asked.value.items()}, None
+            for b in batches:
+                kept = b.schema.field(0).type
+                keys, v = b.column(0).to_pylist(), np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
+                for c in set(keys) & set(total):
+                    own = np.array([k == c for k in keys])
+                    total[c] += -_similarities(asked.value[c], v[own], "euclidean").sum(1)
+            if kept is None:
+                return
+            c, i, x = zip(*((c, i, x) for c, t in total.items() for i, x in enumerate(t)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kept), pa.array(i, pa.int32()), pa.array(x, pa.float64())], ["c", "i", "x"])
+
+        sums = slim.mapInArrow(costs, f"c {kind}, i int, x double").groupBy("c", "i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # batch rows a cluster
+        got: dict = {}
+        for r in sums:
+            got.setdefault(r["c"], []).append(r["x"])
+        known = {c: (np.array(v, float), np.array(got[c])) for c, v in known.items()}
+        for c, ids in names.items():
+            x, i = min((round(x, 9), i) for x, i in zip(got[c], ids, strict=True))
+            best[c] = (*min((x, i), best.get(c, (math.inf, 0))[:2]), {*ids, *best.get(c, (0, 0, ()))[2]})
+        first = False
+    return slim.sparkSession.createDataFrame([(c, b[1], float(b[0])) for c, b in sorted(best.items(), key=repr)], f"c {kind}, id long, cost double")
+
+
+def _without(tried):
+    """Batches without the ids tried in their clusters."""
+
+    def run(batches):
+        for b in batches:
+            gone = [i in tried.value.get(c, ()) for c, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield b.filter(pa.array([not g for g in gone], pa.bool_()))
+
+    return run
 
 
 def trimmed(modes: DataFrame, medoid_ids: DataFrame, threshold: float) -> DataFrame:

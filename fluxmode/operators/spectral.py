@@ -26,6 +26,14 @@ def dft_power(df: DataFrame, n: int, bins: int, *keys: str) -> DataFrame:
     return wide.select(*keys, each).select(*keys, "b.k", "b.re", "b.im", (F.col("b.re") ** 2 + F.col("b.im") ** 2).alias("power"))
 
 
+def dense(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """One row a signal: keys, block 0, x of n samples, sums by i modulo n, 0 where there is none."""
+    sums = df.groupBy(*keys, F.pmod(F.col("i"), F.lit(n)).cast("int").alias("_i")).agg(F.sum("x").alias("_x"))
+    held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_x"))).alias("_m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)))
+    return held.select(*keys, F.lit(0).cast("long").alias("block"), x.alias("x"))
+
+
 def framed(df: DataFrame, size: int, stride: int, *keys: str) -> DataFrame:
     """One row a full block: keys, block, x in order."""
     parts = frames.blocks(df, size, stride, *keys)

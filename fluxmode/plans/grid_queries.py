@@ -207,20 +207,29 @@ def fold_assign(spark, d):
     return metrics.folds(S.table(spark, d, "documents").select("doc_id"), "doc_id", 5)
 
 
-_BINS = 17
-_DFT = f""", tw AS (SELECT channel, k, sum(x * cos(-2 * pi() * ((i * k) % 720) / 720)) AS re, sum(x * sin(-2 * pi() * ((i * k) % 720) / 720)) AS im FROM hourly CROSS JOIN (SELECT unnest(range({_BINS})) AS k) GROUP BY 1, 2)
+_DFT = """, tw AS (SELECT channel, k, sum(x * cos(-2 * pi() * ((i * k) % 720) / 720)) AS re, sum(x * sin(-2 * pi() * ((i * k) % 720) / 720)) AS im FROM hourly CROSS JOIN (SELECT unnest(range(361)) AS k) GROUP BY 1, 2)
 """
 
 
-@query(_DFT + "SELECT channel, CAST(k AS INTEGER) AS k, round(re * re + im * im, 2) AS power FROM tw", "hourly")
+def _hour_power(spark, d):
+    """Power of all bins of each event type's hours; hours without events count as 0."""
+    return spectral.power_rows(spectral.spectra(spectral.dense(S.hourly(spark, d), S.N_HOURS, "channel"), S.N_HOURS, "none", keys=("channel",)), "channel")
+
+
+@query(_DFT + "SELECT channel, CAST(k AS INTEGER) AS k, round(sqrt(re * re + im * im), 4) AS amplitude FROM tw", "hourly")
+def dft_amplitude(spark, d):
+    return _hour_power(spark, d).select("channel", "k", r(F.sqrt("p"), 4).alias("amplitude"))
+
+
+@query(_DFT + "SELECT channel, CAST(k AS INTEGER) AS k, round(re * re + im * im, 2) AS power FROM tw WHERE k < 49", "hourly")
 def dft_power_relational(spark, d):
-    return spectral.dft_power(S.hourly(spark, d), 720, _BINS, "channel").select("channel", "k", r("power", 2).alias("power"))
+    """The same as sums of columns, over the lowest 48 bins and the constant."""
+    return spectral.dft_power(S.hourly(spark, d), 720, 49, "channel").select("channel", "k", r("power", 2).alias("power"))
 
 
 @query(_DFT + "SELECT channel, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT channel, (re * re + im * im) / sum(re * re + im * im) OVER (PARTITION BY channel) AS p FROM tw WHERE k > 0) GROUP BY 1", "hourly")
 def spectral_entropy(spark, d):
-    p = spectral.dft_power(S.hourly(spark, d), 720, _BINS, "channel").where("k > 0")
-    return spectral.entropy(p, "channel").select("channel", r("entropy").alias("entropy"))
+    return spectral.entropy(_hour_power(spark, d).where("k > 0"), "channel", value="p").select("channel", r("entropy").alias("entropy"))
 
 
 def _rows(spark, d):
@@ -263,17 +272,17 @@ def c95_level(spark, d):
 
 
 _PROBE = """WITH pr AS (SELECT user_id % 6 AS c, CAST(floor((epoch_us(ts) // 1000000 - 1704067200) / 3600) AS BIGINT) // 48 AS w, CAST(floor((epoch_us(ts) // 1000000 - 1704067200) / 3600) AS BIGINT) % 48 AS j, value AS x FROM events),
-fx AS (SELECT c, w, k, sum(x * cos(2 * pi() * ((j * k) % 48) / 48)) AS re, -sum(x * sin(2 * pi() * ((j * k) % 48) / 48)) AS im FROM pr CROSS JOIN (SELECT unnest(range(1, 9)) AS k) GROUP BY 1, 2, 3),
+fx AS (SELECT c, w, k, sum(x * cos(2 * pi() * ((j * k) % 48) / 48)) AS re, -sum(x * sin(2 * pi() * ((j * k) % 48) / 48)) AS im FROM pr CROSS JOIN (SELECT unnest(range(1, 24)) AS k) GROUP BY 1, 2, 3),
 st AS (SELECT w, k, n, sqrt(pow(sum(re * cos(n * phi) + im * sin(n * phi)), 2) + pow(sum(im * cos(n * phi) - re * sin(n * phi)), 2)) / count(*) AS amp FROM (SELECT *, """ + _PHI + """ AS phi FROM fx) CROSS JOIN (SELECT unnest(range(-5, 6)) AS n) GROUP BY 1, 2, 3),
 dn AS (SELECT w, k, n, amp, amp / tot AS coherence FROM (SELECT *, sum(amp) OVER (PARTITION BY w, k) AS tot, row_number() OVER (PARTITION BY w, k ORDER BY amp DESC, n) AS p FROM st) WHERE p = 1)
 """
 
 
 def _probes(spark, d):
-    """channel (sensor), w (two-day window), k, re, im: spectra of the sensor array."""
+    """channel (sensor), w (two-day window), k, re, im: spectra of the sensor array, all bins but the constant and the last, where n and -n are alike."""
     hour = F.floor((F.unix_seconds("ts") - S.EPOCH) / 3600)
     x = S.table(spark, d, "events").select((F.col("user_id") % 6).alias("channel"), F.floor(hour / 48).alias("w"), (hour % 48).alias("i"), F.col("value").alias("x"))
-    return spectral.dft_power(x, 48, 9, "channel", "w").where("k > 0")
+    return spectral.dft_power(x, 48, 24, "channel", "w").where("k > 0")
 
 
 def _amplitudes(spark, d):

@@ -9,7 +9,7 @@ from ..operators import events, filters, frames, grids, metrics, scoring, simila
 from ..sources import standins as S
 from .grid_queries import _P, _SEG, _p, _rows
 from .signal_queries import query, r
-from .vector_queries import _D2, _DOT, _KNN, K, QUERY_STEP, _search
+from .vector_queries import _ALL_KNN, _D2, _DOT, K, QUERY_STEP, reciprocal
 
 
 @query("SELECT channel, i // 24 AS win, i, round(x, 4) AS x FROM hourly JOIN (SELECT DISTINCT channel, i // 24 AS w FROM hourly WHERE x > 300) k USING (channel) WHERE i // 24 = k.w", "hourly")
@@ -148,9 +148,9 @@ def gaussian_similarity(spark, d):
     return found.select("query", "id", r(similarity.gaussian(F.col("similarity"), 1.0), 5).alias("weight"))
 
 
-@query(f"WITH k AS ({_KNN.format(s=_COS)}) SELECT a.query, a.id, round(a.similarity * CASE WHEN b.id IS NULL THEN 1 ELSE 4 END, 5) AS similarity FROM k a LEFT JOIN k b ON a.query = b.id AND a.id = b.query")
+@query(_ALL_KNN + " SELECT a.query, a.id, round(a.similarity * CASE WHEN b.id IS NULL THEN 1 ELSE 4 END, 5) AS similarity FROM k a LEFT JOIN k b ON a.query = b.id AND a.id = b.query WHERE a.query % 100 = 0")
 def krnn_enhance(spark, d):
-    return similarity.boosted(_search(spark, d, "cosine").select("query", "id", "similarity")).select("query", "id", r("similarity", 5).alias("similarity"))
+    return similarity.boosted(reciprocal(spark, d)).select("query", "id", r("similarity", 5).alias("similarity"))
 
 
 def _signals(spark, d):

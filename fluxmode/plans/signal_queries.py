@@ -242,10 +242,11 @@ def filter_bad_channels(spark, d):
 
 
 @query("""SELECT c_custkey AS k, t0, t, x FROM (SELECT c_custkey, c_custkey * 997.0 % 2000000 AS t0, p.t, p.x, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(p.t - c_custkey * 997.0 % 2000000), p.t, p.x) AS n
-FROM customer JOIN (SELECT user_id AS ch, epoch_us(ts) / 1000000.0 - 1704067200 AS t, value AS x FROM events) p ON p.ch = c_custkey % 150 AND abs(p.t - c_custkey * 997.0 % 2000000) <= 40000) WHERE n = 1""")
+FROM customer LEFT JOIN (SELECT user_id AS ch, epoch_us(ts) / 1000000.0 - 1704067200 AS t, value AS x FROM events) p ON p.ch = c_custkey % 150) WHERE n = 1""")
 def asof_nearest(spark, d):
     points = S.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 150).alias("channel"), (F.col("c_custkey") * 997.0 % 2000000).alias("t0"))
-    return frames.asof_nearest(points, S.signal(spark, d).select("channel", "t", "x"), 40000.0, "channel").select("k", "t0", "t", "x")
+    series = S.table(spark, d, "events").select(F.col("user_id").alias("channel"), (F.unix_micros("ts") / 1e6 - S.EPOCH).alias("t"), F.col("value").alias("x"))
+    return frames.asof_nearest(points, series, 40000.0, "channel").select("k", "t0", "t", "x")
 
 
 @query(""", p AS (SELECT user_id, value, epoch_us(ts) / 1000000.0 AS t FROM events), m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 14400 THEN 0 ELSE 1 END AS n FROM p),

@@ -45,9 +45,19 @@ def knn_mac(spark, d):
     return _search(spark, d, "mac")
 
 
-@query(None)
+_COSINE = _DOT.format(a="q", b="x") + " / sqrt(" + _DOT.format(a="q", b="q") + ") / sqrt(" + _DOT.format(a="x", b="x") + ")"
+_ALL_KNN = "WITH k AS (" + _KNN.format(s=_COSINE).replace("q.vec_id % 100 = 0 AND ", "").replace("round(similarity, 5) AS similarity", "similarity") + ")"
+
+
+def reciprocal(spark, d):
+    rows = S.table(spark, d, "embeddings")
+    return similarity.reciprocal(rows, rows.where(F.col("vec_id") % QUERY_STEP == 0), K)
+
+
+@query(_ALL_KNN + " SELECT a.query, a.id FROM k a JOIN k b ON a.query = b.id AND a.id = b.query WHERE a.query % 100 = 0")
 def mutual_knn(spark, d):
-    return similarity.mutual(_search(spark, d, "cosine")).select("query", "id")
+    """Neighbours that have each other: the stated query set against all rows."""
+    return similarity.mutual(reciprocal(spark, d))
 
 
 _START = "s AS (SELECT label AS cluster, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)"
@@ -71,17 +81,29 @@ def kmeans_lloyd(spark, d):
     return similarity.kmeans(rows, _start(rows), 64).select("vec_id", "cluster", r("d2", 4).alias("d2"))
 
 
-_MEDOID = f"SELECT label, arg_min(vec_id, (round(c, 6), vec_id)) AS medoid, round(min(c), 4) AS cost FROM (SELECT x.label, x.vec_id, sum({_D2.format(a='x', b='y')}) AS c FROM embeddings x JOIN embeddings y USING (label) GROUP BY 1, 2) GROUP BY 1"
+_MEDOID = "SELECT label, arg_min(vec_id, (round(c, 6), vec_id)) AS medoid, round(min(c), 4) AS cost FROM (SELECT x.label, x.vec_id, sum({}) AS c FROM embeddings x JOIN embeddings y USING (label) GROUP BY 1, 2) GROUP BY 1"
+_UNIT = "({} / sqrt({}) / sqrt({}))".format(*(_DOT.format(a=a, b=b) for a, b in (("x", "y"), ("x", "x"), ("y", "y"))))
+_MAC_XY = "(pow({} + {}, 2) + pow({} - {}, 2)) / ({} * {})".format(*(_pair("x", "y", i, j) for i, j in (("0", "0"), ("32", "32"), ("0", "32"), ("32", "0"))), _DOT.format(a="x", b="x"), _DOT.format(a="y", b="y"))
 
 
-@query(_MEDOID)
+@query(_MEDOID.format("sqrt(" + _D2.format(a="x", b="y") + ")"))
 def medoids(spark, d):
     return similarity.medoids(S.table(spark, d, "embeddings")).select("label", "medoid", r("cost", 4).alias("cost"))
 
 
-@query(f"WITH m AS ({_MEDOID}), p AS (SELECT x.vec_id, x.label, {_MAC} AS mac FROM m JOIN embeddings q ON q.vec_id = m.medoid JOIN embeddings x ON x.label = m.label) SELECT vec_id, round(mac, 5) AS mac, CASE WHEN round(mac, 9) >= 0.05 THEN label ELSE 0 END AS trimmed FROM p")
+@query(_MEDOID.format("1 - " + _UNIT))
+def medoids_cosine(spark, d):
+    return similarity.medoids(S.table(spark, d, "embeddings"), metric="cosine").select("label", "medoid", r("cost", 4).alias("cost"))
+
+
+@query(_MEDOID.format("1 - " + _MAC_XY))
+def medoids_mac(spark, d):
+    return similarity.medoids(S.table(spark, d, "embeddings"), metric="mac").select("label", "medoid", r("cost", 4).alias("cost"))
+
+
+@query(f"WITH m AS ({_MEDOID.format('1 - ' + _MAC_XY)}), p AS (SELECT x.vec_id, x.label, {_MAC} AS mac FROM m JOIN embeddings q ON q.vec_id = m.medoid JOIN embeddings x ON x.label = m.label) SELECT vec_id, round(mac, 5) AS mac, CASE WHEN round(mac, 9) >= 0.05 THEN label ELSE 0 END AS trimmed FROM p")
 def trim_cluster(spark, d):
-    return similarity.trimmed(S.modes(spark, d), medoids(spark, d).select("label", "medoid"), 0.05).select("vec_id", r("mac", 5).alias("mac"), F.col("trimmed").cast("int").alias("trimmed"))
+    return similarity.trimmed(S.modes(spark, d), medoids_mac(spark, d).select("label", "medoid"), 0.05).select("vec_id", r("mac", 5).alias("mac"), F.col("trimmed").cast("int").alias("trimmed"))
 
 
 @query("SELECT label, CAST(greatest(2, arg_max(k, (g, -k))) AS BIGINT) AS clusters FROM (SELECT label, row_number() OVER w AS k, lead(v) OVER w - v AS g, count(*) OVER (PARTITION BY label) AS n FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY v)) WHERE k <= n // 2 GROUP BY 1")

@@ -187,9 +187,48 @@ def test_searches_against_brute_force(spark):
         s = unit @ unit[q]
         s[q] = -2
         assert [r["id"] for r in got.where(F.col("query") == q).orderBy("rank").collect()] == np.argsort(-s)[:5].tolist()
-    pairs = {(r["query"], r["id"]) for r in similarity.mutual(similarity.nearest(df, df, 3)).collect()}
     near = {q: set(np.argsort(-(unit @ unit[q]) + 9 * (np.arange(300) == q))[:3].tolist()) for q in range(300)}
-    assert pairs == {(a, b) for a in near for b in near[a] if a < b and a in near[b]}
+    pairs = {(r["query"], r["id"]) for r in similarity.mutual(similarity.reciprocal(df, df.where("vec_id % 10 = 0"), 3)).collect()}
+    assert pairs == {(a, b) for a in range(0, 300, 10) for b in near[a] if a in near[b]} and pairs
+
+
+def test_searches_in_parts(spark, monkeypatch):
+    """Many parts of queries, tiles and batches, and equal similarities: the least id first."""
+    x = np.random.default_rng(5).integers(0, 2, (200, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    d = -np.sqrt(np.square(x[:, None] - x[None]).sum(2))
+    np.fill_diagonal(d, -np.inf)
+    monkeypatch.setattr(similarity, "MAX_QUERY_BYTES", 1000)
+    monkeypatch.setattr(similarity, "TILE", 700)
+    got = similarity.nearest(df, df.where("vec_id < 40"), 6, "euclidean").collect()
+    for q in range(40):
+        assert [r["id"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(200), -d[q]))[:6].tolist()
+    near = {(r["query"], r["id"]) for r in similarity.within(df, df.where("vec_id < 40"), -1.0, "euclidean").collect()}
+    assert near == {(q, int(i)) for q in range(40) for i in np.flatnonzero(d[q] >= -1)}
+
+
+def test_medoids_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x, label = rng.normal(size=(400, 6)) * rng.exponential(size=(400, 1)), rng.integers(0, 3, 400)
+    x[label == 2] = x[label == 2][0]  # all alike: the least id
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x, strict=True))], "vec_id long, label int, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    z = unit[:, :3] + 1j * unit[:, 3:]
+    for metric, d in (("euclidean", np.sqrt(np.square(x[:, None] - x[None]).sum(2))), ("cosine", 1 - unit @ unit.T), ("mac", 1 - np.abs(z.conj() @ z.T) ** 2)):
+        for r in similarity.medoids(df, metric=metric, batch=7).collect():
+            own = np.flatnonzero(label == r["label"])
+            cost = d[np.ix_(own, own)].sum(1)
+            assert abs(r["cost"] - cost.min()) < 1e-6 and r["medoid"] == own[np.argmin(np.round(cost, 7))]
+    assert similarity.medoids(df.limit(0)).count() == 0
+
+
+def test_asof_nearest(spark):
+    rng = np.random.default_rng(3)
+    series = [(int(c), float(t), float(x)) for c, t, x in zip(rng.integers(0, 4, 300), rng.integers(0, 5000, 300) / 2, rng.integers(0, 9, 300), strict=True)]
+    points = [(k, int(c), float(t)) for k, (c, t) in enumerate(zip(rng.integers(0, 6, 200), rng.integers(-400, 6000, 200) / 2, strict=True))]
+    got = frames.asof_nearest(spark.createDataFrame(points, "k int, channel int, t0 double"), spark.createDataFrame(series, "channel int, t double, x double"), 50.0, "channel")
+    got = {r["k"]: (r["d"], r["t"], r["x"]) for r in got.collect()}
+    assert got == {k: min(((abs(t - t0), t, x) for ch, t, x in series if ch == c), default=(None, None, None)) for k, c, t0 in points}
 
 
 def test_kmeans_against_numpy(spark):
