@@ -206,7 +206,8 @@ def medoids(rows: DataFrame, cluster: str = "label", id_col: str = "vec_id", vec
         scored = unit.join(sums, "c").select("c", "id", cost.alias("cost"))
     else:
         parts = unit.select("c", "u").mapInArrow(_outer_sums, f"c {dict(unit.dtypes)['c']}, n long, s array<double>")
-        each = parts.groupBy("c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(2 * (dim // 2) ** 2))).alias("s")).collect()  # a row a cluster
+        cells = parts.select("c", "n", F.posexplode("s").alias("i", "x")).groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        each = cells.groupBy("c").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("s")).collect()  # a row a cluster
         sent = rows.sparkSession.sparkContext.broadcast({r["c"]: (r["n"], np.array(r["s"])) for r in each})
 
         def score(batches):

@@ -59,16 +59,24 @@ def bbox_instances(spark, d):
     return grids.bounding_boxes(on).select("label", "x", "y", "w", "h", "area")
 
 
-@query(None)
+#: Regions of set cells by the least code of a neighbour, round by round, until none changes.
+_REGIONS = (S.cte("grid") + """, lit AS (SELECT t * 4294967296 + f AS id FROM grid WHERE v > 0),
+near AS (SELECT a.id AS a, a.id + k AS b FROM lit a CROSS JOIN (SELECT unnest([1, -1, 4294967296, -4294967296]) AS k) WHERE a.id + k IN (SELECT id FROM lit)),
+cc(id, label) USING KEY (id) AS (SELECT id, id FROM lit UNION SELECT near.b, min(cc.label) FROM cc JOIN near ON near.a = cc.id JOIN recurring.cc AS had ON had.id = near.b WHERE cc.label < had.label GROUP BY near.b),
+reg AS (SELECT CAST(0 AS INTEGER) AS input, id % 4294967296 AS f, id // 4294967296 AS t, label FROM cc)
+""").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_REGIONS + "SELECT * FROM reg")
 def connected_regions(spark, d):
     mask = S.grid(spark, d).select(F.lit(0).alias("input"), "f", "t", (F.col("v") > 0).alias("s"))
     return grids.connected_regions(mask, "input", tile=64)
 
 
-@query(None)
+@query(_REGIONS + "SELECT input, f, t, label FROM reg JOIN (SELECT label FROM reg GROUP BY 1 HAVING count(*) >= 3) USING (label)")
 def small_object_removal(spark, d):
     mask = S.grid(spark, d).select(F.lit(0).alias("input"), "f", "t", (F.col("v") > 0).alias("s"))
-    return grids.without_small(mask, grids.connected_regions(mask, "input", tile=64), 3, "input")
+    return grids.without_small(mask, grids.connected_regions(mask, "input", tile=64), 3, "input").select("input", "f", "t", "label")
 
 
 @query("SELECT min(p) AS start, count(*) AS length FROM (SELECT t * 16 + f AS p, t * 16 + f - row_number() OVER (ORDER BY t * 16 + f) AS g FROM grid WHERE v > 0) GROUP BY g", "grid")
@@ -138,10 +146,15 @@ def triangle_threshold(spark, d):
     return params.triangle_threshold(z, "g", bins=64).select("g", r("threshold").alias("threshold"))
 
 
-@query(None)
+@query("""WITH z AS (SELECT user_id % 8 AS g, ln(1 + value) - 3 AS x FROM events), tops AS (SELECT g, quantile_cont(x, 0.999) AS top, quantile_cont(x, 0.98) AS back, count(*) AS n FROM z WHERE x > 0 GROUP BY 1),
+h AS (SELECT g, least(CAST(floor(x / top * 511) AS BIGINT), 511) AS b, count(*) AS m FROM z JOIN tops USING (g) WHERE x > 0 AND x <= top GROUP BY ALL),
+d AS (SELECT g, b, sum(coalesce(m, 0)) OVER (PARTITION BY g ORDER BY b) / n - b / 511.0 AS d FROM (SELECT g, n, unnest(range(512)) AS b FROM tops) LEFT JOIN h USING (g, b)),
+k AS (SELECT *, d > coalesce(lag(d) OVER w, -1) AND d >= coalesce(lead(d) OVER w, -1) AS peak, min(d) OVER (PARTITION BY g ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d WINDOW w AS (PARTITION BY g ORDER BY b)),
+kn AS (SELECT g, min(b) AS b FROM k WHERE peak AND later < d - 1 / 511.0 GROUP BY 1)
+SELECT g, round(CASE WHEN coalesce(n, 0) < 100 THEN CAST('inf' AS DOUBLE) WHEN kn.b IS NULL THEN back ELSE kn.b / 511.0 * top END, 6) AS threshold, kn.b IS NULL AS used_fallback FROM (SELECT DISTINCT g FROM z) LEFT JOIN tops USING (g) LEFT JOIN kn USING (g)""")
 def knee_threshold(spark, d):
     z = S.table(spark, d, "events").select((F.col("user_id") % 8).alias("g"), (F.log1p("value") - 3).alias("x"))
-    return params.knee_threshold(z, "g")
+    return params.knee_threshold(z, "g").withColumn("threshold", r("threshold"))
 
 
 @query("""SELECT DISTINCT p_size AS n, round(1e6 * pow(p_size / 513.0, 4), 6) AS lam, CAST(greatest(1, least(5, floor(log2(least(p_size, 64) / 4.0)))) AS BIGINT) AS layers, CAST(ceil(p_size / 32.0) * 32 AS BIGINT) AS padded, greatest(1, CAST(floor(p_size * 0.01) AS BIGINT)) AS rows_off FROM part WHERE p_size > 0""")
@@ -202,7 +215,12 @@ def soft_targets(spark, d):
     return S.pairs(spark, d).select("doc_id", r(scalars.soft_target(F.col("quality"), _p(), 0.3)).alias("target"))
 
 
-@query(None)
+#: The CRC-32 of decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query(f"SELECT doc_id, CAST({_CRC} % 5 AS BIGINT) AS fold FROM documents")
 def fold_assign(spark, d):
     return metrics.folds(S.table(spark, d, "documents").select("doc_id"), "doc_id", 5)
 
@@ -261,9 +279,10 @@ def cross_coherence(spark, d):
     return spectral.cross(spec.where("f < 8"), other, "f").select("f", "k", r("coherence").alias("coherence"))
 
 
-@query(None)
+@query(_SEG.format(n=64, h=16).replace("(v - avg(v) OVER (PARTITION BY f, b))", "v") + """, im AS (SELECT f AS input, k - 1 AS f, b AS t, ln(1 + sqrt(re * re + im * im)) AS x FROM sp WHERE k > 0)
+SELECT input, CAST(f AS INTEGER) AS f, t, round(least(greatest(x, lo), hi), 6) AS v FROM im JOIN (SELECT input, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM im GROUP BY 1) USING (input)""", "grid")
 def stft_magnitude(spark, d):
-    return spectral.stft_magnitude(_rows(spark, d).withColumnRenamed("f", "input"), 64, 16, "input")
+    return spectral.stft_magnitude(_rows(spark, d).withColumnRenamed("f", "input"), 64, 16, "input").withColumn("v", r("v"))
 
 
 @query("SELECT DISTINCT p_size AS n, round(CASE WHEN p_size < 2 THEN 0 ELSE pow(tanh(1.96 / sqrt(2.0 * p_size - 2)), 2) END, 6) AS c95 FROM part")

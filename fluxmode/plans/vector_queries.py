@@ -75,7 +75,16 @@ def kmeans_assign_step(spark, d):
     return similarity.assign(rows, _start(rows)).select("vec_id", "cluster", r("d2", 5).alias("d2"))
 
 
-@query(None)
+#: Rounds of assignment and means, each from the centres of the one before, while the cost falls.
+_LLOYD = f"""WITH RECURSIVE {_START}, x AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
+l(n, cost, cs) AS (SELECT 0, CAST('inf' AS DOUBLE), (SELECT list({{'c': cluster, 'v': CAST(embedding AS DOUBLE[64])}} ORDER BY cluster) FROM s)
+UNION ALL SELECT n + 1, now, cs FROM (SELECT n, was, sum(part) AS now, list({{'c': c, 'v': CAST(mean AS DOUBLE[64])}} ORDER BY c) AS cs FROM (
+SELECT n, was, c, sum(d2) AS part, [{", ".join(f"avg(v[{j}])" for j in range(1, 65))}] AS mean FROM (
+SELECT n, was, vec_id, v, arg_min(c, (d2, c)) AS c, min(d2) AS d2 FROM (SELECT l.n, l.cost AS was, x.vec_id, x.v, o.c.c AS c, pow(array_distance(x.v, o.c.v), 2) AS d2 FROM l, unnest(l.cs) AS o(c), x) GROUP BY n, was, vec_id, v) GROUP BY n, was, c) GROUP BY n, was) WHERE now < was)
+"""
+
+
+@query(_LLOYD + "SELECT vec_id, CAST(arg_min(c, (d2, c)) AS INTEGER) AS cluster, round(min(d2), 4) AS d2 FROM (SELECT x.vec_id, o.c.c AS c, pow(array_distance(x.v, o.c.v), 2) AS d2 FROM (SELECT cs FROM l ORDER BY n DESC LIMIT 1) k, unnest(k.cs) AS o(c), x) GROUP BY 1")
 def kmeans_lloyd(spark, d):
     rows = S.table(spark, d, "embeddings")
     return similarity.kmeans(rows, _start(rows), 64).select("vec_id", "cluster", r("d2", 4).alias("d2"))
