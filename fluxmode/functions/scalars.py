@@ -139,3 +139,8 @@ def channel_radius(field: Column, axis: Column, freq_ghz: Column) -> Column:
 def yolo_box(x: Column, y: Column, w: Column, h: Column, width: int, height: int) -> list[Column]:
     """Centre and size of a box as shares of an image."""
     return [(x + w / 2) / width, (y + h / 2) / height, w / width, h / height]
+
+
+def combined_loss(losses: list[Column], weights: list[float]) -> Column:
+    """The weighted sum of losses; their numbers must agree."""
+    return sum((w * x for x, w in zip(losses, weights, strict=True)), F.lit(0.0))

@@ -39,3 +39,10 @@ def peak_normalised(re: Column, im: Column) -> tuple[Column, Column]:
     """A complex vector over its greatest magnitude."""
     top = F.array_max(F.zip_with(re, im, lambda x, y: F.sqrt(x.cast("double") * x + y.cast("double") * y)))
     return F.transform(re, lambda x: F.try_divide(x, top)), F.transform(im, lambda x: F.try_divide(x, top))
+
+
+def scalar_fit(ar: Column, ai: Column, br: Column, bi: Column) -> tuple[Column, Column]:
+    """The complex c (re, im) of least |a - c b|: <b, a> / <b, b>, 0 for a zero b."""
+    den = norm2(br) + norm2(bi)
+    over = lambda x: F.when(den > 0, x / den).otherwise(0.0)
+    return over(dot(br, ar) + dot(bi, ai)), over(dot(br, ai) - dot(bi, ar))

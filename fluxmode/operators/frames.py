@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +175,41 @@ def preferred(df: DataFrame, order: list[str], source: str, *keys: str) -> DataF
     ranked = df.withColumn("_r", rank).where("_r > 0")
     best = ranked.groupBy(*keys).agg(F.min("_r").alias("_b"))
     return ranked.join(best, list(keys)).where("_r = _b").drop("_r", "_b")
+
+
+def scale_length(profiles: DataFrame, place: float, size: float, *keys: str, by: str = "rho") -> DataFrame:
+    """L = -f / (df/dr) of each profile at a place, r = size * rho: slopes by weighted differences, f and slope interpolated. profiles: keys, by, x."""
+    w = ordered(*keys, by=by)
+    step = profiles.withColumn("_r", F.col(by) * size)
+    before, after = F.col("_r") - F.lag("_r").over(w), F.lead("_r").over(w) - F.col("_r")
+    low, high = (F.col("x") - F.lag("x").over(w)) / before, (F.lead("x").over(w) - F.col("x")) / after
+    slope = F.when(before.isNull(), high).when(after.isNull(), low).otherwise((low * after + high * before) / (before + after))
+    s = step.withColumn("_s", slope)
+    seg = s.select(*keys, by, "x", "_s", *(F.lead(c).over(w).alias(f"{c}1") for c in (by, "x", "_s")))
+    share = (F.lit(place) - F.col(by)) / (F.col(f"{by}1") - F.col(by))
+    f, g = F.col("x") + share * (F.col("x1") - F.col("x")), F.col("_s") + share * (F.col("_s1") - F.col("_s"))
+    return seg.where((F.col(by) <= place) & (F.lit(place) < F.col(f"{by}1"))).select(*keys, f.alias("value"), g.alias("slope"), F.when(g == 0, F.lit(float("inf"))).otherwise(-f / g).alias("length"))
+
+
+def decimated(df: DataFrame, factor: int, half: int | None = None, *, keys: tuple[str, ...]) -> DataFrame:
+    """Every factor-th sample behind a zero-phase low pass (windowed sinc at the new Nyquist frequency): keys, m, y.
+
+    Each sample is added to the outputs whose taps hold it, so a signal is never gathered in one task; at the
+    ends the missing samples count as the weights' share of those that are there.
+    """
+    n = 10 * factor if half is None else half
+    taps = [math.sin(math.pi * k / factor) / (math.pi * k) if k else 1 / factor for k in range(-n, n + 1)]
+    taps = [t * (0.54 + 0.46 * math.cos(math.pi * k / n)) for t, k in zip(taps, range(-n, n + 1), strict=True)]
+    weights = F.array(*(F.lit(t / sum(taps)) for t in taps))
+    last = df.groupBy(*keys).agg(F.max("i").alias("_l"))
+    held = df.join(last, list(keys)).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - n) / factor)), F.least(F.floor(F.col("_l") / factor), F.floor((F.col("i") + n) / factor)))))
+    w = F.get(weights, (F.col("i") - F.col("m") * factor + n).cast("int"))
+    return held.groupBy(*keys, "m").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("y"))
+
+
+def noisy(df: DataFrame, level: float, seed: int, *keys: str) -> DataFrame:
+    """x plus Gaussian noise of level times the signal's deviation: column y. The noise follows from the seed and the row's place, at any partitioning."""
+    s = df.groupBy(*keys).agg(F.stddev_pop("x").alias("_s"))
+    uniform = lambda k: (F.pmod(F.xxhash64(*keys, "i", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    return df.join(s, list(keys)).withColumn("y", F.col("x") + level * F.col("_s") * normal).drop("_s")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 
 def steering(probes: DataFrame, angles: dict[int, float], numbers: range, *keys: str) -> DataFrame:
     """|sum_c F_c e^(-i n phi_c)| / N for each n: keys, n, amp. probes: channel, keys, re, im; angles in degrees.
@@ -55,3 +59,64 @@ def harmonic_mac(shapes: DataFrame, m_max: int, n_max: int, *keys: str) -> DataF
     re, im = F.sum(F.col("re") * c + F.col("im") * s), F.sum(F.col("im") * c - F.col("re") * s)
     power = F.sum(F.col("re") ** 2 + F.col("im") ** 2)
     return each.groupBy(*keys, F.col("g.m").alias("m"), F.col("g.n").alias("n")).agg(F.when(power > 0, (re * re + im * im) / (power * F.count("*"))).otherwise(0.0).alias("mac"))
+
+
+def prototypes(poles: DataFrame, queries: list[tuple[float, float]], warn: float = 5.0) -> DataFrame:
+    """For each (time in ms, frequency in kHz) asked for, the nearest pole: query, the pole's columns, distance, far.
+
+    The queries are a short list, laid beside each pole; a partial aggregate keeps one pole a query and task.
+    poles: time (ms), frequency (kHz) and other columns.
+    """
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("query"), F.lit(float(t)).alias("t0"), F.lit(float(f)).alias("f0")) for i, (t, f) in enumerate(queries)))).alias("_q")
+    each = poles.select("*", asked)
+    d = F.sqrt((F.col("time") - F.col("_q.t0")) ** 2 + (F.col("frequency") - F.col("_q.f0")) ** 2)
+    others = [c for c in poles.columns if c not in ("time", "frequency")]
+    best = each.groupBy(F.col("_q.query").alias("query")).agg(F.min(F.struct(d.alias("distance"), "time", "frequency", *others)).alias("b"))
+    return best.select("query", "b.time", "b.frequency", *(f"b.{c}" for c in others), "b.distance", (F.col("b.distance") > warn).alias("far"))
+
+
+def traces(shapes: DataFrame, references: DataFrame, least: float, block: str = "block") -> DataFrame:
+    """For each reference and block the shape of greatest MAC with it (the least id of equals), if that reaches least.
+
+    shapes: block, id, re, im. references: reference, re, im; a few rows, sent to the tasks as literals.
+    """
+    few = references.select("reference", F.col("re").cast("array<double>").alias("re"), F.col("im").cast("array<double>").alias("im")).orderBy("reference").collect()  # the prototypes
+    value = [F.struct(F.lit(r["reference"]).alias("reference"), vectors.mac(F.col("re"), F.col("im"), F.array(*map(F.lit, r["re"])), F.array(*map(F.lit, r["im"]))).alias("mac")) for r in few]
+    each = shapes.select(block, "id", F.explode(F.array(*value)).alias("v")).select(block, "id", "v.reference", F.round("v.mac", 12).alias("mac")).where(F.col("mac") >= least)
+    best = each.groupBy("reference", block).agg(F.max(F.struct("mac", (-F.col("id")).alias("n"))).alias("b"))
+    return best.select("reference", block, (-F.col("b.n")).alias("id"), "b.mac")
+
+
+def csm_modes(probes: DataFrame, angles: dict[int, float], numbers: range, n_avg: int = 8, n_src: int = 1, *, frame: str = "w", bin: str = "k") -> DataFrame:
+    """Modes from cross-spectral matrices: frame, bin, power, coherence, n, amplitudes and music (dB) in the order of numbers.
+
+    Each matrix averages the outer products of the probes' spectra over the frames within n_avg // 2 of its own. Its
+    leading eigenvector is held against unit steering vectors; n is the number of greatest projection (the first
+    of equals), and music the projection's distance from the space of the n_src leading eigenvectors. probes: channel, frame, bin, re, im.
+    """
+    order = sorted(angles)
+    z = probes.groupBy(frame, bin).agg(*(F.sum(F.when(F.col("channel") == c, F.col(p))).alias(f"{p}{c}") for c in order for p in ("re", "im")))
+    snap = z.select(frame, bin, F.array(*(F.coalesce(f"{p}{c}", F.lit(0.0)) for p in ("re", "im") for c in order)).alias("z"))
+    half = n_avg // 2
+    near = snap.withColumn("snaps", F.collect_list("z").over(Window.partitionBy(bin).orderBy(frame).rowsBetween(-half, half))).drop("z")
+    phi, ns = np.radians([angles[c] for c in order]), list(numbers)
+    steering = np.exp(-1j * np.outer(ns, phi)) / math.sqrt(len(order))
+    types = dict(near.dtypes)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for snaps in b.column(2).to_pylist():
+                s = np.array(snaps)
+                s = s[:, : len(order)] + 1j * s[:, len(order) :]
+                values, u = np.linalg.eigh(s.T @ s.conj() / len(s))
+                values, u = values[::-1], u[:, ::-1]
+                a = np.abs(steering @ u[:, 0])
+                music = 10 * np.log10(1 / np.clip(1 - np.square(np.abs(steering @ u[:, :n_src])).sum(1), 1e-10, None))
+                total = float(values.sum())
+                out.append((total / len(order), float(values[0]) / (total + 1e-30), ns[int(np.argmax(np.round(a, 12)))], a.tolist(), music.tolist()))
+            power, coherence, n, a, music = zip(*out, strict=True) if out else ((),) * 5
+            cols = [pa.array(power, pa.float64()), pa.array(coherence, pa.float64()), pa.array(n, pa.int32()), pa.array(a, pa.list_(pa.float64())), pa.array(music, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], [frame, bin, "power", "coherence", "n", "amplitudes", "music"])
+
+    return near.mapInArrow(run, f"`{frame}` {types[frame]}, `{bin}` {types[bin]}, power double, coherence double, n int, amplitudes array<double>, music array<double>")

@@ -63,3 +63,29 @@ def energy_profile(df: DataFrame, *keys: str) -> DataFrame:
     """Median over samples of the root mean square of each bin. df: keys, sample, f, v."""
     rms = df.groupBy(*keys, "sample", "f").agg(F.sqrt(F.avg(F.col("v") ** 2)).alias("e"))
     return rms.groupBy(*keys, "f").agg(F.median("e").alias("e"))
+
+
+def cdf_threshold(df: DataFrame, *keys: str, bins: int = 100, adjust: float = 0.0) -> DataFrame:
+    """The place where the cumulative curve of values, raised to their median, is farthest from its chord: keys, threshold.
+
+    The curve is interpolated exactly at `bins` even places: what it takes are the count up to each place and the values
+    beside it, which cells of values give by partial aggregates, so that no key is sorted.
+    """
+    mid = df.groupBy(*keys).agg(F.median("x").alias("_m"))
+    x = df.join(mid, list(keys)).select(*keys, F.greatest("x", "_m").alias("x"))
+    ends = x.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).where("high > low")
+    u = (F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins
+    # values of cell c lie up to place c and above place c - 1
+    cells = x.join(ends, list(keys)).withColumn("u", u).withColumn("c", F.least(F.ceil(F.col("u") * (bins - 1) / bins), F.lit(bins - 1)))
+    cells = cells.groupBy(*keys, "c").agg(F.count("*").alias("m"), F.min("u").alias("first"), F.max("u").alias("last"))
+    dense = ends.select(*keys, "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("c")).join(cells, [*keys, "c"], "left")
+    w = Window.partitionBy(*keys).orderBy("c")
+    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("c") * bins / (bins - 1)
+    near = dense.select(*keys, "low", "high", "n", "c", at.alias("at"), F.sum("m").over(upto).alias("r"), F.max("last").over(upto).alias("a"), F.min("first").over(onward).alias("z"))
+    share = F.coalesce(F.try_divide(F.col("at") - F.col("a"), F.col("z") - F.col("a")), F.lit(0.0))
+    y = near.withColumn("y", (F.col("r") - 1 + share) / (F.col("n") - 1) * 2 * bins)
+    first, last = (F.first("y").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("y").over(Window.partitionBy(*keys).orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.round(F.abs(F.col("y") - first - (last - first) / bins * F.col("at")), 9)
+    best = y.withColumn("d", off).groupBy(*keys, "low", "high").agg(F.max(F.struct("d", (-F.col("c")).alias("k"), "at")).alias("b"))
+    return best.select(*keys, (F.col("b.at") / bins * (F.col("high") - F.col("low")) + F.col("low") + adjust * (F.col("high") - F.col("low"))).alias("threshold"))

@@ -143,3 +143,111 @@ def stable_poles(low: DataFrame, high: DataFrame, tolerance: float, *keys: str)
 
 def in_range(poles: DataFrame, low: float, high: float, damping: float) -> DataFrame:
     return poles.where(F.col("frequency").between(low, high) & (F.col("damping") <= damping))
+
+
+def _inverse_root(c: np.ndarray) -> np.ndarray:
+    """The inverse square root of a covariance; directions without variance are left out."""
+    w, v = np.linalg.eigh(c)
+    keep = w > max(w.max(initial=0.0), 0.0) * 1e-12
+    return (v[:, keep] / np.sqrt(w[keep])) @ v[:, keep].T
+
+
+def canonical_state(y: np.ndarray, future: int, past: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """State, output and Kalman matrices, canonical correlations and innovation covariance of y (samples x channels).
+
+    The states are the leading canonical directions of the past for predicting the future; A + K C carries the gain.
+    """
+    n, m = y.shape
+    cols = n - past - future + 1
+    before = np.stack([y[i : i + cols] for i in range(past)], 1).reshape(cols, -1)
+    after = np.stack([y[past + i : past + i + cols] for i in range(future)], 1).reshape(cols, -1)
+    root = _inverse_root(before.T @ before / cols)
+    _, corr, v = np.linalg.svd(_inverse_root(after.T @ after / cols) @ (after.T @ before / cols) @ root, full_matrices=False)
+    x = before @ (v[:order] @ root).T
+    now = y[past : past + cols]
+    c = now.T @ np.linalg.pinv(x.T)
+    step = x[1:].T @ np.linalg.pinv(np.hstack((x[:-1], now[:-1])).T)
+    rest = now - x @ c.T
+    return step[:, :order] + step[:, order:] @ c, c, step[:, order:], corr, rest.T @ rest / cols
+
+
+def canonical_poles(blocks: DataFrame, future: int, past: int, order: int, fs: float) -> DataFrame:
+    """By block: frequency and damping of the poles of the canonical-correlation model, and its leading correlation."""
+
+    def solve(y):
+        if len(y) <= future + past:
+            return []
+        a, _, _, corr, _ = canonical_state(y - y.mean(0), future, past, order)
+        return [(*p, float(corr[0])) for p in _poles(a, fs)]
+
+    return _per_block(blocks, solve, "frequency double, damping double, correlation double")
+
+
+def log_determinant(a: np.ndarray) -> float:
+    """Of a symmetric matrix, by Cholesky factors where it is positive definite; -inf if it is singular."""
+    try:
+        return float(2 * np.log(np.diag(np.linalg.cholesky(a))).sum())
+    except np.linalg.LinAlgError:
+        return float(np.linalg.slogdet(a)[1])
+
+
+def mahalanobis(y: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    z = y - mean
+    return np.sqrt(np.maximum(0, (z * (z @ np.linalg.pinv(cov))).sum(1)))
+
+
+def fold_covariances(blocks: DataFrame, folds: int) -> DataFrame:
+    """By block and left-out fold of consecutive samples: trace and log determinant of the covariance of the rest, and the fold's
+    mean Mahalanobis distance from it. The fold whose absence makes a criterion least holds the outliers."""
+
+    def solve(y):
+        n, out = len(y), []
+        for k in range(folds):
+            a, z = round(k * n / folds), round((k + 1) * n / folds)
+            rest = np.concatenate((y[:a], y[z:]))
+            if len(rest) <= y.shape[1] or a == z:
+                continue
+            mean = rest.mean(0)
+            cov = (rest - mean).T @ (rest - mean) / len(rest)
+            out.append((k, float(np.trace(cov)), log_determinant(cov), float(mahalanobis(y[a:z], mean, cov).mean())))
+        return out
+
+    return _per_block(blocks, solve, "fold int, trace double, logdet double, distance double")
+
+
+def projected_poles(blocks: DataFrame, order: int, reduced: int, draws: int, fs: float, seed: int = 0) -> DataFrame:
+    """Poles of autoregressive models of `draws` random orthonormal projections of each block onto `reduced` dimensions: draw, frequency, damping."""
+
+    def solve(y):
+        rng = np.random.default_rng(seed)
+        out, y = [], y - y.mean(0)
+        for k in range(draws):
+            q, _ = np.linalg.qr(rng.normal(size=(y.shape[1], reduced)))
+            if len(y) > order * (reduced + 1):
+                out += [(k, *p) for p in _poles(companion(ar_model(y @ q, order)[0]), fs)]
+        return out
+
+    return _per_block(blocks, solve, "draw int, frequency double, damping double")
+
+
+def component_spectra(blocks: DataFrame, components: int) -> DataFrame:
+    """Power spectra of the leading principal components of each block: component, share of the variance, k, p."""
+
+    def solve(y):
+        u, s, _ = np.linalg.svd(y - y.mean(0), full_matrices=False)
+        power = np.square(np.abs(np.fft.rfft(u[:, :components] * s[:components], axis=0)))
+        share = np.square(s) / max(np.square(s).sum(), 1e-300)
+        return [(c, float(share[c]), k, float(power[k, c])) for c in range(power.shape[1]) for k in range(len(power))]
+
+    return _per_block(blocks, solve, "component int, share double, k int, p double")
+
+
+def frequency_shapes(blocks: DataFrame, angles: list[float]) -> DataFrame:
+    """Least-squares shape of each block at given angles a sample (radians): mode, channel, re (cosine), im (sine)."""
+
+    def solve(y):
+        t = np.arange(len(y))[:, None] * np.array(angles)[None]
+        c = np.linalg.lstsq(np.hstack((np.cos(t), np.sin(t))), y, rcond=None)[0]
+        return [(j, ch, float(c[j, ch]), float(c[len(angles) + j, ch])) for j in range(len(angles)) for ch in range(y.shape[1])]
+
+    return _per_block(blocks, solve, "mode int, channel int, re double, im double")
