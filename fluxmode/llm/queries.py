@@ -100,17 +100,28 @@ FROM d LEFT JOIN l USING (doc_id)
 """
 
 _SQL6 = r"""
-WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-q AS (SELECT *, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-             coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path FROM p),
+WITH RECURSIVE tags AS (SELECT url, html, unnest(list_slice(string_split(html, '>'), 1, -2)) AS piece FROM (SELECT DISTINCT url, html FROM pages WHERE instr(url, '://') > 0 AND html IS NOT NULL)),
+found AS (SELECT url, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM (SELECT url, regexp_extract(piece, '(?is)<link\b.*', 0) AS t FROM tags WHERE contains(lower(html), 'canonical')) WHERE regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')
+  UNION SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT url, regexp_extract(piece, '(?is)<meta\b.*', 0) AS t FROM tags WHERE contains(lower(html), 'http-equiv')) WHERE regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+asked AS (SELECT url, replace(target, '&amp;', '&') AS target, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme,
+  translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM found WHERE target <> ''),
+based AS (SELECT *, scheme || '://' || host AS site, CASE WHEN path = '' THEN '/' ELSE path END AS own, regexp_extract(target, '(?s)^[^?#]*', 0) AS name, regexp_extract(target, '(?s)^[^?#]*(.*)', 1) AS tail FROM asked),
+resolved AS (SELECT url, CASE WHEN regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN site || target
+  WHEN starts_with(target, '?') THEN site || own || target WHEN NOT regexp_matches(target, '(?i)^(#|[a-z][a-z0-9+.-]*:)')
+  THEN site || array_to_string(list_reduce(list_transform(string_split(regexp_replace(regexp_replace(own, '[^/]*$', '') || name, '/(\.\.?)$', '/\1/'), '/'), lambda x: [x]),
+    lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(1, len(acc) - 1)] ELSE list_concat(acc, x) END), '/') || tail END AS target FROM based),
+urls AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM (SELECT url FROM pages UNION SELECT target FROM resolved WHERE target IS NOT NULL)),
+parts AS (SELECT url, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1), '') AS path,
+  regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM urls),
 rules(v, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-fits AS (SELECT DISTINCT host, path, first_value(h || s) OVER w AS rule, first_value(v) OVER w AS verdict
-         FROM (SELECT DISTINCT host, path FROM q) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)
-         WINDOW w AS (PARTITION BY host, path ORDER BY length(h || s) DESC)),
-l AS (SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS tag, 'href' AS k FROM p WHERE rest IS NOT NULL
-      UNION ALL SELECT url, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), 'url' FROM p WHERE rest IS NOT NULL)
-SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM l WHERE tag <> '') THEN error('links: see the brute-force test') ELSE 'allow' END) AS verdict
-FROM q LEFT JOIN fits f USING (host, path)
+fits AS (SELECT url, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY 1),
+known AS (SELECT p.url, host, path, rule, verdict, host || CASE WHEN tail = '' OR starts_with(tail, '?') THEN '/' ELSE '' END || tail AS address FROM parts p LEFT JOIN fits f ON p.url IS NOT DISTINCT FROM f.url),
+link AS (SELECT DISTINCT x.address AS a, y.address AS b FROM resolved r JOIN known x ON x.url = r.url JOIN known y ON y.url = r.target WHERE x.address <> y.address),
+both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+cc(node, label) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT e.b, min(cc.label) FROM cc JOIN both_ e ON e.a = cc.node JOIN recurring.cc AS had ON had.node = e.b WHERE cc.label < had.label GROUP BY e.b),
+spread AS (SELECT label, min(verdict) AS verdict FROM cc JOIN known ON address = node GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(k.verdict, s.verdict, 'allow') AS verdict FROM pages p LEFT JOIN known k ON p.url IS NOT DISTINCT FROM k.url LEFT JOIN cc ON node = address LEFT JOIN spread s USING (label)
 """
 
 ORACLES = {"op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}

@@ -666,6 +666,42 @@ def test_all_links_count(spark, tmp_path_factory):
     assert got == {i: "allow" if i in (12, 13) else "block" for i in range(1, 15)}
 
 
+def test_urls_equal_sql(spark, tmp_path_factory):
+    """The registered SQL follows links, too: chains, a hub with many aliases, a page with many links, unlike spellings, repeated and null URLs."""
+    duckdb = pytest.importorskip("duckdb")
+    from fluxmode.llm import queries
+
+    r = random.Random(11)
+    hosts = ["a.net", "b.net", "C.Net", "shop.com", "example.org", "x.example.org", "notexample.org"]
+    url = lambda: f"http{r.choice(['', 's'])}://{r.choice(hosts)}{r.choice(['', '/', '/es/', '/en/1', '/fr/', '/de/', '/p/q/'])}{r.choice(['', 'v', 'w'])}{r.choice(['', '?k=1', '#top'])}"
+    target = lambda: r.choice([url, lambda: r.choice(["/p/v", "../w", "./q/../v", "?k=1", "#x", "mailto:a@b", "//b.net/es/w", "q", ".."])])()
+    data = []
+    for i in range(400):
+        html = "".join(r.choice([f'<LINK rel="canonical" href="{target()}">', f"<link href='{target()}' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={target()}">', "<p>text</p>", "<link rel=icon href=z>"]) for _ in range(r.randrange(3)))
+        data.append((i, url() + (f"{i}" if r.random() < 0.7 else ""), html))
+    data += [(1000 + i, f"http://chain.net/{i}", LINK.format(f"http://chain.net/{i + 1}")) for i in range(60)] + [(1060, "http://chain.net/60", LINK.format("http://s.com/de/1"))]
+    data += [(2000 + i, f"http://alias{i}.net/", LINK.format("http://hub.net/")) for i in range(1500)] + [(3999, "http://hub.net/", LINK.format("http://example.org/en/1"))]
+    data += [(5000 + i, None if i % 2 else "none", None if i % 3 else bad) for i, bad in enumerate([LINK.format("http://s.com/de/1")] * 50)] + PAGES
+    pages = scan(spark, tmp_path_factory, data, "page_id long, url string, html string")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    con = duckdb.connect()
+    import pandas as pd
+
+    frame = pd.DataFrame(data, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}).astype({"url": "string", "html": "string"})
+    con.register("given", frame)
+    con.execute("CREATE TABLE pages AS SELECT CAST(page_id AS BIGINT) AS page_id, CAST(url AS VARCHAR) AS url, CAST(html AS VARCHAR) AS html FROM given")
+    got = con.execute(queries.ORACLES["op6_url_filter"])
+    names = [c[0] for c in got.description]
+    want = Counter(tuple(dict(zip(names, row, strict=True))[c] for c in columns) for row in got.fetchall())
+    for hot in (10_000, 100):
+        common.HOT, kept = hot, common.HOT
+        try:
+            assert Counter(tuple(x[c] for c in columns) for x in rows(urls.judge(pages))) == want
+        finally:
+            common.HOT = kept
+    assert want[3999, "hub.net", "/", None, "block"] and want[1000, "chain.net", "/0", None, "block"] and want[2000, "alias0.net", "/", None, "block"]
+
+
 # empty tables, kernel, pipeline
 
 
