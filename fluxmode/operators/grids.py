@@ -66,7 +66,7 @@ def rolloff(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
     w = Window.orderBy("x")  # the table is a small calibration list
     seg = table.withColumn("x1", F.lead("x").over(w)).withColumn("c1", F.lead("c").over(w)).where("x1 IS NOT NULL")
     cells = seg.withColumn("_b", F.explode(F.sequence(F.floor("x"), F.ceil("x1") - 1)))
-    hit = df.withColumn("_b", F.floor(F.col("f"))).join(F.broadcast(cells), "_b").where((F.col("f") >= F.col("x")) & (F.col("f") < F.col("x1")))
+    hit = df.withColumn("_b", F.floor(F.col("f"))).join(cells, "_b").where((F.col("f") >= F.col("x")) & (F.col("f") < F.col("x1")))
     c = F.col("c") + (F.col("c1") - F.col("c")) * (F.col("f") - F.col("x")) / (F.col("x1") - F.col("x"))
     return hit.select(*keys, "f", "t", (F.col("v") * c).alias("v"))
 

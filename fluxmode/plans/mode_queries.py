@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
-from ..operators import frames, modes, params, sysid
+from ..operators import frames, modes, params, scoring, spectral_clusters, sysid
 from ..sources import examples
 from ..sources import standins as S
 from .grid_queries import ANGLES, _P, _p, _probes, _sensors
@@ -125,3 +126,33 @@ def frequency_shapes(spark, d):
 def example_signal(spark, d):
     """A seeded signal; the tables are not read."""
     return examples.example_signal(spark, 0.05, 200_000.0, 3)
+
+
+def _region_graph(spark, d):
+    """Customers tied to their region, and regions loosely to each other; regions are numbered from -1 down."""
+    home = S.table(spark, d, "customer").join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = home.select(F.col("c_custkey").cast("long").alias("a"), (-1 - F.col("n_regionkey")).cast("long").alias("b"), F.lit(1.0).alias("w"))
+    held = c.select(F.col("b").alias("a")).distinct().withColumn("all", F.collect_set("a").over(Window.partitionBy(F.lit(0))))  # a handful of regions
+    loose = held.select("a", F.explode("all").alias("b")).where("a <> b").withColumn("w", F.lit(0.01))
+    return c.union(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).union(loose)
+
+
+@query("SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY n_regionkey) AS first_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def spectral_clusters_of_graph(spark, d):
+    """Spectral clusters of the customers, each named by its least one: the regions."""
+    graph = _region_graph(spark, d)
+    found = spectral_clusters.clusters(graph, graph.where("b < 0").select("b").distinct().count()).where("id >= 0")
+    least = found.groupBy("cluster").agg(F.min("id").alias("first_id"))
+    return found.join(least, "cluster").select("id", "first_id")
+
+
+@query("SELECT f, round(sum(s * s), 6) AS y FROM (SELECT f, (v - avg(v) OVER (PARTITION BY f)) / (stddev_pop(v) OVER (PARTITION BY f) + 1e-6) AS s FROM grid) GROUP BY 1", "grid")
+def scored_rows(spark, d):
+    """A plugged-in scorer over whole rows of the grid: here the energy of the standardised row."""
+    x = F.transform(F.array_sort(F.collect_list(F.struct("t", "z"))), lambda s: s["z"])
+    rows = scoring.standardised(S.grid(spark, d), "f").groupBy("f").agg(x.alias("x"))
+    return scoring.scored(rows, _energy, 2.0, keys=("f",)).select("f", r(F.get("y", F.lit(0))).alias("y"))
+
+
+def _energy(power):
+    return lambda x: [(abs(x) ** power).sum()]

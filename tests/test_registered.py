@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxmode import registry
 from fluxmode.functions import vectors
-from fluxmode.operators import filters, frames, modes, params, sysid
+from fluxmode.operators import filters, frames, modes, params, spectral_clusters, sysid
 from fluxmode.plans import grid_queries
 from fluxmode.sources import examples, standins
 
@@ -310,3 +310,19 @@ def test_prototypes_and_fit(spark):
     cols = [F.col(c) for c in ("ar", "ai", "br", "bi", "o")]
     r = row.select(*vectors.scalar_fit(*cols[:4]), *vectors.scalar_fit(*cols[:2], cols[4], cols[4])).first()
     assert np.allclose(list(r), [2, -3, 0, 0])
+
+
+@pytest.mark.parametrize("kind", ["ng", "standard"])
+def test_spectral_clusters(spark, kind):
+    """Three dense groups with loose ties; eigenvalues as of the whole matrix."""
+    rng = np.random.default_rng(5)
+    label = np.arange(45) % 3
+    w = np.where(label[:, None] == label[None], 1.0, 0.02) * rng.uniform(0.5, 1.5, (45, 45))
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(45) for j in range(45) if i != j], "a long, b long, w double")
+    got = {r["id"]: r["cluster"] for r in spectral_clusters.clusters(edges, 3, kind).collect()}
+    assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in range(45))
+    d = w.sum(1)
+    lap = np.diag(d) - w if kind == "standard" else np.eye(45) - w / np.sqrt(np.outer(d, d))
+    _, values = spectral_clusters.embedding(edges, 3, kind)
+    assert np.allclose(values, np.linalg.eigvalsh(lap)[:3], atol=1e-4)
