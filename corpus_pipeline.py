@@ -1,7 +1,15 @@
 """The training-data pipeline: quality, exact dedup, near dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the docs of the next one. All but the last return the columns of documents.
+again as the docs of the next one. All but the last return the columns of documents, extra ones
+included whatever their names.
+
+Null texts count as empty ones throughout: the classifier scores them like any text, all of them are one
+group of the exact dedup, they are near no other text, hold no benchmark words, and pack as an end id.
+Rows that share an id are judged each for itself but in the near dedup, where they are one document:
+they stay or go together. Of ties the largest id stays in the exact dedup and the least in the near
+dedup. Texts of any length are worked on whole. An empty table, of documents, labels or benchmark items,
+gives empty results, scores of 0.5 (below the threshold, so no document stays), or no contaminated rows.
 """
 
 from __future__ import annotations
