@@ -727,6 +727,27 @@ def test_word_hashes_do_not_depend_on_neighbours(monkeypatch):
     assert len(set(kernel.word_hashes([b" ".join(sorted(words))])[0].tolist())) == len(words)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path_factory, empty):
+    """Nulls in any column, repeated rows, clashing names and empty tables go through every stage."""
+    import corpus_pipeline
+
+    home = str(tmp_path_factory.mktemp("tables"))
+    good = [(100 + i, prose(60, 100 + i), "en", "a", 1) for i in range(40)]
+    data = [*good, *good[:3], *ROWS, (None, None, None, None, None), (50, BASE, None, "x", None), (50, prose(30, 77), "en", None, 1)]
+    docs = scan(spark, tmp_path_factory, data).withColumns({c: F.lit("x") for c in ("_gone", "gone", "_rid", "_row", "payload", "owner", "bucket", "salt")})
+    spark.createDataFrame([(100 + i, 1, None) for i in range(40)] + [(500 + i, 0, 0) for i in range(5)] + [(None, 1, 1), (5, None, 1)] + [(i, 0, 1) for i in (3, 4, 7, 10)], "doc_id long, quality int, toxic int").write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{home}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.stored(stage(spark, docs, home), "odd")
+        if k < 4:
+            assert out.columns == docs.columns
+            was, now = (Counter(map(str, map(tuple, d.collect()))) for d in (docs, out))
+            assert not now - was, name  # rows stay whole
+        none = stage(spark, empty, home)
+        assert none.collect() == [] and (k == 4 or none.columns == empty.columns)
+        docs = out if k else docs  # the classifier's verdict on so few labels is not the point here
+
+
 def test_pipeline_stages(spark, tmp_path_factory):
     import corpus_pipeline
 
