@@ -26,14 +26,17 @@ MAX_PER_LANG = 20_000
 #: Code points worked on at once.
 SEGMENT = 1 << 16
 UNKNOWN = "und"
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Numeric characters that \w holds besides digits (fractions, numerals in rings) and that are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha()) + "]")
 
 
 def plain(text: str | None) -> str:
     """Lower-cased letters with single spaces around words; empty without a letter."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    t = (text or "").lower()
+    if not t.isascii():
+        t = _NUMERALS.sub(" ", t)
+    words = _NOT_LETTERS.sub(" ", t).strip()
     return f" {words} " if words else ""
 
 
