@@ -28,14 +28,15 @@ SEGMENT = 1 << 16
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Numeric characters that \w holds besides digits (fractions, numerals in rings) and that are no letters.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha()) + "]")
+_NUMERALS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKED = dict.fromkeys(map(ord, _NUMERALS), " ")
 
 
 def plain(text: str | None) -> str:
     """Lower-cased letters with single spaces around words; empty without a letter."""
     t = (text or "").lower()
-    if not t.isascii():
-        t = _NUMERALS.sub(" ", t)
+    if not t.isascii() and not _NUMERALS.isdisjoint(t):
+        t = t.translate(_BLANKED)
     words = _NOT_LETTERS.sub(" ", t).strip()
     return f" {words} " if words else ""
 
