@@ -7,6 +7,8 @@ buffer hashes the words of many documents. Memory follows SEGMENT, not the lengt
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at once; a longer text is hashed in parts cut at white space.
 SEGMENT = 1 << 21
@@ -107,12 +109,12 @@ def windows(h: np.ndarray, k: int, factor: int = _QS) -> np.ndarray:
     return out
 
 
-def slices(texts: list[bytes], rows: int, size: int = SEGMENT) -> list[tuple[int, int]]:
-    """Ranges of a batch's texts that hold at most so many rows and, one text apart, so many bytes."""
+def slices(column: pa.Array, rows: int, size: int = SEGMENT) -> list[tuple[int, int]]:
+    """Ranges of a text column that hold at most so many rows and, one text apart, so many bytes."""
     out, begin, held = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and (i - begin == rows or held + len(t) > size):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > begin and (i - begin == rows or held + n > size):
             out.append((begin, i))
             begin, held = i, 0
-        held += len(t)
-    return [*out, (begin, len(texts))] if texts else out
+        held += n
+    return [*out, (begin, len(column))] if len(column) else out

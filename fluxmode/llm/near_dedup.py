@@ -41,7 +41,7 @@ _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     h, at = kernel.word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
     pair = kernel.mix(kernel.windows(h, k)) if len(h) >= k else np.zeros(0, np.uint64)
@@ -97,10 +97,9 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at, end in kernel.slices(texts, 512):
+            for at, end in kernel.slices(b.column(1), 512):
                 part = b.slice(at, end - at)
-                n, fp, bands = _sketches(shingle_sets(texts[at:end], k))
+                n, fp, bands = _sketches(shingle_sets(part.column(1).to_pylist(), k))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(np.ascontiguousarray(fp[:, 0])), pa.array(np.ascontiguousarray(fp[:, 1])), flat], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
@@ -114,9 +113,9 @@ def _sets_of(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at, end in kernel.slices(texts, 512):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array([s.tobytes() for s in shingle_sets(texts[at:end], k)], pa.binary())], ["id", "shingles"])
+            for at, end in kernel.slices(b.column(1), 512):
+                part = b.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), k)], pa.binary())], ["id", "shingles"])
 
     return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates()
 

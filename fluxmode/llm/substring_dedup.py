@@ -153,10 +153,9 @@ def _emit(rows: DataFrame, window: int, before: int | None, length: int) -> Data
 
     def run(batches):
         for b in batches:
-            texts = _encoded(b.column(2))
-            for at, end in kernel.slices(texts, GROUP):
+            for at, end in kernel.slices(b.column(2), GROUP):
                 part = b.slice(at, end - at)
-                words = _Words(texts[at:end], window)
+                words = _Words(_encoded(part.column(2)), window)
                 starts = _surviving(words, part.column(3).to_pylist(), before)
                 if length < window:
                     where, hashes = words.parts(length)
@@ -222,11 +221,10 @@ def removals(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = L
 
     def run(batches):
         for b in batches:
-            texts = _encoded(b.column(1))
-            for at, end in kernel.slices(texts, GROUP):
+            for at, end in kernel.slices(b.column(1), GROUP):
                 part = b.slice(at, end - at)
                 n_words, n_removed, kept = [], [], []
-                for w, out in cut(texts[at:end], part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for w, out in cut(_encoded(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     n_words.append(len(w))
                     if out is not None and out.any():
                         w = [x for x, off in zip(w, out.tolist(), strict=True) if not off]
