@@ -134,4 +134,46 @@ spread AS (SELECT label, min(verdict) AS verdict FROM cc JOIN known ON address =
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(k.verdict, s.verdict, 'allow') AS verdict FROM pages p LEFT JOIN known k ON p.url IS NOT DISTINCT FROM k.url LEFT JOIN cc ON node = address LEFT JOIN spread s USING (label)
 """
 
-ORACLES = {"op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
+_SQL11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, [CAST('0x' || substr(d, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS h FROM t),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS i, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+_SQL13 = r"""
+WITH RECURSIVE places AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+kinds AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(unicode(x) AS BIGINT) for x in string_split(place, '')]),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), [CAST(0 AS BIGINT) for z in range(8)]), lambda b, z: xor(b >> 1, 3988292384 * (b & 1))))) % 20 AS kind FROM places),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+held AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+  left(role, 1) AS initial, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM damaged),
+rows_ AS (SELECT conv_id, turn, role, text, pos, initial, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+  lead(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS following FROM held),
+moves(state, initial, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+brought(state, role, after) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+inserted(state, after, n, cost, edits, lines) AS (SELECT s, s, 0, 0, '', CAST([] AS VARCHAR[]) FROM unnest(range(4)) AS x(s) UNION ALL
+  SELECT i.state, b.after, n + 1, cost + 2, edits || 'I', list_append(lines, b.role || ':') FROM inserted i JOIN brought b ON b.state = i.after WHERE n < 3),
+each(state, after, fault, initial, cost, edits, role) AS (
+  SELECT s, s, f, i, 3, 'D', CAST(NULL AS VARCHAR) FROM unnest(range(4)) AS x(s), unnest(['none', 'truncated', 'blank', 'duplicate']) AS y(f), (SELECT DISTINCT initial AS i FROM rows_) UNION ALL
+  SELECT state, after, f, initial, CAST(f = 'truncated' AS INT), 'K', CAST(NULL AS VARCHAR) FROM moves, unnest(['none', 'truncated']) AS y(f) UNION ALL
+  SELECT state, after, f, i, 2 + CAST(f = 'truncated' AS INT), 'R', role FROM brought, unnest(['none', 'truncated']) AS y(f), (SELECT DISTINCT initial AS i FROM rows_)),
+steps AS (SELECT i.state, e.after, e.fault, e.initial, i.cost + e.cost AS cost, i.edits || e.edits AS edits, i.lines, e.role, e.edits AS edit FROM inserted i JOIN each e ON e.state = i.after),
+walk(conv_id, pos, state, cost, audit, lines) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '', CAST([] AS VARCHAR[]) FROM rows_ UNION ALL
+  SELECT conv_id, pos, after, best.cost, best.audit, best.lines FROM (
+    SELECT w.conv_id, r.pos, s.after, min(struct_pack(cost := w.cost + s.cost, audit := w.audit || s.edits, lines := list_concat(w.lines, s.lines, CASE s.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(s.role, r.role) || ':' || r.text] END))) AS best
+    FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1 JOIN steps s ON s.state = w.state AND s.fault = r.fault AND s.initial = r.initial GROUP BY ALL)),
+ends AS (SELECT w.conv_id, min(struct_pack(cost := w.cost + i.cost, audit := w.audit || i.edits, lines := list_concat(w.lines, i.lines))) AS best
+  FROM walk w JOIN (SELECT conv_id, max(pos) AS n FROM rows_ GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.pos JOIN inserted i ON i.state = w.state AND i.after IN (0, 3) GROUP BY 1),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES = {"op11_infill": _SQL11, "op13_turns": _SQL13, "op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
