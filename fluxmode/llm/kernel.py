@@ -43,19 +43,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["p"], _tables["q"]
 
 
-def _hash_segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and 64-bit hashes of the words of a byte buffer."""
+def word_places(buf: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end offsets and 64-bit hashes of the words of a byte buffer; apart: which bytes part words."""
     word = np.zeros(len(buf) + 2, np.int8)
-    np.logical_not(_SPACE[buf], out=word[1:-1].view(bool))
+    np.logical_not(apart[buf], out=word[1:-1].view(bool))
     edge = np.flatnonzero(np.diff(word))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+        return starts, ends, np.zeros(0, np.uint64)
     p, q = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * p[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * q[starts]
-    return starts, mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(_QS))
+    return starts, ends, mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(_QS))
+
+
+def _hash_segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words of a byte buffer."""
+    starts, _, h = word_places(buf)
+    return starts, h
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, infill, langid, near_dedup, packing, pii, quality, secrets, substring_dedup, turns, urls
+from . import decontamination, exact_dedup, infill, langid, licenses, near_dedup, packing, pii, quality, secrets, substring_dedup, turns, urls
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.digest(table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
     "op11_infill": op11_infill,
+    "op12_licenses": op12_licenses,
     "op13_turns": op13_turns,
 }
 
