@@ -149,6 +149,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """
 
+_SQL12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+tw AS (SELECT t, label, phrase, string_split(x, ' ') AS tw, CASE WHEN phrase THEN len(string_split(x, ' ')) ELSE least({licenses.K}, len(string_split(x, ' '))) END AS k
+  FROM (VALUES {", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, '{text}')" for i, (label, text) in enumerate((*licenses.PHRASES, *licenses.NOTICES)))}) AS v(t, label, phrase, x)),
+tg AS (SELECT *, array_to_string(tw[tpos + 1:tpos + k], ' ') AS gram FROM (SELECT t, label, phrase, tw, len(tw) AS m, k, unnest(range(len(tw) - k + 1)) AS tpos FROM tw)),
+p AS (SELECT rid, w, unnest(range(len(w))) AS i FROM d),
+v AS (SELECT rid, t, label, phrase, m, tg.k, i - tpos AS g, tpos FROM (SELECT DISTINCT k FROM tg) s JOIN p ON i + s.k <= len(w) JOIN tg ON tg.k = s.k AND gram = array_to_string(w[i + 1:i + s.k], ' ')),
+a AS (SELECT DISTINCT rid, t, label, m, g FROM v WHERE NOT phrase),
+c AS (SELECT a.rid, a.t, a.label, a.m, a.g, least(count(DISTINCT x.tpos + j), count(DISTINCT x.g + x.tpos + j)) AS n, min(x.g + x.tpos + j) AS start, max(x.g + x.tpos + j) + 1 AS stop
+  FROM a JOIN (SELECT *, unnest(range(k)) AS j FROM v) x ON x.rid = a.rid AND x.t = a.t AND x.g BETWEEN a.g AND a.g + {licenses.BAND} GROUP BY ALL),
+f AS (SELECT *, struct_pack(n := n, d := -g) = max(struct_pack(n := n, d := -g)) OVER (PARTITION BY rid, t ORDER BY g RANGE BETWEEN {licenses.BAND} PRECEDING AND {licenses.BAND} FOLLOWING) AS best
+  FROM c WHERE n >= m * CAST({licenses.FOUND} AS DOUBLE)),
+s AS (SELECT rid, label, n / m AS score, stop > coalesce(max(stop) OVER (PARTITION BY rid ORDER BY start, stop DESC, n / m DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS kept FROM f WHERE best),
+e AS (SELECT rid, label, true AS base, g AS start, 1.0 AS score FROM v WHERE phrase UNION ALL SELECT rid, label, false, NULL, score FROM s WHERE kept)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, min(start) AS first_word, max(start) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(score), 0) AS DOUBLE) AS score
+FROM d LEFT JOIN e USING (rid) GROUP BY rid
+"""
+
 _SQL13 = r"""
 WITH RECURSIVE places AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
 kinds AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(unicode(x) AS BIGINT) for x in string_split(place, '')]),
@@ -181,4 +200,4 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-ORACLES = {"op11_infill": _SQL11, "op13_turns": _SQL13, "op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
+ORACLES = {"op11_infill": _SQL11, "op12_licenses": _SQL12, "op13_turns": _SQL13, "op6_url_filter": _SQL6, "op8_substring_dedup": _SQL8, "op2_exact_dedup": _SQL2, "op5_decontamination": _SQL5}
