@@ -8,13 +8,15 @@ the emptiest windows are cut up to top off the fullest; what is left of the last
 windows whose lengths are powers of two, which need no padding. So no window is padded.
 
 Null text is an empty text: it has the end id alone. Every row is packed for itself, also repeated
-ones; ids may be null. Extra columns are ignored. An empty table gives no pieces. A task's result
+ones; ids may be null. Texts of any length are encoded whole, runs of white space of 10,000 characters and more as the
+pieces that the vocabulary's pattern makes of them. Extra columns are ignored. An empty table gives no pieces. A task's result
 depends on its own input partition only, and a rerun of a scan gives the same pieces.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
@@ -122,6 +124,8 @@ class LevelPacker:
 
 #: How a byte-level vocabulary splits a text before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space in runs that the pattern, which looks ahead after each, would search with a stack as deep as they are long.
+_LONG_SPACE = re.compile("(?<![{0}])[{0}]{{10000,}}".format("\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
 
 
 def encoder(path: str):
@@ -140,7 +144,20 @@ def encoder(path: str):
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special and all(c in byte_of for c in token)}
     made = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode(text, allowed_special="all")
+    ids_of = lambda text: made.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            begin, end = run.span()
+            # the pattern leaves a run's last character to what follows, if that is text
+            end -= end < len(text) and not any(text.startswith(s, end) for s in special)
+            out += ids_of(text[at:begin])
+            out += made._encode_single_piece(text[begin:end])
+            at = end
+        return out + ids_of(text[at:]) if at else ids_of(text)
+
+    return encode
 
 
 _loaded: dict = {}

@@ -61,7 +61,7 @@ def _limit(kinds: Column, window: int) -> Column:
     digit, lower, upper, low_hex, up_hex = (F.shiftright(kinds, 8 * i).bitwiseAND(255) for i in range(5))
     return (
         F.when(lower + upper == 0, THRESHOLDS["digits"])
-        .when((digit > 0) & ((digit + low_hex == window) | (digit + up_hex == window)), THRESHOLDS["hexadecimal"])
+        .when((digit > 0) & (digit + low_hex + up_hex == window), THRESHOLDS["hexadecimal"])
         .when(digit == 0, THRESHOLDS["letters"])
         .when((lower == 0) | (upper == 0), THRESHOLDS["one_case"])
         .otherwise(THRESHOLDS["mixed"])

@@ -152,6 +152,17 @@ def test_encoder_equals_library():
         assert enc(t) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_long_runs():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(TOKENIZER), packing.encoder(TOKENIZER)
+    long = ["x" + " " * 1_200_000 + "y", "\n" * 1_500_000, "a" + " " * 20000 + "<|endoftext|>" + "\n" * 10000 + "'s", "!" * 300_000, "\u3000" * 50_000 + "z", "word" + "\t" * 10_000 + " " * 9_999]
+    parts, spaces = ["word", "<|endoftext|>", "!", "9", "'s", "\x1c", "é", " ", "\n", "<|"], [" ", "\n", "\t", "\u3000", "\r\n", " \n", "\xa0", "\x1c"]
+    long += ["".join(rng.choice(parts) + rng.choice(spaces) * rng.choice([0, 1, 2, 9999, 10000, 10001]) for _ in range(5)) for _ in range(40)]
+    for t in long:
+        assert enc(t) == tok.encode(t, add_special_tokens=False).ids, t[:40]
+
+
 def test_sequences(docs):
     pieces = packing.pack(docs, TOKENIZER, window=64)
     for r in rows(packing.sequences(pieces, 64)):
@@ -507,7 +518,7 @@ def entropy_expected(t, base):
                 low, up, num = (any(map(f, w)) for f in (str.islower, str.isupper, str.isdigit))
                 if not low and not up:
                     limit = least["digits"]
-                elif num and (all(c in "0123456789abcdef" for c in w) or all(c in "0123456789ABCDEF" for c in w)):
+                elif num and all(c in "0123456789abcdefABCDEF" for c in w):
                     limit = least["hexadecimal"]
                 else:
                     limit = least["letters"] if not num else least["mixed"] if low and up else least["one_case"]
