@@ -114,18 +114,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS B
 FROM d LEFT JOIN l USING (doc_id)
 """
 
-_SQL6 = r"""
-WITH RECURSIVE tags AS (SELECT url, html, unnest(list_slice(string_split(html, '>'), 1, -2)) AS piece FROM (SELECT DISTINCT url, html FROM pages WHERE instr(url, '://') > 0 AND html IS NOT NULL)),
-found AS (SELECT url, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM (SELECT url, regexp_extract(piece, '(?is)<link\b.*', 0) AS t FROM tags WHERE contains(lower(html), 'canonical')) WHERE regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')
-  UNION SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT url, regexp_extract(piece, '(?is)<meta\b.*', 0) AS t FROM tags WHERE contains(lower(html), 'http-equiv')) WHERE regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-asked AS (SELECT url, replace(target, '&amp;', '&') AS target, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme,
-  translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM found WHERE target <> ''),
-based AS (SELECT *, scheme || '://' || host AS site, CASE WHEN path = '' THEN '/' ELSE path END AS own, regexp_extract(target, '(?s)^[^?#]*', 0) AS name, regexp_extract(target, '(?s)^[^?#]*(.*)', 1) AS tail FROM asked),
-resolved AS (SELECT url, CASE WHEN regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN site || target
+def _resolving(name: str, source: str) -> str:
+    """Common tables that end in `name` (page, url, target): the targets of source (page, url, against, target) as absolute addresses."""
+    return rf"""
+asked_{name} AS (SELECT page, url, replace(target, '&amp;', '&') AS target, regexp_extract(against, '^([^:/?#]+)://', 1) AS scheme,
+  translate(regexp_extract(substr(against, instr(against, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(against, instr(against, '://') + 3), '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM {source} WHERE target <> ''),
+based_{name} AS (SELECT *, scheme || '://' || host AS site, CASE WHEN path = '' THEN '/' ELSE path END AS own, regexp_extract(target, '(?s)^[^?#]*', 0) AS name, regexp_extract(target, '(?s)^[^?#]*(.*)', 1) AS tail FROM asked_{name}),
+{name} AS (SELECT page, url, CASE WHEN regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target WHEN starts_with(target, '/') THEN site || target
   WHEN starts_with(target, '?') THEN site || own || target WHEN NOT regexp_matches(target, '(?i)^(#|[a-z][a-z0-9+.-]*:)')
   THEN site || array_to_string(list_reduce(list_transform(string_split(regexp_replace(regexp_replace(own, '[^/]*$', '') || name, '/(\.\.?)$', '/\1/'), '/'), lambda x: [x]),
-    lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(1, len(acc) - 1)] ELSE list_concat(acc, x) END), '/') || tail END AS target FROM based),
+    lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(1, len(acc) - 1)] ELSE list_concat(acc, x) END), '/') || tail END AS target FROM based_{name})"""
+
+
+_VALUE = r"""(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)"""
+_BODY = rf"(?:[^>=]|=\s*{_VALUE})*(?:=\s*)?"
+_MARKUP = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|" + "|".join(rf"<{x}(?:[\s/]{_BODY})?>.*?(?:</{x}[\s/>]|\z)" for x in urls._TEXT.split("|")) + rf"|</?[a-z]{_BODY}>|</?[a-z].*"
+_NAMES, _VALUES = (rf"""regexp_extract_all(body, '([^\s=>/"'']+)(?:\s*=\s*({_VALUE}))?', {k})""" for k in (1, 2))
+
+
+def _value(name: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(vals[list_position(names, '{name}')], '^["'']|["'']$', '', 'g'), '[\t\r\n]', ' ', 'g'))"""
+
+
+_SQL6 = rf"""
+WITH RECURSIVE held AS (SELECT row_number() OVER () AS page, url, html FROM (SELECT DISTINCT url, html FROM pages WHERE instr(url, '://') > 0 AND (contains(lower(html), 'canonical') OR contains(lower(html), 'http-equiv')))),
+markup AS (SELECT page, url, unnest(regexp_extract_all(html, '{_MARKUP}')) AS t, generate_subscripts(regexp_extract_all(html, '{_MARKUP}'), 1) AS i FROM held),
+bodies AS (SELECT page, url, i, lower(regexp_extract(t, '(?i)^<([a-z]+)', 1)) AS tag, regexp_replace(t, '(?i)^<[a-z]+', '') AS body FROM markup WHERE regexp_matches(t, '(?is)^<(link|meta|base)[\s/].*>$')),
+tags AS (SELECT page, url, i, tag, list_transform({_NAMES}, lambda x: lower(x)) AS names, {_VALUES} AS vals FROM bodies),
+bases AS (SELECT page, any_value(url) AS url, any_value(url) AS against, arg_min({_value("href")}, i) AS target FROM tags WHERE tag = 'base' AND list_contains(names, 'href') GROUP BY page),{_resolving("bases_at", "bases")},
+said AS (SELECT page, url, {_value("href")} AS target FROM tags WHERE tag = 'link' AND list_contains(regexp_split_to_array(lower({_value("rel")}), '\s+'), 'canonical')
+  UNION SELECT page, url, trim(regexp_extract(regexp_replace(regexp_replace({_value("content")}, '^\s*[\d.]*\s*[;,]?\s*', ''), '(?i)^url\s*=\s*', ''), '(?s)^["'']?([^"'']+)', 1)) FROM tags WHERE tag = 'meta' AND lower({_value("http-equiv")}) = 'refresh'),
+found AS (SELECT s.page, s.url, coalesce(b.target, s.url) AS against, s.target FROM said s LEFT JOIN bases_at b USING (page)),{_resolving("resolved", "found")},
 urls AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM (SELECT url FROM pages UNION SELECT target FROM resolved WHERE target IS NOT NULL)),
 parts AS (SELECT url, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1), '') AS path,
   regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM urls),

@@ -7,8 +7,8 @@ components. A page without a rule of its own takes its component's decision: all
 any address in it, else block if a rule blocks one, else allow.
 
 Addresses are compared without scheme and fragment. All links of a page count, relative ones against
-its path; targets of other schemes (mailto:) and mere fragments are none. Null URLs and URLs without :// have an empty host
-and path, no rule and no links, and are allowed; null HTML has no links. Every row of pages is judged
+its path or their <base>; targets of other schemes (mailto:) and mere fragments are none. Null URLs and URLs without :// have an empty host
+and path, no rule and no links, and are allowed; null HTML has no links, and pages of any length are read whole. Every row of pages is judged
 for itself, repeated ids and URLs included. An empty table gives an empty result. Extra columns are
 ignored.
 """
@@ -27,10 +27,15 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A tag without its closing >, what makes it a link of its sort, and where that points to.
-_LINK = (r"(?is)<link\b.*", r"""(?is)\brel\s*+=\s*+["']?canonical\b""", r"""(?is)\bhref\s*+=\s*+["']?([^"'\s>]+)""")
-_REFRESH = (r"(?is)<meta\b.*", r"""(?is)\bhttp-equiv\s*+=\s*+["']?refresh\b""", r"""(?is)\burl\s*+=\s*+["']?([^"'\s>]+)""")
-
+#: What follows a tag's name up to its >: names, and values after = that may be quoted. Possessive, so the matcher neither recurses nor goes back.
+_BODY = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+"""
+#: Elements whose content is text: links in them are none.
+_TEXT = "script|style|title|textarea|xmp|iframe|noembed|noframes"
+#: In turn: comments, elements of text with their content, tags, and a tag that never closes, which takes the rest of the page.
+_MARKUP = rf"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<({_TEXT})(?=[\s/>]){_BODY}>.*?(?:</\1(?=[\s/>])|\z)|</?[a-z]{_BODY}>|</?[a-z].*+"
+_ATTRIBUTE = r"""([^\s=>/"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+#: The address in a refresh: after the seconds, a sign, and url= or nothing.
+_REFRESH = r"""(?is)^\s*+[\d.]*+\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+["']?+([^"']+)"""
 
 def _rest(url: Column) -> Column:
     """What follows the first ://, or null."""
@@ -84,20 +89,33 @@ def _resolved(target: Column, url: Column) -> Column:
     )
 
 
-def _targets(html: Column, sort: tuple[str, str, str], word: str) -> Column:
-    """Where all links of a sort on a page point to: each > ends at most one tag, so long and unclosed tags cost one pass."""
-    tag, mark, target = sort
-    pieces = F.split(html, ">", -1)
-    tags = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.regexp_extract(p, tag, 0))
-    found = F.transform(F.filter(tags, lambda t: t.rlike(mark)), lambda t: F.regexp_extract(t, target, 1))
-    return F.when(F.lower(html).contains(word), found).otherwise(F.array().cast("array<string>"))
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name, or null."""
+    body = F.regexp_replace(tag, r"(?i)^<[a-z]+", "")
+    names = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    value = F.get(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2)), (F.array_position(names, name) - 1).cast("int"))
+    return F.when(F.array_contains(names, name), F.trim(F.regexp_replace(F.regexp_replace(value, r"""^["']|["']$""", ""), r"[\t\r\n]", " ")))
+
+
+def _of(tags: Column, name: str) -> Column:
+    return F.filter(tags, lambda t: t.rlike(rf"(?is)^<{name}[\s/].*>\z"))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """url, target: canonical links and refresh redirects of pages to other addresses."""
+    """url, target: canonical links and refresh redirects of pages to other addresses.
+
+    Tags are read as a browser reads them: quoted values may hold >, rel is a list of words, a name is a name only after space,
+    <base> changes what relative targets are against, and comments and the content of scripts and the like hold none.
+    """
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    each = pages.where(_rest(url).isNotNull()).select("url", F.explode(F.concat(_targets(html, _LINK, "canonical"), _targets(html, _REFRESH, "http-equiv"))).alias("t"))
-    return each.where("t <> ''").select("url", _resolved(F.col("t"), url).alias("target")).where("target IS NOT NULL").where(_address(F.col("target")) != _address(url))
+    low = F.lower(html)
+    some = pages.where(_rest(url).isNotNull()).select("url", html.alias("html")).where(low.contains("canonical") | low.contains("http-equiv"))
+    tags = some.select("url", F.regexp_extract_all("html", F.lit(_MARKUP), F.lit(0)).alias("tags"))
+    canonical = F.transform(F.filter(_of(F.col("tags"), "link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")), lambda t: _attribute(t, "href"))
+    refresh = F.transform(F.filter(_of(F.col("tags"), "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"), lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), _REFRESH, 1)))
+    base = F.get(F.filter(F.transform(_of(F.col("tags"), "base"), lambda t: _attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
+    each = tags.select("url", F.coalesce(_resolved(base, url), url).alias("against"), F.explode(F.concat(canonical, refresh)).alias("t"))
+    return each.where("t <> ''").select("url", _resolved(F.col("t"), F.col("against")).alias("target")).where("target IS NOT NULL").where(_address(F.col("target")) != _address(url))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
