@@ -76,7 +76,7 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
 
     Alternating large-star and small-star rounds. Each round groups a node's neighbours with a
     partial aggregate (min) only, so a node of very high degree never gathers its neighbours in one
-    task: the neighbours are met again by a join, whose skewed side Spark may split. Every round is
+    task: the neighbours are met again by a join that deals a hub's links over tasks. Every round is
     written to the shared folder, and the loop ends when no edge changes. Self-edges only name a node.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).where("node IS NOT NULL")
@@ -87,12 +87,12 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
     for _ in range(max_rounds):
         # large star: link each larger neighbour to the least of the closed neighbourhood
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = _oriented(large)
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n")), f"{label}-low")
+        large = spread_join(both, low, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = stored(_oriented(large), f"{label}-large")
         # small star: link each smaller neighbour, and the node itself, to the least smaller neighbour
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), f"{label}-least")
+        small = spread_join(large, least, ["a"], "n").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = _oriented(small.union(least.select("a", F.col("low").alias("b"))))
         now = stored(small, label)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -3,7 +3,7 @@
 Texts are lower-cased, whatever is not a letter becomes one space, and the n-grams of 1 to 3 code
 points of a whole text are hashed into BUCKETS features. Counts are gathered per language in the
 tasks and summed by Spark; the log-probability matrix (languages x BUCKETS) is broadcast, and
-batches are scored by gathering matrix columns at the features that occur.
+batches are scored as sparse matrices of counts times that matrix.
 
 The model may learn from a bounded sample: about MAX_PER_LANG rows of each language, those whose
 hashed ids are least. A text that is null or has no letter (Unicode category L) gets `und` with score 0; so does every
@@ -25,6 +25,8 @@ BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 MAX_PER_LANG = 20_000
 #: Code points worked on at once.
 SEGMENT = 1 << 16
+#: Code points of a block of texts that is scored at once.
+BLOCK = 1 << 19
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Numeric characters that \w holds besides digits (fractions, numerals in rings) and that are no letters.
@@ -41,21 +43,35 @@ def plain(text: str | None) -> str:
     return f" {words} " if words else ""
 
 
+def sparse(parts: list[str], starts: np.ndarray):
+    """Hashed n-grams of plain texts as rows of a sparse matrix of counts, one for each order: entries by row, and their columns.
+
+    Only the n-grams that begin at the first `starts` code points of a part count; none crosses from one part to the next.
+    """
+    c = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.array([len(p) for p in parts], np.int64)
+    place = np.arange(len(c)) - np.repeat(np.cumsum(lens) - lens, lens)
+    h = np.zeros(len(c), np.uint32)
+    for order in range(1, max(ORDERS) + 1):
+        m = max(len(c) - order + 1, 0)
+        h = (h[:m] + c[order - 1 :]) * np.uint32(0x9E3779B1)
+        if order in ORDERS:
+            entries = np.maximum(np.minimum(starts, lens - order + 1), 0)
+            columns = ((h ^ np.uint32(order * 0x2C1B3C6D)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+            yield entries, columns[place[:m] < np.repeat(entries, lens)[:m]]
+        h ^= h >> np.uint32(15)
+
+
+def parts_of(text: str) -> list[str]:
+    """A plain text in parts of SEGMENT code points, with what the last n-grams of each need of the next."""
+    return [text[at : at + SEGMENT + max(ORDERS) - 1] for at in range(0, len(text), SEGMENT)]
+
+
 def features(text: str):
     """Hashed n-grams of one plain text, in parts of about SEGMENT code points."""
-    for at in range(0, len(text), SEGMENT):
-        part = text[at : at + SEGMENT + max(ORDERS) - 1]
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = min(SEGMENT, len(text) - at)
-        h = np.zeros(n, np.uint32)
-        for order in range(1, max(ORDERS) + 1):
-            m = min(n, len(c) - order + 1)
-            if m <= 0:
-                break
-            h = (h[:m] + c[order - 1 : order - 1 + m]) * np.uint32(0x9E3779B1)
-            if order in ORDERS:
-                yield ((h ^ np.uint32(order * 0x2C1B3C6D)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
-            h ^= h >> np.uint32(15)
+    for part in parts_of(text):
+        for _, columns in sparse([part], np.array([min(SEGMENT, len(part))])):
+            yield columns
 
 
 class Model:
@@ -69,21 +85,35 @@ class Model:
             self.prior = np.log(rows / rows.sum())
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        for t in map(plain, texts):
-            if not t or not self.langs:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            log = self.prior.copy()
-            for f in features(t):
-                seen = np.bincount(f, minlength=BUCKETS) if len(f) > BUCKETS else None
-                used = np.flatnonzero(seen) if seen is not None else None
-                log += seen[used] @ self.matrix[used] if seen is not None else self.matrix[f].sum(0, dtype=float)
-            best = int(np.argmax(log))
-            langs.append(self.langs[best])
-            scores.append(float(1 / np.exp(log - log[best]).sum()))
-        return langs, scores
+        """Languages and scores of a batch: its texts are the rows of a sparse matrix, taken by blocks of rows times the log probabilities."""
+        log, known = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
+        rows, parts, held = [], [], 0
+        for i, text in enumerate(map(plain, texts)):
+            known[i] = bool(text) and bool(self.langs)
+            for part in parts_of(text) if known[i] else ():
+                rows.append(i)
+                parts.append(part)
+                held += len(part)
+                if held >= BLOCK:
+                    self._add(log, rows, parts)
+                    rows, parts, held = [], [], 0
+        self._add(log, rows, parts)
+        if not known.any():
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        log += self.prior
+        best = log.argmax(axis=1)
+        score = np.where(known, 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], score.tolist()
+
+    def _add(self, log: np.ndarray, rows: list[int], parts: list[str]) -> None:
+        """The product of a sparse block with the matrix, added to the rows that its parts belong to."""
+        if not parts:
+            return
+        for entries, columns in sparse(parts, np.minimum([len(p) for p in parts], SEGMENT)):
+            some = np.flatnonzero(entries)
+            if len(some):
+                begin = (np.cumsum(entries) - entries)[some]
+                np.add.at(log, np.array(rows)[some], np.add.reduceat(self.matrix[columns], begin, axis=0, dtype=float))
 
 
 def held_out(doc_id: Column) -> Column:

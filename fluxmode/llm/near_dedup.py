@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import connected_components, fresh, stored
+from .common import connected_components, fresh, spread_join, stored
 
 PERMUTATIONS, ROWS_PER_BAND = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
@@ -135,21 +135,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, level: int = LEVEL) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    # a hub meets all its near copies: its set goes to the tasks they are dealt over
+    asked = stored(pairs.groupBy("b").agg(F.count("*").alias("n")), "near-asked")
+    two = spread_join(one, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(asked, "b"), ["b"], "n").select("a", "b", "sa", "sb")
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, classes: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """rep, component of the classes that share a bucket with another. classes: rep, n_shingles, bands."""
     laid = classes.where("rep IS NOT NULL").select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    full = laid.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").drop("far")
-    seen = stored(laid.join(full, "bucket").select("bucket", "rep", "n_shingles", "hub"), "near-seen")
+    full = stored(laid.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.count("*").alias("n")).where("hub < far").drop("far"), "near-buckets")
+    seen = stored(spread_join(laid, full, ["bucket"], "n").select("bucket", "rep", "n_shingles", "hub"), "near-seen")
     met = stored(seen.where("rep <> hub").select("rep", "n_shingles", "hub").distinct(), "near-met")
     active = stored(met.select("rep").union(met.select("hub")).distinct(), "near-active")
     sets = stored(_sets_of(docs, active.withColumnRenamed("rep", "id"), k), "near-sets")
     sizes = classes.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_n"))
     sized = (F.col("n_shingles") * 100 >= level * F.col("hub_n")) & (F.col("hub_n") * 100 >= level * F.col("n_shingles"))
-    tried = met.join(sizes, "hub").where(sized).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    of_hub = stored(met.groupBy("hub").agg(F.count("*").alias("n")).join(sizes, "hub"), "near-hubs")
+    tried = stored(spread_join(met, of_hub, ["hub"], "n").where(sized).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "near-tried")
     parts = connected_components(stored(confirmed(tried, sets, level), "near-links"), "near-parts").select(F.col("node").alias("rep"), F.col("component").alias("part"))
     parts = stored(active.join(parts, "rep", "left").select("rep", F.coalesce("part", "rep").alias("part")), "near-named")
     between = stored(_between_parts(seen.join(parts, "rep"), sets, level), "near-between")
@@ -164,11 +167,11 @@ def _between_parts(members: DataFrame, sets: DataFrame, level: int) -> DataFrame
     members into `all` blocks, and each pair (x of few, y of all) is one group.
     """
     each = members.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"), *(F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38,0)")).alias(f"f{i}") for i in range(2)))
-    whole = each.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part", "m")).alias("big"), F.sum("m").alias("m"), F.sum("f0").alias("f0"), F.sum("f1").alias("f1")).where("parts > 1")
-    one = whole.groupBy("f0", "f1", "m").agg(F.min("bucket").alias("bucket"), F.first("big").alias("big"))  # buckets of the same members
+    whole = each.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part", "m")).alias("big"), F.sum("n").alias("of"), F.sum("m").alias("m"), F.sum("f0").alias("f0"), F.sum("f1").alias("f1")).where("parts > 1")
+    one = whole.groupBy("f0", "f1", "m").agg(F.min("bucket").alias("bucket"), F.first("big").alias("big"), F.first("of").alias("of"))  # buckets of the same members
     blocks = lambda m: F.ceil(m / F.lit(BLOCK)).cast("int")
-    open_ = one.select("bucket", F.col("big.part").alias("largest"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("big.m")).alias("few"))
-    held = members.join(open_, "bucket").withColumn("asks", F.col("part") != F.col("largest"))
+    open_ = stored(one.select("bucket", "of", F.col("big.part").alias("largest"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("big.m")).alias("few")), "near-open")
+    held = spread_join(members, open_, ["bucket"], "of").withColumn("asks", F.col("part") != F.col("largest"))
     x, y = F.pmod(F.xxhash64("rep"), F.col("few")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("all")).cast("int")
     cell = lambda x, y, asks, answers: F.struct(x.alias("x"), y.alias("y"), asks.alias("asks"), answers.alias("answers"))
     yes, no = F.lit(True), F.lit(False)
@@ -223,11 +226,13 @@ def groups(docs: DataFrame, k: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     rows = stored(sketch(docs, k), "near-sketches")
     classes = stored(
-        rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
+        rows.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n")),
         "near-classes",
     )
-    reps = classes.join(components(docs, classes, k, level), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("of"))
-    out = rows.join(reps, ["fp1", "fp2", "n_shingles"], "left")
+    reps = classes.join(components(docs, classes, k, level), "rep", "left").select("fp1", "fp2", "n_shingles", "n", F.coalesce("component", "rep").alias("of"))
+    # copies of one text are dealt over tasks; documents without a set meet nothing
+    met = spread_join(rows.where("n_shingles > 0").drop("bands"), stored(reps, "near-reps"), ["fp1", "fp2", "n_shingles"], "n", "left")
+    out = met.select("doc_id", "n_shingles", "of").union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
