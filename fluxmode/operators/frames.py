@@ -11,12 +11,18 @@ from .stats import ordered
 
 
 def blocks(df: DataFrame, size: int, stride: int, *keys: str) -> DataFrame:
-    """Each sample once for every full block that holds it: block, j (place in the block). An explode, no range join."""
-    last = F.max("i").over(Window.partitionBy(*keys))
+    """Each sample once for every full block that holds it: block, j (place in the block). An explode, no range join.
+
+    Where a signal ends is a row a key, met by a join, so that no task needs a whole signal.
+    """
+    ends = df.groupBy(*(F.col(k).alias(f"_e{i}") for i, k in enumerate(keys))).agg(F.max("i").alias("_end"))
+    same = [df[k].eqNullSafe(ends[f"_e{i}"]) for i, k in enumerate(keys)]
+    df = (df.join(ends, same) if keys else df.join(F.broadcast(ends))).drop(*(f"_e{i}" for i in range(len(keys))))  # without keys, one row
+    last = F.col("_end")
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / stride))
     final = F.least(F.floor(F.col("i") / stride), F.floor((last - size + 1) / stride))
     held = df.withColumn("_a", first).withColumn("_z", final).where("_a <= _z")
-    return held.select("*", F.explode(F.sequence("_a", "_z")).alias("block")).withColumn("j", F.col("i") - F.col("block") * stride).drop("_a", "_z")
+    return held.select("*", F.explode(F.sequence("_a", "_z")).alias("block")).withColumn("j", F.col("i") - F.col("block") * stride).drop("_a", "_z", "_end")
 
 
 def block_statistics(df: DataFrame, size: int, stride: int, *keys: str) -> DataFrame:

@@ -67,8 +67,8 @@ def ssi_state(y: np.ndarray, rows: int, order: int) -> tuple[np.ndarray, np.ndar
     return np.linalg.pinv(obs[:-m]) @ obs[m:], obs[:m]
 
 
-def _per_block(blocks: DataFrame, solve, schema: str) -> DataFrame:
-    """solve: array -> list of tuples; one row each, with the block's keys."""
+def _per_block(blocks: DataFrame, solve, schema: str, named: bool = False) -> DataFrame:
+    """solve: array (and the block's keys, if named) -> list of tuples; one row each, with the block's keys. Blocks are given out one by one."""
     keys = [c for c in blocks.columns if c != "x"]
     types = dict(blocks.dtypes)
 
@@ -77,7 +77,10 @@ def _per_block(blocks: DataFrame, solve, schema: str) -> DataFrame:
             rows = []
             for r in pdf.itertuples(index=False):
                 y = np.array([np.asarray(v, float) for v in r[len(keys)]])
-                rows += [(*r[: len(keys)], *got) for got in solve(y)]
+                rows += [(*r[: len(keys)], *got) for got in (solve(y, *r[: len(keys)]) if named else solve(y))]
+                if len(rows) >= 4096:
+                    yield pd.DataFrame(rows, columns=[*keys, *names])
+                    rows = []
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
