@@ -13,7 +13,21 @@ from pyspark.sql import DataFrame
 
 def butterworth(order: int, kind: str, edges: float | tuple[float, float]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sections (b, a) of a digital Butterworth filter; kind low, high, band or stop, edges in shares of half the sample rate."""
-    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    return _digital(np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)), 1.0, kind, edges)
+
+
+def chebyshev(order: int, ripple: float, kind: str, edges: float | tuple[float, float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections of a digital Chebyshev filter of the first kind, whose pass band ripples by so many decibels."""
+    loss = np.sqrt(10 ** (ripple / 10) - 1)
+    width, angles = np.arcsinh(1 / loss) / order, np.pi * (2 * np.arange(1, order + 1) - 1) / (2 * order)
+    poles = -np.sinh(width) * np.sin(angles) + 1j * np.cosh(width) * np.cos(angles)
+    # at frequency 0 an even order is at the foot of a ripple
+    return _digital(poles, np.real(np.prod(-poles)) / (np.sqrt(1 + loss**2) if order % 2 == 0 else 1.0), kind, edges)
+
+
+def _digital(poles: np.ndarray, level: float, kind: str, edges: float | tuple[float, float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sections of the digital filter of an analogue prototype level / prod(s - poles)."""
+    order = len(poles)
     warped = 4 * np.tan(np.pi * np.atleast_1d(np.asarray(edges, float)) / 2)
     zeros, gain = np.zeros(0), 1.0
     if kind == "low":
@@ -27,7 +41,7 @@ def butterworth(order: int, kind: str, edges: float | tuple[float, float]) -> li
         root = np.sqrt(half**2 - centre**2 + 0j)
         poles = np.concatenate((half + root, half - root))
         zeros = np.zeros(order) if kind == "band" else np.concatenate((np.full(order, 1j * centre), np.full(order, -1j * centre)))
-    gain = gain * np.real(np.prod(4 - zeros) / np.prod(4 - poles))
+    gain = level * gain * np.real(np.prod(4 - zeros) / np.prod(4 - poles))
     digital, roots = (4 + poles) / (4 - poles), np.concatenate(((4 + zeros) / (4 - zeros), -np.ones(len(poles) - len(zeros))))
     # conjugate poles share a section, and so do zeros
     upper = [p for p in digital if p.imag > 1e-12]
@@ -102,6 +116,37 @@ def filtered(signals: DataFrame, kind: str, edges: float | tuple[float, float],
     return _mapped(signals.select(*keys, "x"), lambda x: _product(x, h) if causal else both_ways(x, h, pad))
 
 
+def decimated(signals: DataFrame, factor: int, order: int = 8, ripple: float = 0.05, share: float = 0.8, *, keys: tuple[str, ...]) -> DataFrame:
+    """keys, y: every factor-th sample of each signal behind a Chebyshev low pass at a share of the new Nyquist frequency, forward and backward."""
+    sections = chebyshev(order, ripple, "low", share / factor)
+    h, pad = impulse_response(sections), 3 * (2 * len(sections) + 1)
+    return _mapped(signals.select(*keys, "x"), lambda x: both_ways(x, h, pad)[::factor])
+
+
+def envelopes(signals: DataFrame, edges: tuple[float, float], order: int = 4, kind: str = "absolute", *, keys: tuple[str, ...]) -> DataFrame:
+    """keys, y: amplitude of each signal within a band (shares of half the sample rate, the upper one 0.99 at most).
+
+    kind: absolute, the size of the filtered signal, or analytic, that of its analytic signal. A band that is empty or begins at 0 leaves the signal's own size.
+    """
+    low, high = edges[0], min(edges[1], 0.99)
+    whole = low >= high or low <= 0
+    sections = [] if whole else butterworth(order, "band", (low, high))
+    h, pad = None if whole else impulse_response(sections), 3 * (2 * len(sections) + 1)
+
+    def of(x):
+        y = x if whole else both_ways(x, h, pad)
+        if kind == "analytic":
+            n = len(y)
+            once = np.zeros(n)
+            once[0], once[1 : (n + 1) // 2] = 1, 2
+            if n % 2 == 0:
+                once[n // 2] = 1
+            y = np.fft.ifft(np.fft.fft(y) * once)
+        return np.abs(y)
+
+    return _mapped(signals.select(*keys, "x"), of)
+
+
 def baseline(x: np.ndarray, weight: float, rounds: int = 50, ratio: float = 1e-3) -> np.ndarray:
     """Smooth line under the peaks of x: asymmetrically reweighted penalised least squares, five-band solve."""
     n = len(x)

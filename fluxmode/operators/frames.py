@@ -116,11 +116,11 @@ def top_windows(scores: DataFrame, k: int, floor: float, *keys: str) -> DataFram
     return kept.withColumn("new_window", F.row_number().over(Window.partitionBy(*keys).orderBy("window")) - 1).drop("_r")
 
 
-def asof_nearest(points: DataFrame, series: DataFrame, bucket: float, *keys: str) -> DataFrame:
-    """For each point the sample at the nearest time, however far (the earliest, then least of equals): columns t, x, d; null without samples.
+def neighbours(points: DataFrame, series: DataFrame, bucket: float, *keys: str) -> DataFrame:
+    """Each point (t0) with the last sample up to it and the first from it on: columns before, after (structs t, x; null where there is none).
 
-    Points and samples of a key are dealt by time buckets, so a hot key is sorted in many tasks. Within a bucket
-    the last sample up to a point and the first from it on are running values; what a bucket lacks comes from the
+    Of samples at one time the one of least x counts. Points and samples of a key are dealt by time buckets, so a hot key is sorted in
+    many tasks. Within a bucket the neighbours are running values; what a bucket lacks comes from the
     ends of the nearest buckets that have samples, found in a table of one row a bucket.
     """
     at = lambda c: F.floor(F.col(c) / bucket)
@@ -136,11 +136,24 @@ def asof_nearest(points: DataFrame, series: DataFrame, bucket: float, *keys: str
     ends = rows.groupBy(*keys, "_b").agg(F.min("_s").alias("_first"), last.alias("_last"))
     w = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "_b", F.last("_last", True).over(w.orderBy("_b")).alias("_before"), F.last("_first", True).over(w.orderBy(F.col("_b").desc())).alias("_after"))
-    far = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["t"] - F.col("t0")).alias("d"), s["t"].alias("t"), s["x"].alias("x")))
-    best = near.join(ends, [*keys, "_b"]).withColumn("_n", F.least(far(F.coalesce("_l", "_before")), far(F.coalesce("_r", "_after"))))
+    return near.join(ends, [*keys, "_b"]).select(*points.columns, F.coalesce("_l", "_before").alias("before"), F.coalesce("_r", "_after").alias("after"))
+
+
+def asof_nearest(points: DataFrame, series: DataFrame, bucket: float, *keys: str) -> DataFrame:
+    """For each point the sample at the nearest time, however far (the earliest, then least of equals): columns t, x, d; null without samples."""
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t"] - F.col("t0")).alias("d"), F.col(c)["t"].alias("t"), F.col(c)["x"].alias("x")))
+    best = neighbours(points, series, bucket, *keys).withColumn("_n", F.least(far("before"), far("after")))
     return best.select(*points.columns, "_n.t", "_n.x", "_n.d")
 
 
+def interpolated(points: DataFrame, series: DataFrame, bucket: float, *keys: str) -> DataFrame:
+    """Each point with the series' value at its time, linear between samples and the nearest end's outside: column x, null without samples."""
+    a, z = F.col("before"), F.col("after")
+    between = a["x"] + (z["x"] - a["x"]) * (F.col("t0") - a["t"]) / (z["t"] - a["t"])
+    x = F.when(a.isNull(), z["x"]).when(z.isNull() | (a["t"] == z["t"]), a["x"]).otherwise(between)
+    return neighbours(points, series, bucket, *keys).select(*points.columns, x.alias("x"))
+
+
 def nonempty(df: DataFrame, state: str, *keys: str) -> DataFrame:
     """The windows (keys) in which the boolean column state holds at least once."""
     return df.join(df.where(state).select(*keys).distinct(), list(keys), "left_semi")
@@ -197,11 +210,11 @@ def scale_length(profiles: DataFrame, place: float, size: float, *keys: str, by:
     return seg.where((F.col(by) <= place) & (F.lit(place) < F.col(f"{by}1"))).select(*keys, f.alias("value"), g.alias("slope"), F.when(g == 0, F.lit(float("inf"))).otherwise(-f / g).alias("length"))
 
 
-def decimated(df: DataFrame, factor: int, half: int | None = None, *, keys: tuple[str, ...]) -> DataFrame:
+def decimated(df: DataFrame, factor: int, half: int | None = None, ends: str = "weights", *, keys: tuple[str, ...]) -> DataFrame:
     """Every factor-th sample behind a zero-phase low pass (windowed sinc at the new Nyquist frequency): keys, m, y.
 
     Each sample is added to the outputs whose taps hold it, so a signal is never gathered in one task; at the
-    ends the missing samples count as the weights' share of those that are there.
+    ends the missing samples count as the weights' share of those that are there, or as 0 (ends: weights, zero).
     """
     n = 10 * factor if half is None else half
     taps = [math.sin(math.pi * k / factor) / (math.pi * k) if k else 1 / factor for k in range(-n, n + 1)]
@@ -210,7 +223,7 @@ def decimated(df: DataFrame, factor: int, half: int | None = None, *, keys: tupl
     last = df.groupBy(*keys).agg(F.max("i").alias("_l"))
     held = df.join(last, list(keys)).withColumn("m", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - n) / factor)), F.least(F.floor(F.col("_l") / factor), F.floor((F.col("i") + n) / factor)))))
     w = F.get(weights, (F.col("i") - F.col("m") * factor + n).cast("int"))
-    return held.groupBy(*keys, "m").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("y"))
+    return held.groupBy(*keys, "m").agg((F.sum(w * F.col("x")) / (F.sum(w) if ends == "weights" else F.lit(1.0))).alias("y"))
 
 
 def noisy(df: DataFrame, level: float, seed: int, *keys: str) -> DataFrame:

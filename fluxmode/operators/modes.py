@@ -75,6 +75,24 @@ def prototypes(poles: DataFrame, queries: list[tuple[float, float]], warn: float
     return best.select("query", "b.time", "b.frequency", *(f"b.{c}" for c in others), "b.distance", (F.col("b.distance") > warn).alias("far"))
 
 
+def prototype_traces(references: DataFrame, samples: DataFrame, longest: float, periods: float = 5.0, default: float | None = None) -> DataFrame:
+    """The signal around each reference, projected on its shape: reference, time (from the reference's), signal.
+
+    A reference's window is `periods` of its frequency, `longest` at most; default (half of longest) if the frequency is not
+    positive. references: reference, time, frequency, re, im (arrays by channel); samples: t, x (array by channel). The projection is
+    the real part of the sum of x times the conjugate shape. References and samples meet in time buckets as long as the longest window,
+    so each reference lies in two at most. Shapes of another length than the samples give nothing.
+    """
+    width = F.when(F.col("frequency") > 0, F.least(periods / F.col("frequency"), F.lit(longest))).otherwise(longest / 2 if default is None else default)
+    asked = references.select("reference", F.col("time").alias("_c"), F.col("re").cast("array<double>").alias("re"), (width / 2).alias("_h"))
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_c") - F.col("_h")) / longest), F.floor((F.col("_c") + F.col("_h")) / longest))))
+    held = samples.select("t", F.col("x").cast("array<double>").alias("x"), F.floor(F.col("t") / longest).alias("_b")).join(asked, "_b")
+    held = held.where((F.abs(F.col("t") - F.col("_c")) <= F.col("_h")) & (F.size("x") == F.size("re")))
+    # samples are real: only the shape's real part counts
+    signal = F.aggregate(F.zip_with("x", "re", lambda x, s: x * s), F.lit(0.0), lambda total, v: total + v)
+    return held.select("reference", (F.col("t") - F.col("_c")).alias("time"), signal.alias("signal"))
+
+
 def traces(shapes: DataFrame, references: DataFrame, least: float, block: str = "block") -> DataFrame:
     """For each reference and block the shape of greatest MAC with it (the least id of equals), if that reaches least.
 

@@ -28,7 +28,8 @@ p AS (SELECT channel, k, coalesce(sum(x * cos(2 * pi() * ((i * k) % 1024) / 1024
 SELECT channel, CAST(k AS INTEGER) AS k, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM p""", "hourly")
 def zero_padded_dft(spark, d):
     """Spectra of the hourly signals, gaps and all, padded to 1024 samples."""
-    return spectral.dft_power(S.hourly(spark, d), 1024, 513, "channel").select("channel", F.col("k").cast("int").alias("k"), r("re", 3).alias("re"), r("im", 3).alias("im"))
+    spec = spectral.spectra(spectral.dense(S.hourly(spark, d), 1024, "channel"), 1024, "none", keys=("channel",))
+    return spec.select("channel", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z")).select("channel", "k", r("z.re", 3).alias("re"), r("z.im", 3).alias("im"))
 
 
 def _found(spark, d, kind):

@@ -65,7 +65,7 @@ def prototypes(spark, d):
 
 
 @query(f"SELECT reference, block, id, round(mac, 6) AS mac FROM (SELECT q.vec_id AS reference, x.label AS block, x.vec_id AS id, round({_MAC}, 12) AS mac, row_number() OVER (PARTITION BY q.vec_id, x.label ORDER BY round({_MAC}, 12) DESC, x.vec_id) AS n FROM embeddings q JOIN embeddings x ON q.vec_id % 100 = 0 AND {_MAC} >= 0.05) WHERE n = 1")
-def prototype_traces(spark, d):
+def reference_matches(spark, d):
     shapes = S.modes(spark, d)
     found = modes.traces(shapes.select(F.col("label").alias("block"), F.col("vec_id").alias("id"), "re", "im"), shapes.where("vec_id % 100 = 0").select(F.col("vec_id").alias("reference"), "re", "im"), 0.05)
     return found.select("reference", "block", "id", r("mac").alias("mac"))
