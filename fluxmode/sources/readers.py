@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import contours as contour_files
+
 ARRAY = "path string, shape array<int>, data array<double>, error string"
 #: Formats by extension and by the hexadecimal bytes a file begins with.
 FORMATS = (("npy", "934e554d5059"), ("npz", "504b0304"), ("hdf5", "894844460d0a1a0a"), ("netcdf", "434446"), ("matlab", "4d41544c4142"), ("gzip", "1f8b"), ("wav", "52494646"))
@@ -93,24 +95,5 @@ def detected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def contours(spark: SparkSession, path: str, pattern: str = "*.ton") -> DataFrame:
-    """Annotation contours: path, contour, nodes (time, frequency), from big-endian files of counted node lists."""
-
-    def run(batches):
-        for b in batches:
-            for path_, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, k, names, ids, times, freqs = 0, 0, [], [], [], []
-                while at + 4 <= len(content):
-                    (n,) = struct.unpack_from(">i", content, at)
-                    at += 4
-                    if n < 0 or at + 16 * n > len(content):
-                        break
-                    v = np.frombuffer(content, ">f8", 2 * n, at).astype(float)
-                    at += 16 * n
-                    names.append(path_)
-                    ids.append(k)
-                    times.append(v[0::2])
-                    freqs.append(v[1::2])
-                    k += 1
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(times, pa.list_(pa.float64())), pa.array(freqs, pa.list_(pa.float64()))], ["path", "contour", "time", "frequency"])
-
-    return _files(spark, path, pattern).mapInArrow(run, "path string, contour long, time array<double>, frequency array<double>")
+    """Annotation contours: path, contour, time, frequency (lists of nodes)."""
+    return contour_files.read(spark, path, pattern).where("error IS NULL").select("path", "contour", "time", "frequency")
