@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, frames, location, modes
+from ..operators import filters, frames, grids, location, modes, polygons
 from ..sources import standins as S
 from .more_queries import _signals
 from .signal_queries import query, r
@@ -80,3 +80,27 @@ def decimate_fir(spark, d):
     """The same behind nine taps, with zeros beyond the ends."""
     rows = S.grid(spark, d).select("f", F.col("t").alias("i"), F.col("v").alias("x"))
     return frames.decimated(rows, 4, 4, "zero", keys=("f",)).select("f", "m", r("y", 4).alias("y"))
+
+
+def _mask(spark, d):
+    return S.score(spark, d).select((F.col("t") / 240).cast("int").alias("input"), "f", (F.col("t") % 240).cast("long").alias("t"), (F.col("s") > 0.25).alias("s"))
+
+
+@query("""WITH RECURSIVE """ + S.SQL["grid"] + ", " + S.SQL["score"] + """, on_ AS (SELECT CAST(t // 240 AS INTEGER) AS input, f, t % 240 AS t FROM score WHERE s > 0.25),
+link AS (SELECT a.input, a.t * 4294967296 + a.f AS a, b.t * 4294967296 + b.f AS b FROM on_ a JOIN on_ b ON a.input = b.input AND abs(a.f - b.f) + abs(a.t - b.t) = 1),
+cc(input, node, label) USING KEY (input, node) AS (SELECT input, t * 4294967296 + f, t * 4294967296 + f FROM on_ UNION SELECT e.input, e.b, min(cc.label) FROM cc JOIN link e ON e.input = cc.input AND e.a = cc.node JOIN recurring.cc AS had ON had.input = e.input AND had.node = e.b WHERE cc.label < had.label GROUP BY e.input, e.b),
+r AS (SELECT input, label, node % 4294967296 AS f, node // 4294967296 AS t FROM cc),
+n AS (SELECT r.input, r.label, r.f, r.t, df, dt FROM r, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(df, dt) WHERE r.f + df BETWEEN 0 AND 15 AND r.t + dt BETWEEN 0 AND 239)
+SELECT n.input, CAST(n.label AS BIGINT) AS label, count(*) AS points FROM n LEFT JOIN r x ON x.input = n.input AND x.label = n.label AND x.f = n.f + n.df AND x.t = n.t + n.dt WHERE x.f IS NULL GROUP BY 1, 2""")
+def region_outlines(spark, d):
+    """How many points the outlines of each region have: one between each of its pixels and a neighbour outside."""
+    regions = grids.connected_regions(_mask(spark, d), "input", tile=64)
+    found = polygons.outlines(regions, "input", height=16, width=240)
+    return found.groupBy("input", "label").agg(F.sum(F.col("n") - F.col("closed").cast("int")).alias("points"))
+
+
+@query(None)
+def mask_polygons(spark, d):
+    """The polygon of the largest outline of ten days' mask, from its runs."""
+    runs = grids.run_lengths(_mask(spark, d), "input", height=16)
+    return polygons.mask_polygons(runs, grids.connected_regions, "input", height=16, width=240)
