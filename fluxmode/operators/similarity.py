@@ -142,15 +142,20 @@ def assign(rows: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec: s
     return rows.select(id_col, vec, best["cluster"].alias("cluster"), best["d"].alias("d2"))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows, without an object a number."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
 def _nearest_centre(sent, sums: bool):
     """Arrow batches to rows' clusters, or to each batch's sums by cluster: one matrix product a batch."""
 
     def run(batches):
         names, c = sent.value
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
             if not b.num_rows:
                 continue
+            x = _matrix(b.column(1))
             d = np.maximum(0, np.square(x).sum(1)[:, None] - 2 * x @ c.T + np.square(c).sum(1)[None])
             at = d.argmin(1)
             low = d[np.arange(len(at)), at]
@@ -171,12 +176,14 @@ def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int | None = Non
     in each round, so the rounds end by themselves; where rounds bounds them and is reached, an error is raised.
     """
     sc, few = rows.sparkSession.sparkContext, start.orderBy("cluster").collect()  # k rows
-    slim = rows.select(F.col(id_col).cast("long").alias("id"), vec)
+    slim = settled(rows.select(F.col(id_col).cast("long").alias("id"), vec), "kmeans-rows")
     centres, cost = (np.array([r["cluster"] for r in few], np.int32), np.array([r["centre"] for r in few], float)), None
     for _ in itertools.count() if rounds is None else range(rounds):
-        parts = slim.mapInArrow(_nearest_centre(sc.broadcast(centres), True), "cluster int, n long, cost double, total array<double>")
+        sent = sc.broadcast(centres)
+        parts = slim.mapInArrow(_nearest_centre(sent, True), "cluster int, n long, cost double, total array<double>")
         sums = [F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(dim)]
         got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).orderBy("cluster").collect()  # k rows
+        sent.unpersist()
         now = sum(r["cost"] for r in got)
         if not got or cost is not None and now >= cost:
             break

@@ -23,7 +23,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))
 
 
-def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most: int = 200) -> tuple[DataFrame, np.ndarray]:
+def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most: int = 200, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
     """(id, degree, v: array of k) of the k least eigenvectors of the graph's Laplacian, and their eigenvalues.
 
     edges: a, b, w in both directions, weights positive, no loops. kind: standard (D - W), shi or ng (both normalised:
@@ -56,7 +56,7 @@ def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most:
         h = _products(y.join(multiplied(y).select("id", F.col("v").alias("z")), "id").select("v", "z"), size)
         new, turn = np.linalg.eigh((h + h.T) / 2)
         new, turn = new[::-1][:k], turn[:, ::-1]
-        if values is not None and np.abs(new - values).max() < TOLERANCE:
+        if values is not None and np.abs(new - values).max() < tolerance:
             break
         values = new
     else:
@@ -98,20 +98,49 @@ def features(vectors: DataFrame, kind: str = "ng") -> DataFrame:
     return vectors.select("id", F.transform("v", lambda x: F.coalesce(F.try_divide(x, by), F.lit(0.0))).alias("v"))
 
 
-def farthest_first(rows: DataFrame, k: int) -> DataFrame:
-    """k starting centres: the row of least id, then each time the row farthest from all before (the least id of equals)."""
+def count_by_gap(edges: DataFrame, kind: str = "ng", first: int = 8, tolerance: float = 1e-3) -> int:
+    """The number of clusters: where the sorted eigenvalues' first half has its widest gap, two at least.
+
+    Eigenvalues are found in blocks of twice the size until the gap is sure: all eigenvalues sum to the Laplacian's trace, and those behind a later gap
+    are at least as large as the last one found and the gap, which bounds how wide it can be.
+    """
+    n, degree = degrees(edges).agg(F.count("*"), F.sum("degree")).first()
+    half, trace = n // 2, float(degree if kind == "standard" else n) if n else 0.0
+    if half < 2:
+        return 2
+    size = min(first, half)
+    while True:
+        values = embedding(edges, size, kind, tolerance=tolerance)[1]
+        gaps = np.diff(values[:half])
+        later = (trace - values.sum() - (n - size) * values[-1]) / (n - half + 1)
+        if size >= half or (len(gaps) and later <= gaps.max()):
+            return max(2, int(np.argmax(np.round(gaps, 9))) + 1)
+        size = min(2 * size, half)
+
+
+def farthest_first(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k starting centres: the row of least id (of least hashed id, from another seed), then each time the row farthest from all before (the least id of equals)."""
     rows = settled(rows, "features")
-    chosen = [rows.orderBy("id").first()["v"]]
+    order = [F.xxhash64("id", F.lit(seed)), "id"] if seed else ["id"]
+    chosen = [rows.orderBy(*order).first()["v"]]
     while len(chosen) < k:
         near = F.array_min(F.array(*(F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in chosen)))
         chosen.append(rows.agg(F.max(F.struct(F.round(near, 9).alias("d"), (-F.col("id")).alias("i"), "v"))["v"]).first()[0])
     return rows.sparkSession.createDataFrame(list(enumerate(chosen)), "cluster int, centre array<double>")
 
 
-def clusters(edges: DataFrame, k: int, kind: str = "ng") -> DataFrame:
-    """id, cluster for every node of the graph; ids are whole numbers."""
+def clusters(edges: DataFrame, k: int | None = None, kind: str = "ng", trials: int = 1) -> DataFrame:
+    """id, cluster for every node of the graph; ids are whole numbers. Without k it is the one of count_by_gap; of several
+    trials, k-means from other starts each, the first of least cost counts."""
+    k = count_by_gap(edges, kind) if k is None else k
     if k < 2:
         raise ValueError("at least two clusters")
     found, _ = embedding(edges, k, kind)
     rows = settled(features(found, kind), "features")
-    return kmeans(rows, farthest_first(rows, k), k, id_col="id", vec="v").select("id", "cluster")
+    best = None
+    for seed in range(trials):
+        got = settled(kmeans(rows, farthest_first(rows, k, seed), k, id_col="id", vec="v"), "trial")
+        cost = got.agg(F.sum("d2")).first()[0]
+        if best is None or cost < best[0] * (1 - 1e-9):
+            best = (cost, got)
+    return best[1].select("id", "cluster")

@@ -146,6 +146,14 @@ def spectral_clusters_of_graph(spark, d):
     return found.join(least, "cluster").select("id", "first_id")
 
 
+@query("SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY n_regionkey) AS first_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def spectral_clusters_auto(spark, d):
+    """The same without being told how many: the eigenvalues say, and the best of three starts counts."""
+    found = spectral_clusters.clusters(_region_graph(spark, d), trials=3).where("id >= 0")
+    least = found.groupBy("cluster").agg(F.min("id").alias("first_id"))
+    return found.join(least, "cluster").select("id", "first_id")
+
+
 @query("SELECT f, round(sum(s * s), 6) AS y FROM (SELECT f, (v - avg(v) OVER (PARTITION BY f)) / (stddev_pop(v) OVER (PARTITION BY f) + 1e-6) AS s FROM grid) GROUP BY 1", "grid")
 def scored_rows(spark, d):
     """A plugged-in scorer over whole rows of the grid: here the energy of the standardised row."""
