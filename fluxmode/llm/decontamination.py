@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, spread_join, stored
 
 N = 13
 #: Positions of one chunk of a document; bytes of windows that may be broadcast, and beyond them window hashes that may be.
@@ -78,7 +78,10 @@ def occurrences(docs: DataFrame, tests: DataFrame, n: int = N) -> DataFrame:
         if sum(r["n"] for r in stats) <= MAX_KEYS:
             held = held.join(F.broadcast(tests.select(F.col("h").alias("key")).distinct()), "key", "left_semi")
         marks = split.select("rid", "doc_id", F.size("w").alias("n_words"), *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("k", "int"), ("items", "array<string>"))))
-        return held.join(tests, same).select("rid", "doc_id", "n_words", "start", "k", "items").union(marks)
+        # a window that a third of all documents hold is dealt over tasks
+        sizes = held.groupBy("key").agg(F.count("*").alias("times"))
+        keyed = stored(tests.withColumn("key", F.col("h")).join(sizes, "key"), "test-sizes")
+        return spread_join(held, keyed, ["key"], "times").where(same).select("rid", "doc_id", "n_words", "start", "k", "items").union(marks)
     first = F.coalesce(F.col("start"), F.lit(0)) == 0
     if len(lengths) > 1:
         first = first & (F.coalesce(F.col("own_k"), F.lit(lengths[0])) == lengths[0])
