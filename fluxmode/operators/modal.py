@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sysid import _per_block, canonical_state, ssi_state
@@ -229,3 +229,53 @@ def robust_covariance(blocks: DataFrame, folds: int = 10, criterion: str = "logd
         return [(*best[:3], best[3].tolist(), best[4].ravel().tolist(), mahalanobis(y, best[3], best[4]).tolist())]
 
     return _per_block(blocks, solve, "fold int, score double, kept int, mean array<double>, covariance array<double>, distances array<double>")
+
+
+def covariance_spectra(blocks: DataFrame, relative: float = 1e-5) -> DataFrame:
+    """By block: the covariance's eigenvalues from the greatest down, and whether it is positive definite: the least above `relative` of the greatest."""
+
+    def solve(y):
+        z = y - y.mean(0)
+        values = np.linalg.eigvalsh(z.T @ z / max(len(z), 1))[::-1]
+        return [(values.tolist(), bool(values[-1] > relative * max(values[0], 0.0)))] if len(y) else []
+
+    return _per_block(blocks, solve, "eigenvalues array<double>, definite boolean")
+
+
+def innovations(y: np.ndarray, a: np.ndarray, c: np.ndarray, k: np.ndarray, skip: int) -> np.ndarray:
+    """What one-step predictions of a state model with gain k leave of y, from sample `skip` on; the state starts at 0 there."""
+    x, out = np.zeros(len(a)), np.zeros((max(len(y) - skip, 0), y.shape[1]))
+    for i in range(len(out)):
+        out[i] = y[skip + i] - c @ x
+        x = a @ x + k @ out[i]
+    return out
+
+
+def residuals(blocks: DataFrame, future: int, past: int, order: int) -> DataFrame:
+    """By block and channel: rms of the canonical model's one-step residuals, and their share of the data's rms."""
+
+    def solve(y):
+        if len(y) <= future + past:
+            return []
+        y = y - y.mean(0)
+        a, c, k, _, _ = canonical_state(y, future, past, order)
+        rest = np.sqrt(np.square(innovations(y, a, c, k, past)).mean(0))
+        size = np.sqrt(np.square(y[past:]).mean(0))
+        return [(ch, float(rest[ch]), float(rest[ch] / max(size[ch], 1e-300))) for ch in range(y.shape[1])]
+
+    return _per_block(blocks, solve, "channel int, rms double, share double")
+
+
+def autocorrelation_peaks(df: DataFrame, lags: int, share: float, most: int, fs: float = 1.0, *keys: str) -> DataFrame:
+    """keys, lag, frequency (fs / lag), value: the `most` greatest peaks of each signal's autocorrelation up to a lag, of at least a share of that at lag 0.
+
+    A peak is above both its neighbours. Samples (keys, i, x) meet the ones `lag` after them by an equi-join for all lags at once.
+    """
+    later = df.select(*keys, F.col("i"), F.col("x").alias("_y"))
+    early = df.select(*keys, "x", F.posexplode(F.sequence(F.col("i"), F.col("i") + lags + 1)).alias("lag", "i"))
+    acf = early.join(later, [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("_y")).alias("value"))
+    order = Window.partitionBy(*keys).orderBy("lag")
+    near = acf.withColumns({"_b": F.lag("value").over(order), "_a": F.lead("value").over(order), "_0": F.first("value").over(order)})
+    peaks = near.where((F.col("lag") > 0) & (F.col("lag") <= lags) & (F.col("value") > F.col("_b")) & (F.col("value") > F.col("_a")) & (F.col("value") >= share * F.col("_0")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "lag"))
+    return peaks.withColumn("_r", rank).where(F.col("_r") <= most).select(*keys, "lag", (fs / F.col("lag")).alias("frequency"), "value")

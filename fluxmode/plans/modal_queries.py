@@ -73,3 +73,23 @@ def robust_covariance_by_trace(spark, d):
     got = modal.robust_covariance(_sensors(spark, d), 5, "trace")
     total = F.aggregate("mean", F.lit(0.0), lambda s, x: s + x)
     return got.select("block", "fold", "kept", r("score", 2).alias("score"), r(total, 4).alias("mean_sum"))
+
+
+@query(None)
+def covariance_spectra(spark, d):
+    return modal.covariance_spectra(_sensors(spark, d))
+
+
+@query(None)
+def innovation_residuals(spark, d):
+    return modal.residuals(_sensors(spark, d), 6, 6, 4)
+
+
+@query(""", c AS (SELECT f, t, v - avg(v) OVER (PARTITION BY f) AS x FROM grid), a AS (SELECT p.f, lag, sum(p.x * q.x) AS value FROM c p CROSS JOIN (SELECT unnest(range(62)) AS lag) JOIN c q ON q.f = p.f AND q.t = p.t + lag GROUP BY 1, 2),
+n AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS z, first_value(value) OVER w AS v0 FROM a WINDOW w AS (PARTITION BY f ORDER BY lag)), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY value DESC, lag) AS r FROM n WHERE lag BETWEEN 1 AND 60 AND value > b AND value > z AND value >= 0.02 * v0)
+SELECT f, CAST(lag AS INTEGER) AS lag, round(1.0 / lag, 6) AS frequency, round(value, 3) AS value FROM k WHERE r <= 5""", "grid")
+def autocorrelation_peaks(spark, d):
+    g = S.grid(spark, d)
+    mean = g.groupBy("f").agg(F.avg("v").alias("m"))
+    rows = g.join(mean, "f").select("f", F.col("t").alias("i"), (F.col("v") - F.col("m")).alias("x"))
+    return modal.autocorrelation_peaks(rows, 60, 0.02, 5, 1.0, "f").select("f", "lag", r("frequency").alias("frequency"), r("value", 3).alias("value"))

@@ -122,10 +122,14 @@ def frequency_shapes(spark, d):
     return sysid.frequency_shapes(_sensors(spark, d), [0.2618, 1.0])
 
 
-@query(None)
+@query("""WITH q AS (SELECT p_partkey AS signal, unnest(range(50 + p_size * 10)) AS i, 50.0 + p_partkey % 100 AS f FROM part), u AS (SELECT *, i / 1000.0 AS t FROM q)
+SELECT signal, i, round(2 * sin(2 * pi() * (f * (t - 0.1) + 20 * pow(t - 0.1, 2))) + 6 * sin(2 * pi() * 200 * (t - 0.05)) * exp(-0.5 * pow((t - 0.05) / 0.01, 2)), 6) + 0.0 AS x FROM u""")
 def example_signal(spark, d):
-    """A seeded signal; the tables are not read."""
-    return examples.example_signal(spark, 0.05, 200_000.0, 3)
+    """A sweeping tone and a pulse for each part, as long as its size says."""
+    part = lambda a, f, sweep, centre, width: F.struct(F.lit(a).alias("amplitude"), f.alias("frequency"), F.lit(sweep).alias("sweep"), F.lit(centre).alias("centre"), F.lit(width).cast("double").alias("width"))
+    made = F.array(part(2.0, 50.0 + F.col("p_partkey") % 100, 40.0, 0.1, None), part(6.0, F.lit(200.0), 0.0, 0.05, 0.01))
+    asked = S.table(spark, d, "part").select(F.col("p_partkey").alias("signal"), (50 + F.col("p_size") * 10).alias("samples"), F.lit(1000.0).alias("rate"), F.lit(0.0).alias("noise"), F.lit(0).alias("seed"), made.alias("parts"))
+    return examples.example_signals(asked, "signal").select("signal", "i", r("x").alias("x"))
 
 
 def _region_graph(spark, d):

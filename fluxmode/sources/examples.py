@@ -1,40 +1,33 @@
-"""Seeded example signals: noise, chirps and bursts, made in the tasks."""
+"""Example signals described by a table: tones that sweep and fade, pulses, and noise, made in the tasks.
+
+Each row of a request is a signal: how many samples, at which rate, and what it is made of. Nothing is random but the noise, which follows from
+the seed and the sample's number, so a signal is the same however it is partitioned, and one of any length spreads over the cluster.
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deviation of the noise, and amplitudes of chirps and bursts.
-NOISE, CHIRP, BURST = 1.0, 2.0, 6.0
-
-
-def _chirp(t: Column, span: float, fs: float, rng: np.random.Generator) -> Column:
-    """A linear or quadratic ramp of frequency over part of the signal, its ends tapered."""
-    length = rng.uniform(0.3, 0.6) * span
-    start, f0, f1 = rng.uniform(0, span - length), rng.uniform(0.02, 0.1) * fs, rng.uniform(0.1, 0.3) * fs
-    u = t - start
-    power = 2 if rng.random() < 0.5 else 3  # of time in the phase
-    phase = f0 * u + (f1 - f0) / power * F.pow(u, F.lit(power)) / length ** (power - 1)
-    edge = F.least(u, length - u) / (0.05 * length)
-    taper = F.when(edge < 1, 0.5 - 0.5 * F.cos(math.pi * edge)).otherwise(1.0)
-    return F.when((u >= 0) & (u < length), CHIRP * taper * F.cos(2 * math.pi * phase)).otherwise(0.0)
+#: Samples of a signal that one row of the first step stands for.
+CHUNK = 1 << 14
 
 
-def _burst(t: Column, span: float, fs: float, rng: np.random.Generator) -> Column:
-    """A short tone under a Gaussian."""
-    width, centre = rng.uniform(0.002, 0.01) * span / 6, rng.uniform(0, span)
-    return BURST * F.exp(-0.5 * F.pow((t - centre) / width, F.lit(2))) * F.sin(2 * math.pi * rng.uniform(0.05, 0.4) * fs * t + rng.uniform(0, 2 * math.pi))
+def tone(t: Column, part: Column) -> Column:
+    """A part's wave at times t: amplitude * sin(2 pi (frequency u + sweep u^2 / 2)), u = t - centre, under exp(-(u / width)^2 / 2); no envelope where width is null."""
+    u = t - part["centre"]
+    wave = part["amplitude"] * F.sin(2 * math.pi * (part["frequency"] * u + part["sweep"] * u * u / 2))
+    return F.when(part["width"].isNull(), wave).otherwise(wave * F.exp(-0.5 * F.pow(u / part["width"], F.lit(2))))
 
 
-def example_signal(spark: SparkSession, seconds: float = 2.0, fs: float = 200_000.0, seed: int = 0) -> DataFrame:
-    """i, t, x of a signal with two or three chirps and as many bursts in noise; the same for a seed, however it is partitioned."""
-    rng = np.random.default_rng(seed)
-    t = F.col("i") / fs
-    parts = [_chirp(t, seconds, fs, rng) for _ in range(rng.integers(2, 4))] + [_burst(t, seconds, fs, rng) for _ in range(rng.integers(2, 4))]
-    uniform = lambda k: (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = NOISE * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
-    return spark.range(int(seconds * fs)).select(F.col("id").alias("i")).select("i", t.alias("t"), sum(parts, noise).alias("x"))
+def example_signals(requests: DataFrame, *keys: str) -> DataFrame:
+    """keys, i, t, x. requests: keys, samples, rate, noise (deviation), seed, and parts: an array of structs amplitude, frequency, sweep, centre, width."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("samples") - 1) / CHUNK)))
+    held = requests.where("samples > 0 AND rate > 0").withColumn("_c", chunk)
+    each = held.withColumn("i", F.explode(F.sequence(F.col("_c") * CHUNK, F.least((F.col("_c") + 1) * CHUNK, F.col("samples").cast("long")) - 1))).withColumn("t", F.col("i") / F.col("rate"))
+    uniform = lambda k: (F.pmod(F.xxhash64("seed", "i", F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    noise = F.when(F.col("noise") > 0, F.col("noise") * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))).otherwise(0.0)
+    x = F.aggregate("parts", noise, lambda s, p: s + tone(F.col("t"), p))
+    return each.select(*keys, "i", "t", x.alias("x"))

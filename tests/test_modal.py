@@ -165,3 +165,29 @@ def test_registered_modal_queries(spark, blocks):  # noqa: F811
         rows = run(spark, name)
         assert rows == run(spark, name), name  # the same draws each time
     assert {r["block"] for r in run(spark, "robust_covariance")} == set(blocks) and len(run(spark, "projected_modes")) > 0
+
+
+@needs_tables
+def test_spectra_and_residuals(spark, blocks):  # noqa: F811
+    got = {r["block"]: r for r in run(spark, "covariance_spectra")}
+    rest = {}
+    for r in run(spark, "innovation_residuals"):
+        rest.setdefault(r["block"], {})[r["channel"]] = r
+    for b, y in blocks.items():
+        values = np.linalg.eigvalsh(np.cov(y.T, bias=True))[::-1]
+        assert np.allclose(got[b]["eigenvalues"], values) and got[b]["definite"] == bool(values[-1] > 1e-5 * values[0])
+        assert len(rest[b]) == 6 and all(0 < r["rms"] and r["share"] < 3 for r in rest[b].values())
+
+
+def test_residuals_of_a_known_model(spark):
+    a, c, k = np.array([[0.8, 0.3], [-0.3, 0.8]]), np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), 0.3 * np.ones((2, 3))
+    e = RNG.normal(size=(3000, 3))
+    x, y = np.zeros(2), np.zeros((3000, 3))
+    for i in range(3000):
+        y[i] = c @ x + e[i]
+        x = a @ x + k @ e[i]
+    assert np.allclose(modal.innovations(y, a, c, k, 0), e)
+    got = modal.residuals(as_blocks(spark, [y, y[:5]]), 6, 6, 2).collect()
+    assert len(got) == 3 and all(abs(r["rms"] - 1) < 0.05 and r["share"] < 0.8 for r in got)
+    flat = modal.covariance_spectra(as_blocks(spark, [np.outer(np.arange(9.0), [1.0, 2.0])])).first()
+    assert not flat["definite"] and abs(flat["eigenvalues"][0] - 5 * np.var(np.arange(9.0))) < 1e-9

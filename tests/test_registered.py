@@ -262,13 +262,21 @@ def test_noise(spark):
     assert all(close(again[r["channel"], r["i"]], r["y"], 1e-9) for r in got)
 
 
-def test_example_signal(spark):
-    rows = examples.example_signal(spark, 0.05, 200_000.0, 3).orderBy("i").collect()
-    again = examples.example_signal(spark, 0.05, 200_000.0, 3).repartition(5).orderBy("i").collect()
-    x = np.array([r["x"] for r in rows])
-    assert [r["x"] for r in again] == x.tolist() and len(x) == 10_000 and np.isfinite(x).all()
-    power = np.square(np.abs(np.fft.rfft(x)))
-    assert power[200:3000].max() > 20 * np.median(power) and np.abs(x).max() > 4
+def test_example_signals(spark, monkeypatch):
+    monkeypatch.setattr(examples, "CHUNK", 100)
+    schema = "k int, samples int, rate double, noise double, seed int, parts array<struct<amplitude:double,frequency:double,sweep:double,centre:double,width:double>>"
+    asked = [(1, 1000, 500.0, 0.0, 3, [(2.0, 20.0, 5.0, 0.3, None), (1.0, 90.0, 0.0, 1.0, 0.1)]), (2, 4000, 100.0, 1.5, 3, []), (3, 4000, 100.0, 1.5, 4, []), (4, 0, 100.0, 1.0, 1, [])]
+    df = spark.createDataFrame(asked, schema)
+    got = {}
+    for row in examples.example_signals(df, "k").orderBy("k", "i").collect():
+        got.setdefault(row["k"], []).append((row["i"], row["x"]))
+    assert set(got) == {1, 2, 3} and all([i for i, _ in v] == list(range(len(v))) for v in got.values()) and len(got[1]) == 1000
+    t = np.arange(1000) / 500.0
+    want = 2 * np.sin(2 * np.pi * (20 * (t - 0.3) + 2.5 * (t - 0.3) ** 2)) + np.sin(2 * np.pi * 90 * (t - 1)) * np.exp(-0.5 * ((t - 1) / 0.1) ** 2)
+    assert np.allclose([x for _, x in got[1]], want)
+    noise = np.array([x for _, x in got[2]])
+    assert abs(noise.std() - 1.5) < 0.1 and abs(noise.mean()) < 0.1 and abs(np.corrcoef(noise, [x for _, x in got[3]])[0, 1]) < 0.06
+    assert sorted(map(tuple, examples.example_signals(df.repartition(3), "k").where("k = 2").select("i", "x").collect())) == got[2]
 
 
 def test_cdf_threshold_against_numpy(spark):
