@@ -22,11 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = noted(df.sparkSession, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def noted(spark: SparkSession, path: str, table: str | None = None) -> str:
+    """path, remembered (with the name of its table, if it has one) for cleared."""
+    held = getattr(spark, "_fluxmode_noted", None)
+    if held is None:
+        held = spark._fluxmode_noted = []
+    held.append((path, table))
+    return path
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes the tables between steps that this session wrote, in whatever store they are, and says how many.
+
+    Results read them until they are written themselves: call it after that.
+    """
+    held, spark._fluxmode_noted = getattr(spark, "_fluxmode_noted", None) or [], []
+    for path, table in held:
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(held)
+
+
 def params_hash(params: dict) -> str:
     """A short hash of parameters that does not depend on their order."""
     return hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
