@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import noted
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,9 +61,12 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, how: s
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation.
+
+    plans.staging.cleared deletes all such tables of a session, once the results that were made of them are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = noted(spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

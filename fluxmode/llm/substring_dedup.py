@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import noted
 from . import kernel
 from .common import shared_dir, spread_join, stored
 
@@ -109,7 +110,7 @@ class Rows:
             size = self.scan.agg(F.sum(F.octet_length("text"))).first()[0] or 0
             n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
             name = f"texts_{uuid.uuid4().hex}"
-            self.scan.repartition(n, "row").write.bucketBy(n, "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+            self.scan.repartition(n, "row").write.bucketBy(n, "row").option("path", noted(spark, f"{shared_dir(spark)}/{name}", name)).saveAsTable(name)
             self._bucketed = spark.table(name)
         return self._bucketed
 

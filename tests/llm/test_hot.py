@@ -67,3 +67,12 @@ def test_largest_task_of_a_dealt_join(spark, monkeypatch):
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(sizes) == sum(plain) == 30_000 and max(plain) >= 10_000 and max(sizes) < 4000
+
+
+def test_stored_tables_are_cleared(spark):
+    import os
+
+    from fluxmode.plans import staging
+
+    kept = common.stored(spark.range(3), "kept").inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.exists(kept) and staging.cleared(spark) > 0 and not os.path.exists(kept)
