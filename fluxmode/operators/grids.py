@@ -112,11 +112,11 @@ def opened_closed(df: DataFrame, reach: int, *keys: str) -> DataFrame:
 def connected_regions(mask: DataFrame, *keys: str, tile: int = 512) -> DataFrame:
     """4-connected regions of set pixels: keys, f, t, label (least t * 2^32 + f of the region).
 
-    Regions are labelled within tiles of columns by numpy, one group a tile, so no task holds an
-    image; labels that meet across a tile's edge are then merged by min-label rounds on edge pairs.
+    Regions are labelled within square tiles by numpy, one group a tile, so no task holds an
+    image, however high or wide; labels that meet across a tile's edge are then merged by min-label rounds on edge pairs.
     """
-    on = mask.where("s").select(*keys, "f", "t").withColumn("_tile", F.floor(F.col("t") / tile))
-    schema = on.drop("_tile").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", label bigint"
+    on = mask.where("s").select(*keys, "f", "t").withColumns({"_tt": F.floor(F.col("t") / tile), "_tf": F.floor(F.col("f") / tile)})
+    schema = on.drop("_tt", "_tf").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", label bigint"
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         f, t = pdf["f"].to_numpy(np.int64), pdf["t"].to_numpy(np.int64)
@@ -134,12 +134,17 @@ def connected_regions(mask: DataFrame, *keys: str, tile: int = 512) -> DataFrame
             lab = lab[np.searchsorted(code, lab)]
             if (lab == was).all():
                 break
-        out = pdf.iloc[order].drop(columns="_tile")
+        out = pdf.iloc[order].drop(columns=["_tt", "_tf"])
         return out.assign(label=lab)
 
-    tiles = settled(on.groupBy(*keys, "_tile").applyInPandas(label, schema), "tiles").withColumn("_tile", F.floor(F.col("t") / tile))
-    right = tiles.where(F.col("t") % tile == tile - 1).select(*keys, "f", (F.col("_tile") + 1).alias("_tile"), F.col("label").alias("a"))
-    meet = settled(right.join(tiles.where(F.col("t") % tile == 0).select(*keys, "f", "_tile", F.col("label").alias("b")), [*keys, "f", "_tile"]).select(*keys, "a", "b").distinct(), "edges")
+    tiles = settled(on.groupBy(*keys, "_tt", "_tf").applyInPandas(label, schema), "tiles")
+
+    def across(axis: str, other: str) -> DataFrame:
+        """Labels on both sides of the edges between tiles that lie along an axis."""
+        ends = tiles.where(F.col(axis) % tile == tile - 1).select(*keys, (F.col(axis) + 1).alias(axis), other, F.col("label").alias("a"))
+        return ends.join(tiles.where(F.col(axis) % tile == 0).select(*keys, axis, other, F.col("label").alias("b")), [*keys, axis, other]).select(*keys, "a", "b")
+
+    meet = settled(across("t", "f").union(across("f", "t")).distinct(), "edges")
     names = meet.select(*keys, F.col("b").alias("label"), "a").union(meet.select(*keys, "a", "b")).groupBy(*keys, "label").agg(F.min("a").alias("low"))
     names = names.withColumn("low", F.least("label", "low"))
     for _ in range(64):  # a region crosses one edge a round, halved by jumping

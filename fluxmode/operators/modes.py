@@ -116,7 +116,10 @@ def csm_modes(probes: DataFrame, angles: dict[int, float], numbers: range, n_avg
     z = probes.groupBy(frame, bin).agg(*(F.sum(F.when(F.col("channel") == c, F.col(p))).alias(f"{p}{c}") for c in order for p in ("re", "im")))
     snap = z.select(frame, bin, F.array(*(F.coalesce(f"{p}{c}", F.lit(0.0)) for p in ("re", "im") for c in order)).alias("z"))
     half = n_avg // 2
-    near = snap.withColumn("snaps", F.collect_list("z").over(Window.partitionBy(bin).orderBy(frame).rowsBetween(-half, half))).drop("z")
+    # each snapshot goes to the frames it counts for: groups of n_avg + 1 at most, however long the signal
+    offset = F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_o")
+    sent = snap.select(bin, "z", F.col(frame).alias("_f"), offset).select((F.col("_f") + F.col("_o")).cast(dict(snap.dtypes)[frame]).alias(frame), bin, "_o", "z")
+    near = sent.groupBy(frame, bin).agg(F.array_sort(F.collect_list(F.struct("_o", "z"))).alias("_s"), F.max(F.col("_o") == 0).alias("_own")).where("_own").select(frame, bin, F.transform("_s", lambda v: v["z"]).alias("snaps"))
     phi, ns = np.radians([angles[c] for c in order]), list(numbers)
     steering = np.exp(-1j * np.outer(ns, phi)) / math.sqrt(len(order))
     types = dict(near.dtypes)
