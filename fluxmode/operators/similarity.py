@@ -182,7 +182,8 @@ def kmeans(rows: DataFrame, start: DataFrame, dim: int, rounds: int | None = Non
         sent = sc.broadcast(centres)
         parts = slim.mapInArrow(_nearest_centre(sent, True), "cluster int, n long, cost double, total array<double>")
         sums = [F.sum(F.get("total", F.lit(i))).alias(f"s{i}") for i in range(dim)]
-        got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).orderBy("cluster").collect()  # k rows
+        got = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).collect()  # k rows
+        got.sort(key=lambda r: r["cluster"])
         sent.unpersist()
         now = sum(r["cost"] for r in got)
         if not got or cost is not None and now >= cost:
