@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import grid_queries, location_queries, modal_queries, mode_queries, more_queries, preparation_queries, signal_queries, vector_queries  # noqa: F401  each adds its queries
+from .plans import grid_queries, location_queries, modal_queries, mode_queries, more_queries, preparation_queries, series_queries, signal_queries, vector_queries  # noqa: F401  each adds its queries
 
 QUERIES: dict = signal_queries.QUERIES
 ORACLES: dict[str, str] = signal_queries.ORACLES
