@@ -2,11 +2,11 @@
 
 DataFrame functions only on the rows; the trees are grown on a table of counts. Validated formats
 (email, ip, card, phone) are found as they are and stay. High-recall generators propose further,
-overlapping spans of each kind: addresses with (at) and (dot), numbers with other separators or none,
-cards within longer runs of digits, phone numbers without their plus.
+overlapping spans of each kind: addresses with (at) and (dot) or with bare words, numbers with other
+separators, bracketed dots or none, cards within longer runs of digits, phone numbers without their plus.
 
 A candidate is labelled by its normalised value (at and dot restored, separators stripped): an address
-with an alphabetic ending, four octets, a card number that passes Luhn, or 10 to 15 digits that a plus,
+with an alphabetic ending (between bare words one of ENDINGS, and a host that is no article), four octets, a card number that passes Luhn, or 10 to 15 digits that a plus,
 an area code or a cue word marks as a phone number. No label asks for the validated format, and check sums, octets and endings are no features: what the trees learn is how often candidates of a format, in a context, are the
 real thing (phone numbers have no check sum: there the marks themselves are features). Format and context are reduced to a few small integers, so all candidates of the corpus
 fall into a bounded number of cells (at most the product of LEVELS), and cells with their counts are all
@@ -39,9 +39,14 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A dot between brackets, or spelled between them.
+_DOT = r"(?:[(\[{]\.[)\]}]|\x20?[(\[{](?i:dot)[)\]}]\x20?)"
+#: Endings and hosts by which "name at host dot org" is told from prose (fixed values).
+ENDINGS, ARTICLES = "com|org|net|edu|gov|info|biz|io|co|us|uk|de|fr|es|it|eu", "a|an|the|this|that|each|every|one|my|your|our|his|her|its|their"
 GENERATORS = {
-    "email?": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|(?i:\(at\)|\[at\]|\{at\}))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?i:\(dot\)|\[dot\]|\{dot\})\x20?)[A-Za-z0-9-]++)++",
-    "ip?": r"(?<![0-9])[0-9]{1,4}(?:[.,:][0-9]{1,4}){3}(?![0-9])",
+    "email?": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|(?i:\(at\)|\[at\]|\{at\}))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?i:\(dot\)|\[dot\]|\{dot\})\x20?)[A-Za-z0-9-]++)++"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?i:at)\x20[A-Za-z0-9-]++(?:\x20(?i:dot)\x20[A-Za-z0-9-]++)++",
+    "ip?": rf"(?<![0-9])[0-9]{{1,4}}(?:(?:[.,:]|{_DOT})[0-9]{{1,4}}){{3}}(?![0-9])",
     "card?": r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){11,}+",
     "group?": r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}(?:[\x20./_-][0-9]{4}){3})(?![0-9])",
     "phone?": r"(?<![0-9])(?:\+\x20?)?[(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+",
@@ -88,12 +93,14 @@ def _cue() -> Column:
 def _passes() -> Column:
     """Whether the normalised value of a candidate is one of its kind: the label of the trees."""
     kind, value = F.col("kind"), F.col("value")
-    address = F.regexp_replace(F.regexp_replace(value, r"(?i)\x20?[(\[{]at[)\]}]\x20?|\x20?@\x20?", "@"), r"(?i)\x20?[(\[{]dot[)\]}]\x20?", ".")
+    address = F.regexp_replace(F.regexp_replace(value, r"(?i)\x20?[(\[{]at[)\]}]\x20?|\x20?@\x20?|\x20at\x20", "@"), r"(?i)\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20", ".")
+    prose = value.rlike(r"(?i)\x20at\x20") & (~value.rlike(rf"(?i)\x20(?:{ENDINGS})$") | value.rlike(rf"(?i)\x20at\x20(?:{ARTICLES})\x20"))
+    joined = F.regexp_replace(value, _DOT, ".")
     n = F.length(_digits(value))
     marked = value.rlike(r"^\+|^[(][0-9]{2,5}+[)]") | _cue()
     return F.coalesce(
-        F.when(kind == "email?", address.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)*+$") & address.rlike(r"\.[A-Za-z]{2,24}$"))
-        .when(kind == "ip?", _octets(value, "[.,:]") & ~value.rlike(r"(^|[.,:])0[0-9]") & (value.rlike(r"^[0-9.]++$") | _cue()))
+        F.when(kind == "email?", address.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)*+$") & address.rlike(r"\.[A-Za-z]{2,24}$") & ~prose)
+        .when(kind == "ip?", _octets(joined, "[.,:]") & ~joined.rlike(r"(^|[.,:])0[0-9]") & (joined.rlike(r"^[0-9.]++$") | _cue()))
         .when(kind.isin("card?", "group?"), n.between(14, 19) & F.expr("luhn_check(regexp_replace(value, '[^0-9]', ''))"))
         .otherwise(n.between(10, 15) & marked),
         F.lit(False),
@@ -104,7 +111,7 @@ def _cells() -> dict[str, Column]:
     kind, value = F.col("kind"), F.col("value")
     bins = lambda c, *edges: sum((F.when(c >= e, 1).otherwise(0) for e in edges), F.lit(0))
     side = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}_]$"), 1).when(c.rlike(r"^[0-9]$"), 2).otherwise(3)
-    seps = F.array_distinct(F.split(F.regexp_replace(value, "[^ ./_:,@()-]", ""), ""))
+    seps = F.array_distinct(F.split(F.regexp_replace(value, r"[^ ./_:,@()\[\]{}-]", ""), ""))
     marks = F.array_join(F.array_sort(F.array_remove(seps, "")), "")
     return {
         "gen": spans.order_of(list(GENERATORS), kind),
@@ -187,8 +194,8 @@ def matches(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     digits = text.rlike(r"[0-9](?:[^0-9]{0,3}[0-9]){6}")
     gates = {
-        "email": F.contains(text, F.lit("@")), "email?": F.contains(text, F.lit("@")) | text.rlike(r"(?i)[(\[{]at[)\]}]"), "phone": F.contains(text, F.lit("+")),
-        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "ip?": text.rlike(r"[0-9][.,:][0-9]{1,4}+[.,:][0-9]"), "card": digits, "card?": digits, "group?": digits, "phone?": digits,
+        "email": F.contains(text, F.lit("@")), "email?": F.contains(text, F.lit("@")) | text.rlike(r"(?i)[(\[{]at[)\]}]|\x20dot\x20"), "phone": F.contains(text, F.lit("+")),
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "ip?": text.rlike(r"[0-9][.,:][0-9]{1,4}+[.,:][0-9]") | text.rlike(rf"[0-9]{_DOT}[0-9]"), "card": digits, "card?": digits, "group?": digits, "phone?": digits,
     }
     located = spans.located(docs, BASE | GENERATORS, gates)
     proposed = F.endswith(F.col("kind"), F.lit("?"))
