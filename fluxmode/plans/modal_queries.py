@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import modal, spectral
+from ..operators import modal, spectral, sysid
 from ..sources import standins as S
 from .grid_queries import _sensors
 from .signal_queries import query, r
@@ -75,6 +75,13 @@ def robust_covariance_by_trace(spark, d):
     return got.select("block", "fold", "kept", r("score", 2).alias("score"), r(total, 4).alias("mean_sum"))
 
 
+@query(_FOLDS.split("k AS (")[0] + """p AS (SELECT block, c, x, cos(j * 0.2618) AS a, sin(j * 0.2618) AS s FROM y), q AS (SELECT block, c, sum(a * a) AS aa, sum(s * s) AS ss, sum(a * s) AS ay, sum(a * x) AS ax, sum(s * x) AS sx FROM p GROUP BY 1, 2)
+SELECT block, CAST(c AS INTEGER) AS channel, round((ax * ss - sx * ay) / (aa * ss - ay * ay), 4) + 0.0 AS re, round((sx * aa - ax * ay) / (aa * ss - ay * ay), 4) + 0.0 AS im FROM q""")
+def daily_shapes(spark, d):
+    """The shape of each block at one cycle a day, by least squares."""
+    return sysid.frequency_shapes(_sensors(spark, d), [0.2618]).select("block", "channel", r("re", 4).alias("re"), r("im", 4).alias("im"))
+
+
 @query(None)
 def covariance_spectra(spark, d):
     return modal.covariance_spectra(_sensors(spark, d))

@@ -36,6 +36,16 @@ def write_bundle(df: DataFrame, path: str, schema: str, source: str, **params) -
     df.withColumns({"schema": F.lit(schema), "params_json": given, "source": F.lit(source)}).write.mode("overwrite").partitionBy("source").parquet(path)
 
 
+def write_prototypes(channels: DataFrame, path: str) -> None:
+    """The channels of prototypes (mode, channel, r, z, phi, amplitude, phase) as text, by mode and channel, with a commented header a file; unknown places are 0."""
+    place = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("r", "z", "phi")]
+    line = F.format_string("%d %d %.6f %.6f %.6f %.6e %.6f", F.col("mode").cast("long"), F.col("channel").cast("long"), *place, F.col("amplitude").cast("double"), F.col("phase").cast("double"))
+    dealt = channels.repartitionByRange("mode", "channel").sortWithinPartitions("mode", "channel")
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a task's rows, hence of a file
+    header = F.lit("# Mode Channel R Z Phi Amplitude Phase\n")
+    dealt.select(F.concat(F.when(first, header).otherwise(""), line).alias("value")).write.mode("overwrite").text(path)
+
+
 def coco(boxes: DataFrame, image: str = "image") -> DataFrame:
     """One JSON document an image: its boxes with ids that run on within the image."""
     from pyspark.sql import Window

@@ -114,3 +114,19 @@ def test_a_failed_bundle_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="given twice"):
         series.write_bundles(bundles(spark).union(bundles(spark)), path)
     assert sorted(os.listdir(path)) == before
+
+
+def test_prototype_lines(spark, tmp_path):
+    from fluxmode.sources import sinks
+
+    rng = np.random.default_rng(5)
+    want = [(m, c, 1.5 + c / 100, -0.25, 11.25 * c, float(rng.uniform(0.5, 2e4)), float(rng.uniform(-3, 3))) for m in (1, 2, 10) for c in (3, 1, 20)]
+    df = spark.createDataFrame(want, "mode long, channel int, r double, z double, phi double, amplitude double, phase double")
+    sinks.write_prototypes(df.union(spark.createDataFrame([(11, 1, None, None, None, 1.0, 0.0)], df.schema)), str(tmp_path / "out"))
+    parts = sorted(p for p in os.listdir(tmp_path / "out") if p.endswith(".txt"))
+    text = [open(tmp_path / "out" / p).read() for p in parts]
+    assert all(t.startswith("# Mode Channel R Z Phi Amplitude Phase\n") for t in text)
+    got = np.concatenate([np.loadtxt(t.splitlines(), ndmin=2).reshape(-1, 7) for t in text if t.count("\n") > 1])
+    assert np.allclose(got, [*sorted(want), (11, 1, 0, 0, 0, 1, 0)], rtol=1e-6, atol=1e-6) and "e+0" in "".join(text)
+    sinks.write_prototypes(df.limit(0), str(tmp_path / "none"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "none")).distinct().collect() if not r["value"].startswith("#")] == []
