@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from . import similarity
 
 
 def steering(probes: DataFrame, angles: dict[int, float], numbers: range, *keys: str) -> DataFrame:
@@ -96,13 +96,14 @@ def prototype_traces(references: DataFrame, samples: DataFrame, longest: float,
 def traces(shapes: DataFrame, references: DataFrame, least: float, block: str = "block") -> DataFrame:
     """For each reference and block the shape of greatest MAC with it (the least id of equals), if that reaches least.
 
-    shapes: block, id, re, im. references: reference, re, im; a few rows, sent to the tasks as literals.
+    shapes: block, id, re, im. references: reference, re, im; sent to the tasks as a matrix, in parts of checked size.
     """
-    few = references.select("reference", F.col("re").cast("array<double>").alias("re"), F.col("im").cast("array<double>").alias("im")).orderBy("reference").collect()  # the prototypes
-    value = [F.struct(F.lit(r["reference"]).alias("reference"), vectors.mac(F.col("re"), F.col("im"), F.array(*map(F.lit, r["re"])), F.array(*map(F.lit, r["im"]))).alias("mac")) for r in few]
-    each = shapes.select(block, "id", F.explode(F.array(*value)).alias("v")).select(block, "id", "v.reference", F.round("v.mac", 12).alias("mac")).where(F.col("mac") >= least)
-    best = each.groupBy("reference", block).agg(F.max(F.struct("mac", (-F.col("id")).alias("n"))).alias("b"))
-    return best.select("reference", block, (-F.col("b.n")).alias("id"), "b.mac")
+    z = F.concat(F.col("re").cast("array<double>"), F.col("im").cast("array<double>")).alias("z")
+    asked = references.select(F.col("reference").alias("id"), z)
+    dim = asked.select(F.max(F.size("z"))).first()[0] or 0
+    whole = (F.size("re") == dim // 2) & (F.size("im") == dim // 2)  # a shape of another length has no MAC
+    found = similarity.best_by_block(shapes.where(whole).select("id", block, z), asked.where(F.size("z") == dim), least, "mac", "id", "z", block)
+    return found.select(F.col("query").alias("reference"), F.col("block").alias(block), "id", F.col("similarity").alias("mac"))
 
 
 def csm_modes(probes: DataFrame, angles: dict[int, float], numbers: range, n_avg: int = 8, n_src: int = 1, *, frame: str = "w", bin: str = "k") -> DataFrame:
