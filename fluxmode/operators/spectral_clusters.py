@@ -2,7 +2,8 @@
 
 The graph is a table of edges and the eigenvectors are a table of one row a node, so no matrix is held
 anywhere: a multiplication is a join of edges and rows and a sum by node. The driver gets matrices of
-the subspace's size only.
+the subspace's size only, and no table of nodes is broadcast through it. Nodes with the same neighbours at the same weights
+(twins, as the leaves of a hub) are one node of a smaller graph, which has the same eigenvectors but for differences of twins.
 """
 
 from __future__ import annotations
@@ -23,37 +24,82 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))
 
 
-def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most: int = 200, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
-    """(id, degree, v: array of k) of the k least eigenvectors of the graph's Laplacian, and their eigenvalues.
+def _twins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, twin: the least node with the same neighbours at the same weights. Lists of neighbours are known by 128 bits, which add up in any order."""
+    each = edges.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    bits = lambda k: F.sum(F.xxhash64("b", "w", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}")
+    known = settled(each.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("h"), bits(0), bits(1)), "neighbours")
+    least = known.groupBy("h", "h0", "h1").agg(F.min("id").alias("twin"))
+    marked = known.hint("merge").join(least.hint("merge"), ["h", "h0", "h1"]).select("id", "twin")
+    return settled(nodes.hint("merge").join(marked.hint("merge"), "id", "left").select("id", "degree", F.coalesce("twin", "id").alias("twin")), "twins")
+
+
+def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most: int = 200, tolerance: float = TOLERANCE, vectors: bool = True) -> tuple[DataFrame | None, np.ndarray]:
+    """(id, degree, v: array of k) of the k least eigenvectors of the graph's Laplacian, and their eigenvalues; vectors: whether they are asked for.
 
     edges: a, b, w in both directions, weights positive, no loops. kind: standard (D - W), shi or ng (both normalised:
     I - D^-1/2 W D^-1/2). The greatest eigenvectors of the shifted complement are iterated; an error tells if
     `most` rounds did not settle them.
+
+    m twins have m - 1 eigenvectors that are differences between them, of eigenvalue 1 (normalised) or of their degree; the others are those
+    of the graph of one node for all twins. Where differences are among the k least and vectors are asked for, the graph is taken as it is.
     """
     nodes = settled(degrees(edges), "degrees")
     n, top = nodes.agg(F.count("*"), F.max("degree")).first()
+    twins = _twins(edges, nodes)
+    classes = settled(twins.groupBy(F.col("twin").alias("id")).agg(F.count("*").alias("m"), F.max("degree").alias("degree")), "classes")
+    few = classes.count()
+    if few < n:
+        # of m twins the differences' eigenvalue comes m - 1 times; the k least are enough
+        if kind == "standard":
+            low = [r for r in classes.where("m > 1").orderBy("degree").limit(k).collect()]
+            differences = np.repeat([float(r["degree"]) for r in low], [min(r["m"] - 1, k) for r in low])[:k]
+        else:
+            differences = np.ones(min(n - few, k))
+        a = twins.select(F.col("id").alias("a"), F.col("twin").alias("_ta"))
+        b = twins.select(F.col("id").alias("b"), F.col("twin").alias("_tb"))
+        # every twin has the same links, so one of them stands for all
+        own = edges.where("a <> b").hint("merge").join(a.where("a = _ta").hint("merge"), "a").groupBy("a", "b").agg(F.sum("w").alias("w"))
+        links = own.hint("merge").join(b.hint("merge"), "b").groupBy("a", F.col("_tb").alias("b")).agg(F.max("w").alias("w"))
+        lead, values = _iterated(classes, settled(links, "class-links"), min(k, few), few, top, kind, spare, most, tolerance)
+        merged = np.sort(np.concatenate((values, differences)))[:k]
+        if not vectors:
+            return None, merged
+        if len(values) == k and values[-1] < differences[0] - 1e-6:
+            spread = lead.select(F.col("id").alias("twin"), F.transform("v", lambda x: x / F.sqrt("m")).alias("v"))
+            return twins.hint("merge").join(spread.hint("merge"), "twin").select("id", "degree", "v"), merged
+    whole = nodes.withColumn("m", F.lit(1).cast("long"))
+    lead, values = _iterated(whole, edges.where("a <> b").select("a", "b", "w"), k, n, top, kind, spare, most, tolerance)
+    return lead.select("id", "degree", "v"), values
+
+
+def _iterated(nodes: DataFrame, links: DataFrame, k: int, n: int, top: float, kind: str, spare: int, most: int, tolerance: float) -> tuple[DataFrame, np.ndarray]:
+    """(id, degree, m, v) and eigenvalues by subspace iteration. nodes: id, degree, m (how many twins it stands for)."""
     size = int(min(k + spare, n))
-    end = nodes.select(F.col("id").alias("b"), F.col("degree").alias("_e"))
-    share = F.col("w") / F.sqrt(F.col("degree") * F.col("_e")) if kind != "standard" else F.col("w")
-    links = settled(edges.where("a <> b").join(nodes.withColumnRenamed("id", "a"), "a").join(end, "b").select("a", "b", share.alias("s")), "links")
+    one = nodes.select(F.col("id").alias("a"), F.col("degree").alias("_d"), F.col("m").alias("_m"))
+    end = nodes.select(F.col("id").alias("b"), F.col("degree").alias("_e"), F.col("m").alias("_n"))
     # the complement's spectrum lies in [0, 1]: (I + S) / 2, or I - L / (2 max degree)
-    own = F.lit(0.5) if kind != "standard" else 1 - F.col("degree") / (2 * top)
     pull = 0.5 if kind != "standard" else 1 / (2 * top)
+    share = F.col("w") * F.sqrt(F.col("_m") * F.col("_n")) * pull
+    share = share / F.sqrt(F.col("_d") * F.col("_e")) if kind != "standard" else share
+    stay = F.lit(0.5) if kind != "standard" else 1 - F.col("degree") / (2 * top)
+    pulls = links.hint("merge").join(one.hint("merge"), "a").hint("merge").join(end.hint("merge"), "b").select("a", "b", share.alias("s"))
+    matrix = settled(pulls.union(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), stay.alias("s"))), "matrix")
     start = F.array(*(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1 << 30)) / float(1 << 30) - 0.5 for j in range(size)))
     y = nodes.select("id", "degree", start.alias("v"))
 
     def multiplied(y: DataFrame) -> DataFrame:
-        sums = links.join(y.select(F.col("id").alias("b"), "v"), "b").groupBy(F.col("a").alias("id")).agg(F.array(*(F.sum(F.col("s") * F.get("v", F.lit(j))) for j in range(size))).alias("z"))
-        return y.join(sums, "id").select("id", "degree", F.zip_with("v", "z", lambda v, z: own * v + pull * z).alias("v"))
+        sums = F.array(*(F.sum(F.col("s") * F.get("v", F.lit(j))) for j in range(size)))
+        return matrix.hint("merge").join(y.select(F.col("id").alias("b"), "v").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.lit(0.0).alias("degree"), sums.alias("v"))
 
     values = None
     for _ in range(most):
         for _ in range(STEPS):
-            y = multiplied(y)
-        y = settled(y, "subspace")
+            y = settled(multiplied(y), "subspace")
         w, u = np.linalg.eigh(_products(y.select("v", F.col("v").alias("z")), size))
         y = settled(_turned(y, u / np.sqrt(np.maximum(w, w.max() * 1e-14))), "subspace")  # orthonormal
-        h = _products(y.join(multiplied(y).select("id", F.col("v").alias("z")), "id").select("v", "z"), size)
+        z = multiplied(y).select("id", F.col("v").alias("z"))
+        h = _products(y.hint("merge").join(z.hint("merge"), "id").select("v", "z"), size)
         new, turn = np.linalg.eigh((h + h.T) / 2)
         new, turn = new[::-1][:k], turn[:, ::-1]
         if values is not None and np.abs(new - values).max() < tolerance:
@@ -61,9 +107,8 @@ def embedding(edges: DataFrame, k: int, kind: str = "ng", spare: int = 5, most:
         values = new
     else:
         raise RuntimeError("eigenvectors did not settle")
-    lead = _turned(y, turn[:, :k])
-    laplacian = 2 * (1 - new) if kind != "standard" else 2 * top * (1 - new)
-    return lead, laplacian
+    lead = _turned(y, turn[:, :k]).select("id", "v").hint("merge").join(nodes.hint("merge"), "id").select("id", "degree", "m", "v")
+    return lead, 2 * (1 - new) if kind != "standard" else 2 * top * (1 - new)
 
 
 def _products(pairs: DataFrame, size: int) -> np.ndarray:
@@ -110,7 +155,7 @@ def count_by_gap(edges: DataFrame, kind: str = "ng", first: int = 8, tolerance:
         return 2
     size = min(first, half)
     while True:
-        values = embedding(edges, size, kind, tolerance=tolerance)[1]
+        values = embedding(edges, size, kind, tolerance=tolerance, vectors=False)[1]
         gaps = np.diff(values[:half])
         later = (trace - values.sum() - (n - size) * values[-1]) / (n - half + 1)
         if size >= half or (len(gaps) and later <= gaps.max()):
